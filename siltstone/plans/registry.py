@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 Query = Callable[[SparkSession, str], DataFrame]
 
 #: Modules that define QUERIES and SQL.
-MODULES: tuple[str, ...] = ()
+MODULES: tuple[str, ...] = tuple(f"siltstone.plans.{m}_queries" for m in ("search", "catalog", "text", "stream"))
 
 
 def queries() -> dict[str, Query]:
