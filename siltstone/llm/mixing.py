@@ -36,17 +36,20 @@ def targets(totals: DataFrame, share: float, weights: tuple[float, ...], epochs:
             "cap": (F.col("source_size") * epochs).cast("double"),
         }
     )
-    up = Window.orderBy(F.col("cap") / F.col("weight"), "place").rowsBetween(Window.unboundedPreceding, -1)
+    by_ratio = Window.orderBy(F.col("cap") / F.col("weight"), "place")
+    up = by_ratio.rowsBetween(Window.unboundedPreceding, -1)
     everything = Window.partitionBy()
     left = base.withColumns(
         {
             "words_left": F.sum("source_size").over(everything) * F.lit(float(share))
             - F.coalesce(F.sum("cap").over(up), F.lit(0.0)),
             "weight_left": F.sum("weight").over(everything) - F.coalesce(F.sum("weight").over(up), F.lit(0.0)),
+            "turn": F.row_number().over(by_ratio),
         }
     )
     free = F.col("cap") * F.col("weight_left") > F.col("weight") * F.col("words_left")
-    level = F.min(F.when(free, F.col("words_left") / F.col("weight_left"))).over(everything)
+    # The level is that of the first source in this order that stays below its cap.
+    level = F.min_by(F.when(free, F.col("words_left") / F.col("weight_left")), F.when(free, F.col("turn"))).over(everything)
     return left.withColumn("level", level).select(
         "source",
         "source_size",

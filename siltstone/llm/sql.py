@@ -13,11 +13,12 @@ s AS (
 u AS (
   SELECT *, 2.0::DOUBLE * source_size AS cap,
          CAST(sum(source_size) OVER () AS DOUBLE) * 1.5::DOUBLE - coalesce(sum(2.0::DOUBLE * source_size) OVER w, 0.0::DOUBLE) AS words_left,
-         sum(weight) OVER () - coalesce(sum(weight) OVER w, 0.0::DOUBLE) AS weight_left
+         sum(weight) OVER () - coalesce(sum(weight) OVER w, 0.0::DOUBLE) AS weight_left,
+         row_number() OVER (ORDER BY 2.0::DOUBLE * source_size / weight, place) AS turn
   FROM s
   WINDOW w AS (ORDER BY 2.0::DOUBLE * source_size / weight, place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 l AS (
-  SELECT *, min(CASE WHEN cap * weight_left > weight * words_left THEN words_left / weight_left END) OVER () AS level FROM u),
+  SELECT *, (SELECT arg_min(words_left / weight_left, turn) FROM u WHERE cap * weight_left > weight * words_left) AS level FROM u),
 t AS (
   SELECT source, source_size, CASE WHEN level IS NULL THEN cap ELSE least(cap, weight * level) END AS target FROM l),
 g AS (
