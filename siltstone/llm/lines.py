@@ -10,7 +10,7 @@ from .common import Written
 RATIO, MIN_PAGES = 0.3, 5
 #: Boilerplate lines, over all sites, up to which their table is broadcast (16 bytes each).
 BROADCAST_LINES = 100_000
-SPACE = r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$"
+SPACE = "\x20\x09\x0a\x0b\x0c\x0d"
 #: Markup that ends a line.
 BLOCKS = "p|div|li|ul|ol|dl|dt|dd|h[1-6]|br|hr|tr|td|th|table|nav|article|section|header|footer|title|body|html|head|main|aside|blockquote|pre|form"
 
@@ -23,7 +23,7 @@ def html_lines(html: Column) -> Column:
 
 
 def strip(line: Column) -> Column:
-    return F.regexp_replace(line, SPACE, "")
+    return F.btrim(line, F.lit(SPACE))
 
 
 def key(line: Column) -> Column:
@@ -38,7 +38,7 @@ def boilerplate(rows: DataFrame, ratio: float, min_pages: int) -> DataFrame:
     before and after the shuffle, so a hot site or line costs one row per task.
     A site's list holds at most (distinct lines per page) / ratio keys.
     """
-    per_page = F.array_distinct(F.transform(F.filter(F.split("text", "\n", -1), lambda x: strip(x) != ""), key))
+    per_page = F.transform(F.array_distinct(F.filter(F.transform(F.split("text", "\n", -1), strip), lambda x: x != "")), key)
     counted = rows.select("site", F.explode(per_page).alias("line")).groupBy("site", "line").agg(F.count("*").alias("n"))
     totals = rows.groupBy("site").agg(F.count("*").alias("pages")).filter(F.col("pages") >= min_pages)
     t = totals.select(F.col("site").alias("t_site"), "pages")
@@ -74,7 +74,7 @@ def drop_boilerplate(
     found = F.broadcast(found) if n <= BROADCAST_LINES else found
     rows = df.select(keep.alias("keep"), site.alias("site"), text.alias("text"))
     split = F.split("text", "\n", -1)
-    rest = F.filter(split, lambda x: (strip(x) == "") | ~F.array_contains(F.col("lines"), key(x)))
+    rest = F.filter(split, lambda x: ~F.array_contains(F.col("lines"), key(x)))
     joined = rows.join(found, F.col("site").eqNullSafe(F.col("b_site")), "left").withColumn(
         "rest", F.when(F.col("lines").isNull(), split).otherwise(rest)
     )
