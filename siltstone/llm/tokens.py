@@ -27,7 +27,8 @@ class Encoder:
     A byte-level BPE encodes the pieces of its split on their own. Where the
     split's classes are certain (texts without characters beyond U+024F or
     control characters), each different piece goes to the tokenizer once and
-    its ids are remembered; every other text goes to it whole.
+    its ids are remembered; every other text goes to it whole. A text with such
+    a character has a piece with one, which is never remembered.
     """
 
     def __init__(self, path: str):
@@ -47,59 +48,77 @@ class Encoder:
         )
         of = lambda kind: "".join(re.escape(chr(c)) for c in range(LAST) if unicodedata.category(chr(c))[0] == kind)
         letters, digits, space = of("L"), of("N"), r"\t\n\x0b\x0c\r \x85\xa0"
-        self.odd = re.compile(rf"[^\t\n\x0b\x0c\r\x20-\x7e\x85\xa0-{chr(LAST - 1)}]")
+        self.odd = re.compile(rf"[^\t\n\x0b\x0c\r\x20-\x7e\x85\xa0-{chr(LAST - 1)}]").search
         self.split = re.compile(
             rf" ?[{letters}]+|'(?:[stmd]|re|ve|ll)| ?[{digits}]+| ?[^{space}{letters}{digits}]+|[{space}]+(?![^{space}])|[{space}]+"
         ).findall
         self.spaced = re.compile(rf" [{letters}]+").fullmatch
-        self.known: dict[str, bytes] = {}
+        # Only the first token of a piece that begins with a space holds a space (as \u0120).
+        vocab = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.begins = np.zeros(max(vocab.values(), default=0) + 1, dtype=bool)
+        self.begins[[i for t, i in vocab.items() if t.startswith("\u0120")]] = True
+        self.known = _Known()
 
     def _whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, dtype=self.dtype).tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
 
     def _new(self, pieces: list[str]) -> dict[str, bytes]:
-        """Ids of pieces. Those that begin with a space are encoded in a row, and cut by word."""
+        """Ids of pieces. Those that begin with a space are encoded in a row, and cut at spaces."""
+        rows: list[str] = []
+        rest: list[str] = []
+        spaced = self.spaced
+        for p in pieces:
+            (rows if spaced(p) else rest).append(p)
         out: dict[str, bytes] = {}
-        rows = [p for p in pieces if self.spaced(p)]
-        rest = [p for p in pieces if not self.spaced(p)]
-        for i in range(0, len(rows), 512):
-            part = rows[i : i + 512]
-            e = self.tokenizer.encode("".join(part), add_special_tokens=False)
-            words = np.array(e.word_ids, dtype=np.int64)
-            if len(words) and words[-1] == len(part) - 1:
-                data = np.array(e.ids, dtype=self.dtype).tobytes()
-                cut = np.concatenate([[0], np.searchsorted(words, np.arange(len(part)), side="right")]) * self.width
-                out.update((p, data[a:b]) for p, a, b in zip(part, cut[:-1].tolist(), cut[1:].tolist(), strict=True))
+        parts = [rows[i : i + 256] for i in range(0, len(rows), 256)]
+        for part, e in zip(parts, self.tokenizer.encode_batch_fast(["".join(p) for p in parts], add_special_tokens=False)):
+            ids = np.array(e.ids, dtype=self.dtype)
+            cut = (np.append(np.flatnonzero(self.begins[ids]), len(ids)) * self.width).tolist()
+            if len(cut) == len(part) + 1:
+                data = ids.tobytes()
+                out.update(zip(part, [data[a:b] for a, b in zip(cut, cut[1:])]))
             else:
                 rest += part
-        out.update(zip(rest, self._whole(rest), strict=True))
+        out.update(zip(rest, self._whole(rest)))
         return out
 
     def encode(self, texts: list[str]) -> list[bytes]:
         if not self.by_piece:
             return self._whole(texts)
-        odd = [i for i, t in enumerate(texts) if self.odd.search(t)]
-        out = dict(zip(odd, self._whole([texts[i] for i in odd]), strict=True)) if odd else {}
-        split = {i: self.split(t) for i, t in enumerate(texts) if i not in out}
-        fresh = set().union(*split.values()) - self.known.keys() if split else set()
-        new = self._new(list(fresh))
         known = self.known
+        get, lost = known.__getitem__, known.lost
+        lost.clear()
+        rows, seen = [], [0]
+        for t in texts:
+            rows.append(list(map(get, self.split(t))))
+            seen.append(len(lost))
+        new = self._new(list(set(lost)))
+        odd = {p for p in new if self.odd(p)}
         if len(known) + len(new) <= MOST_PIECES:
-            known.update(new)
-        elif new:
-            known = _Both(self.known, new)
-        for i, pieces in split.items():
-            out[i] = b"".join(map(known.__getitem__, pieces))
-        return [out[i] for i in range(len(texts))]
-
-
-class _Both(dict):
-    def __init__(self, old: dict, new: dict):
-        super().__init__(new)
-        self.old = old
-
-    def __missing__(self, key):
-        return self.old[key]
+            known.update((p, ids) for p, ids in new.items() if p not in odd)
+        whole = []
+        for k, row in enumerate(rows):
+            missing = lost[seen[k] : seen[k + 1]]
+            if odd and not odd.isdisjoint(missing):
+                whole.append(k)
+                continue
+            i = -1
+            for p in missing:
+                i = row.index(None, i + 1)
+                row[i] = new[p]
+        at = dict(zip(whole, self._whole([texts[k] for k in whole]))) if whole else {}
+        return [at[k] if k in at else b"".join(row) for k, row in enumerate(rows)]
+
+
+class _Known(dict):
+    """Ids by piece; notes what is asked for in vain."""
+
+    def __init__(self):
+        super().__init__()
+        self.lost: list[str] = []
+
+    def __missing__(self, piece: str) -> None:
+        self.lost.append(piece)
 
 
 @lru_cache(maxsize=2)
