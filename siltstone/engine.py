@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .config import Config
 from .functions import html, splitters
 from .operators import catalog, crawl, embedding, retrieval
 from .sources.warehouse import Warehouse
@@ -30,6 +31,16 @@ class Engine:
         self.manager = Manager(self._work, 1, on_status=self._follow)  # one writer
         self._sources: dict[str, tuple[DataFrame, crawl.CrawlOptions]] = {}
 
+    @classmethod
+    def from_config(cls, spark: SparkSession, config: Config, send=None) -> Engine:
+        return cls(spark, config.store.path, embedding.create(config.embedding.model, send))
+
+    def sql(self, query: str) -> DataFrame:
+        """Spark SQL over the catalog's tables."""
+        for name in ("libraries", "versions", "pages", "documents"):
+            self.store.read(name).createOrReplaceTempView(name)
+        return self.spark.sql(query)
+
     # Catalog
 
     def ensure_version(self, library: str, version: str, url: str | None = None) -> int:
@@ -80,6 +91,9 @@ class Engine:
         self.manager.bus.emit("LIBRARY_CHANGE", {"library": library.lower()})
         return True
 
+    def set_progress(self, version_id: int, pages: int, most: int) -> None:
+        self.store.replace("versions", catalog.set_progress(self.store.read("versions"), version_id, pages, most))
+
     # Indexing
 
     def index(self, library: str, version: str, pages: DataFrame) -> int:
@@ -118,7 +132,16 @@ class Engine:
 
     def _work(self, job: Job) -> None:
         source, options = self._sources.pop(f"{job.library}\0{job.version}\0{job.url}")
-        pages = crawl.crawl(source, job.url, options, cancelled=job.cancel.is_set)
+        vid = self.ensure_version(job.library, job.version, job.url)
+        done = 0
+
+        def seen(depth: int, n: int) -> None:
+            nonlocal done
+            done += n
+            self.set_progress(vid, done, options.max_pages)
+            self.manager.bus.emit("JOB_PROGRESS", {"id": job.id, "depth": depth, "pages_scraped": done, "total_pages": options.max_pages})
+
+        pages = crawl.crawl(source, job.url, options, seen, job.cancel.is_set)
         if not job.cancel.is_set():
             self.index(job.library, job.version, pages)
 

@@ -62,3 +62,8 @@ def decode(v: Column, dimension: int) -> Column:
         return np.frombuffer(x, dtype="<f4") if len(x) == 4 * dimension else None
 
     return _codec("decode", "array<float>", one)(v)
+
+
+def halve(v: Column, dimension: int) -> Column:
+    """Blobs of single floats of ``dimension`` become half floats; others, and nulls, stay."""
+    return F.when(F.length(v) == 4 * dimension, encode_f16(decode_f32(v))).otherwise(v)

@@ -122,6 +122,12 @@ def set_status(versions: DataFrame, version_id: int, status: str, error: str | N
     )
 
 
+def set_progress(versions: DataFrame, version_id: int, pages: int, most: int) -> DataFrame:
+    mine = F.col("id") == version_id
+    new = {"progress_pages": F.lit(pages), "progress_max_pages": F.lit(most), "updated_at": F.current_timestamp()}
+    return versions.withColumns({c: F.when(mine, v).otherwise(F.col(c)) for c, v in new.items()})
+
+
 def unversioned(name: Column) -> Column:
     """The name that stands for no version becomes empty."""
     return F.when(name == "_default_", "").otherwise(name)

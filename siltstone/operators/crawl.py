@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import html, urls
+from ..session import shared_root
 
 
 @dataclass(frozen=True)
@@ -20,6 +20,14 @@ class CrawlOptions:
     include: tuple[str, ...] = ()
     exclude: tuple[str, ...] = ()
 
+    @classmethod
+    def from_dict(cls, options: dict) -> CrawlOptions:
+        """Of stored options; missing ones take defaults, patterns that do not compile are dropped."""
+        own = {k: options[k] for k in ("max_pages", "max_depth") if options.get(k) is not None}
+        for ours, theirs in (("include", "include_patterns"), ("exclude", "exclude_patterns")):
+            own[ours] = tuple(urls.valid_patterns(options.get(theirs) or []))
+        return cls(**own)
+
 
 def process(pages: DataFrame) -> DataFrame:
     """Pages (url, html, …) with Markdown, title and links."""
@@ -37,57 +45,59 @@ def frontier(links: DataFrame, visited: DataFrame, wanted: Column | None = None)
     return new.distinct().join(visited.select("url"), "url", "left_anti")
 
 
-def _folder(df: DataFrame) -> str:
-    conf = df.sparkSession.sparkContext.getConf()
-    root = conf.get("spark.checkpoint.dir")
-    if not root:
-        if not conf.get("spark.master", "").startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a shared folder")
-        root = f"file://{tempfile.gettempdir()}"
-    return f"{root.rstrip('/')}/siltstone-crawl-{uuid.uuid4().hex}"
+def crawl_page(pages: DataFrame, url: str) -> DataFrame:
+    """A single page (url, depth 0, title, content, links)."""
+    return process(pages.select("url", "html").filter(F.col("url") == url)).select("url", F.lit(0).alias("depth"), "title", "content", F.col("links.url").alias("links"))
 
 
-def crawl(
-    pages: DataFrame,
-    start: str,
-    options: CrawlOptions = CrawlOptions(),
-    on_level: Callable[[int, int], None] | None = None,
-    cancelled: Callable[[], bool] = lambda: False,
-) -> DataFrame:
-    """(url, depth, title, content) of pages reachable from ``start``, by depth, then URL.
+LEVEL = "url string, depth int, title string, content string, links array<string>"
+
+
+def levels(pages: DataFrame, start: str, options: CrawlOptions = CrawlOptions(), cancelled: Callable[[], bool] = lambda: False) -> Iterator[tuple[DataFrame, int]]:
+    """The crawl a level at a time: (pages of the level, their number), as soon as each is done.
 
-    ``pages`` (url, html) is any source of fetched pages. Each level is one
-    distributed step: frontier joined to pages, links extracted, visited URLs
-    removed by an anti-join. Levels are written to a shared folder, so plans
-    stay short. ``max_pages`` counts pages that exist; a page at ``max_depth``
-    is kept, its links are not followed. URLs keep their fragments.
+    Each level is one distributed step: frontier joined to pages, links
+    extracted, visited URLs removed by an anti-join. Levels are written to a
+    shared folder, so plans stay short.
     """
     spark = pages.sparkSession
-    root = _folder(pages)
+    root = f"{shared_root(spark)}/siltstone/crawl-{uuid.uuid4().hex}"
     home = spark.range(1).select(urls.host(F.lit(start)).alias("h")).first()[0]
     wanted = urls.wanted(F.col("url"), home, list(options.include), list(options.exclude))
-    seen = spark.createDataFrame([(start,)], "url string")
-    now, found, left = seen, [], options.max_pages
-    schema = "url string, depth int, title string, content string, links array<string>"
+    now = seen = spark.createDataFrame([(start,)], "url string")
+    left = options.max_pages
     for depth in range(options.max_depth + 1):
         if left <= 0 or cancelled():
-            break
+            return
         level = process(pages.select("url", "html").join(now, "url", "left_semi").orderBy("url").limit(left))
-        rows = level.select("url", F.lit(depth).alias("depth"), "title", "content", F.col("links.url").alias("links"))
-        rows.write.mode("overwrite").parquet(f"{root}/{depth}")
-        done = spark.read.schema(schema).parquet(f"{root}/{depth}")
+        level.select("url", F.lit(depth).alias("depth"), "title", "content", F.col("links.url").alias("links")).write.parquet(f"{root}/{depth}")
+        done = spark.read.schema(LEVEL).parquet(f"{root}/{depth}")
         n = done.count()
-        found.append(done)
-        if on_level:
-            on_level(depth, n)
+        yield done, n
         left -= n
         if not n or depth == options.max_depth:
-            break
-        fresh = frontier(done.select(F.explode("links").alias("url")), seen, wanted)
-        fresh.write.mode("overwrite").parquet(f"{root}/next-{depth}")
+            return
+        frontier(done.select(F.explode("links").alias("url")), seen, wanted).write.parquet(f"{root}/next-{depth}")
         now = spark.read.schema("url string").parquet(f"{root}/next-{depth}")
         seen = seen.unionByName(now)
-    out = found[0] if found else spark.createDataFrame([], schema)
-    for level in found[1:]:
+
+
+def crawl(
+    pages: DataFrame,
+    start: str,
+    options: CrawlOptions = CrawlOptions(),
+    on_level: Callable[[int, int], None] | None = None,
+    cancelled: Callable[[], bool] = lambda: False,
+) -> DataFrame:
+    """(url, depth, title, content) of pages reachable from ``start``, by depth, then URL.
+
+    ``pages`` (url, html) is any source of fetched pages. ``max_pages`` counts
+    pages that exist; a page at ``max_depth`` is kept, its links are not
+    followed. URLs keep their fragments.
+    """
+    out = pages.sparkSession.createDataFrame([], LEVEL)
+    for depth, (level, n) in enumerate(levels(pages, start, options, cancelled)):
         out = out.unionByName(level)
+        if on_level:
+            on_level(depth, n)
     return out.drop("links").orderBy("depth", "url")

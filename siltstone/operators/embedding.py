@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import threading
 import time
 import zlib
 from collections.abc import Callable, Iterator, Sequence
@@ -194,6 +195,47 @@ class RateLimiter:
         return now - begin
 
 
+@dataclass
+class EmbeddingQueue:
+    """One request at a time behind a limiter: for embedders that must not be called from many executors."""
+
+    embedder: Embedder
+    limiter: RateLimiter = field(default_factory=RateLimiter)
+    lock: threading.Lock = field(default_factory=threading.Lock)
+
+    def is_available(self) -> bool:
+        return self.embedder.is_available()
+
+    def embed(self, texts: Sequence[str]) -> list[list[float]]:
+        out: list[list[float]] = []
+        for i in range(0, len(texts), self.embedder.batch):
+            part = list(texts[i : i + self.embedder.batch])
+            with self.lock:
+                self.limiter.acquire(sum(estimate_tokens(t) for t in part))
+                out += self.embedder.embed_batch(part)
+        return out
+
+
+def estimate_tokens(text: str) -> int:
+    """The row form of ``functions.text.estimate_tokens``."""
+    cjk = sum("\u4e00" <= c <= "\u9fff" or "\u3040" <= c <= "\u30ff" or "\uac00" <= c <= "\ud7af" for c in text)
+    return max(1, cjk + max(1, (len(text) - cjk) // 4)) + 5
+
+
+def request_body(style: str, model: str, texts: Sequence[str]) -> dict:
+    """The JSON that a service of a known style takes."""
+    if style == "google":
+        return {"requests": [{"model": f"models/{model}", "content": {"parts": [{"text": t}]}} for t in texts]}
+    return {"model": model, "input": list(texts)}
+
+
+def reply_vectors(style: str, reply: dict) -> list[tuple[int, list[float]]]:
+    """(index, vector) of a service's reply."""
+    if style == "google":
+        return [(i, e["values"]) for i, e in enumerate(reply["embeddings"])]
+    return [(e["index"], e["embedding"]) for e in reply["data"]]
+
+
 def simulate_limits(requests: DataFrame, key: str, at: str, tokens: str, rpm: int, tpm: int, gap: float = 0.15) -> DataFrame:
     """When each request of a key would be let through: (key, at, tokens, waited), a limiter per key."""
     kind = requests.schema[key].dataType.simpleString()

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
+import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -39,3 +42,23 @@ def get_session(app: str = "siltstone", master: str | None = None, **conf: str)
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """Table ``name`` of a folder of parquet tables."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+_own: list[str] = []
+
+
+def shared_root(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir.
+
+    Only a session in one process (tests) may go without that setting; it gets
+    a folder of its own, removed at exit.
+    """
+    if root := spark.conf.get("spark.checkpoint.dir", None):
+        return root.rstrip("/")
+    master = spark.conf.get("spark.master", "")
+    if not master.startswith("local") or master.startswith("local-cluster"):
+        raise ValueError("spark.checkpoint.dir must name a folder shared by the cluster")
+    if not _own:
+        _own.append(tempfile.mkdtemp(prefix="siltstone-"))
+        atexit.register(shutil.rmtree, _own[0], ignore_errors=True)
+    return f"file://{_own[0]}"

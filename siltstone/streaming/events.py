@@ -86,6 +86,37 @@ def final_state(events: DataFrame, key: str, at: str, tie: str, state: str) -> D
     return events.groupBy(key).agg(F.max_by(state, F.struct(at, tie)).alias("state"))
 
 
+def job_states_stream(events: DataFrame, key: str, status: str) -> DataFrame:
+    """Streaming form of the job state machine: (key, status) of each allowed change, in order of arrival.
+
+    State per job is its status; a change that the machine does not allow is
+    ignored, so events that come twice change nothing.
+    """
+    from .jobs import NEXT
+
+    kind = events.schema[key].dataType.simpleString()
+    allowed = {k: set(v) for k, v in NEXT.items()}
+
+    def run(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        now = state.get[0] if state.exists else None
+        out = []
+        for new in (s for b in batches for s in b["status"]):
+            if now is None and new == "queued" or now is not None and new in allowed.get(now, ()):
+                out.append(new)
+                now = new
+        if now is not None:
+            state.update((now,))
+        yield pd.DataFrame({"key": [k[0]] * len(out), "status": out})
+
+    rows = events.select(F.col(key).alias("key"), F.col(status).alias("status"))
+    return rows.groupBy("key").applyInPandasWithState(run, f"key {kind}, status string", "status string", "append", GroupStateTimeout.NoTimeout)
+
+
+def server_sent(json: Column) -> Column:
+    """An event as a server-sent message."""
+    return F.concat(F.lit("data: "), json, F.lit("\n\n"))
+
+
 def index_stream(pages: DataFrame, index: Callable[[DataFrame], None], checkpoint: str):
     """Index each micro-batch of a page stream. ``index`` must be idempotent: a batch may come twice."""
     return (

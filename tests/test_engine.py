@@ -5,11 +5,13 @@ import time
 import pytest
 from pyspark.sql import functions as F
 
-from siltstone import cli
+from siltstone import cli, config
+from siltstone.api import Api
 from siltstone.engine import Engine
 from siltstone.operators import embedding
 from siltstone.plans.text_queries import SITE
 from siltstone.session import load
+from siltstone.sources import pages
 from siltstone.streaming import events
 from siltstone.streaming.jobs import Bus, Manager
 
@@ -48,6 +50,44 @@ def test_search_without_an_embedder(spark, tmp_path):
     assert engine.store.read("documents").filter("embedding is not null").count() == 0
 
 
+def test_api_and_tools(spark, engine):
+    api = Api(engine, lambda url: spark.createDataFrame(SITE, "url string, html string"))
+    job = api.create_job("Lib", "https://s.test/", max_depth=1)["data"]
+    engine.manager.wait(job["id"], 300)
+    assert api.get_library("lib")["data"]["versions"] == [{"name": "", "status": "completed", "page_count": 3}]
+    assert engine.sql("SELECT progress_pages, progress_max_pages FROM versions").first()[:] == (3, 1000)
+    assert [x["status"] for x in api.list_jobs()["data"]] == ["completed"] and api.clear_jobs() == {"success": True, "data": {"removed": 1}}
+    assert api.search("lib", "start", 1)["data"][0]["title"] == "Home"
+    assert api.search("other", "x") == {"success": False, "error": "library 'other' not found"}
+    assert api.tool_scrape_docs("Lib", "https://s.test/", max_depth=10).startswith("Indexed 6 pages")
+    assert api.tool_list_libraries() == "- lib: unversioned" and "## 1. Home" in api.tool_search_docs("lib", "start")
+    assert api.delete_version("lib", "_default_") == {"success": True} and not api.delete_version("lib", "9")["success"]
+    assert api.tool_remove_library("lib") == "Removed lib." and not api.delete_library("lib")["success"]
+
+
+def test_config(spark, tmp_path):
+    (tmp_path / "c.toml").write_text(f'[store]\npath = "file://{tmp_path}/w"\n[embedding]\nmodel = "hash:hash-16"\n[scraper]\nexclude = ["x"]\n')
+    c = config.from_file(str(tmp_path / "c.toml"))
+    assert (c.splitter.chunk_size, c.scraper.exclude, c.embedding.max_rpm) == (1500, ("x",), 1800)
+    assert Engine.from_config(spark, c).embedder.dimension == 16
+    with pytest.raises(ValueError):
+        config.merged(c, {"nothing": 1})
+
+
+def test_fetch(spark):
+    def get(url, timeout):
+        if "down" in url:
+            raise OSError("refused")
+        return (404 if "missing" in url else 200), url + "#final", {"etag": "e1", "content-type": "text/html"}, "<p>x</p>"
+
+    urls = spark.createDataFrame([(u,) for u in ("https://a.test/", "https://a.test/missing", "http://down.test/", "ftp://x")], "url string")
+    got = {r["url"]: r for r in pages.fetch(urls, get, retries=1, sleep=lambda s: None).collect()}
+    assert got["https://a.test/"]["html"] == "<p>x</p>" and got["https://a.test/"]["etag"] == "e1"
+    assert got["https://a.test/missing"]["error"] == "status 404" and got["http://down.test/"]["error"] == "refused" and got["ftp://x"]["error"]
+    ok = pages.fetch(urls, get, retries=0, sleep=lambda s: None).filter(pages.reachable(F.col("status")) & pages.is_web(F.col("url")))
+    assert ok.count() == 1
+
+
 def test_migrations_run_once(spark, tmp_path, engine):
     assert engine.store.version() == 2 and engine.store.migrate() == []
 
@@ -125,6 +165,15 @@ def test_streamed_throttle_equals_batch(spark, sf, stream):
     assert 0 < got.count() < load(spark, sf, "events").count()
 
 
+def test_streamed_job_states(spark, tmp_path):
+    rows = [(1, "queued"), (1, "completed"), (1, "running"), (1, "running"), (1, "completed"), (2, "running"), (3, "queued"), (3, "cancelled"), (3, "running")]
+    spark.createDataFrame(rows, "job long, status string").coalesce(1).write.parquet(f"file://{tmp_path}/jobs")
+    source = spark.readStream.schema("job long, status string").parquet(f"file://{tmp_path}/jobs")
+    got = run(events.job_states_stream(source, "job", "status"), "states").collect()
+    assert [r["status"] for r in got if r["key"] == 1] == ["queued", "running", "completed"]
+    assert [r["status"] for r in got if r["key"] != 1] == ["queued", "cancelled"]
+
+
 def test_indexing_a_stream_twice(spark, tmp_path, engine):
     spark.createDataFrame(SITE, "url string, html string").write.parquet(f"file://{tmp_path}/pages")
     schema = "url string, html string"

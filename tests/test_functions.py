@@ -56,6 +56,14 @@ def test_half_floats(spark):
     assert rows[0]["d"] == rows[0]["w"] and rows[0]["e"] is None and rows[1]["b"] is None
 
 
+def test_halving_blobs(spark):
+    import numpy as np
+
+    blobs = [np.ones(4, "<f4").tobytes(), np.ones(4, "<f2").tobytes(), None]
+    got = spark.createDataFrame([(b,) for b in blobs], "b binary").select(vectors.halve(F.col("b"), 4).alias("h")).collect()
+    assert [r["h"] and bytes(r["h"]) for r in got] == [blobs[1], blobs[1], None]
+
+
 WORDS = """caresses ponies ties caress cats feed agreed plastered bled motoring sing conflated troubled sized hopping tanned falling
 hissing fizzed failing filing happy sky relational conditional rational valenci hesitanci digitizer conformabli radicalli differentli
 vileli analogousli vietnamization predication operator feudalism decisiveness hopefulness callousness formaliti sensitiviti sensibiliti

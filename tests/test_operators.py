@@ -78,6 +78,9 @@ def test_crawl(spark):
     assert run(max_pages=3) == [(0, "/"), (1, "/a"), (1, "/b#x")]
     assert run(exclude=("/b",)) == [(0, "/"), (1, "/a"), (2, "/c"), (3, "/e")]
     assert run(include=("/a$",)) == [(0, "/"), (1, "/a")]
+    assert [n for _, n in crawl.levels(pages, "https://s.test/")] == [1, 2, 2, 1]
+    assert crawl.crawl_page(pages, "https://s.test/a").first()["links"] == ["https://s.test/c", "https://s.test/"]
+    assert crawl.CrawlOptions.from_dict({"max_pages": 5, "exclude_patterns": ["a", "("]}) == crawl.CrawlOptions(5, 3, (), ("a",))
     levels = []
     crawl.crawl(pages, "https://s.test/", on_level=lambda d, n: levels.append((d, n)), cancelled=lambda: len(levels) >= 2)
     assert levels == [(0, 1), (1, 2)]
@@ -117,6 +120,18 @@ def test_api_embedder_retries_orders_and_fits():
         embedding.ApiEmbedder(lambda _: (_ for _ in ()).throw(RuntimeError("500")), 2).embed_batch(["a"])
 
 
+def test_queue_and_services():
+    now = [0.0]
+    limiter = embedding.RateLimiter(60, 10_000, 0.5, lambda: now[0], lambda s: now.__setitem__(0, now[0] + s))
+    q = embedding.EmbeddingQueue(embedding.HashingEmbedder(8, batch=2), limiter)
+    assert len(q.embed(["a", "b", "c"])) == 3 and now[0] == pytest.approx(0.5)
+    assert embedding.request_body("openai", "m", ["a"]) == {"model": "m", "input": ["a"]}
+    assert embedding.request_body("google", "m", ["a"])["requests"][0]["content"] == {"parts": [{"text": "a"}]}
+    assert embedding.reply_vectors("openai", {"data": [{"index": 1, "embedding": [2.0]}]}) == [(1, [2.0])]
+    assert embedding.reply_vectors("google", {"embeddings": [{"values": [1.0]}]}) == [(0, [1.0])]
+    assert embedding.estimate_tokens("") == 6 and embedding.estimate_tokens("你好世界") == 10
+
+
 def test_rate_limiter():
     now = [0.0]
     limiter = embedding.RateLimiter(60, 10_000, 0.1, lambda: now[0], lambda s: now.__setitem__(0, now[0] + s))
