@@ -19,7 +19,8 @@ from .graph import components
 class Settings:
     """``neighbours`` per vector; first lists from ``tables`` random cuts into groups of about ``group``.
 
-    Refining ends when a round changes under ``still`` of the lists' places, or
+    Neighbours below ``floor`` lead to no link and are left out. Refining ends
+    when a round adds under ``still`` of the entries near the threshold, or
     after ``rounds``. If the audit of ``audit`` vectors against all finds less
     than ``recall`` of their links, refining goes on from another set of cuts,
     up to ``retries`` times.
@@ -27,16 +28,22 @@ class Settings:
 
     threshold: float = 0.95
     neighbours: int = 10
-    tables: int = 10
+    floor: float = 0.5
+    tables: int = 12
     group: int = 96
     rounds: int = 6
-    still: float = 0.01
-    audit: int = 256
-    recall: float = 0.98
+    still: float = 0.002
+    audit: int = 1024
+    recall: float = 0.99
     retries: int = 2
     seed: int = 5
     block: int = 1024
 
+    @property
+    def near(self) -> float:
+        """Entries from here on are checked in double precision: lists hold similarities of bytes."""
+        return self.threshold - 0.02
+
 
 def unit_vectors(df: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     """(vec_id, vector as doubles, null if it cannot link)."""
@@ -56,36 +63,48 @@ def scaled(x: np.ndarray) -> np.ndarray:
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
-def tops(ids: np.ndarray, sims: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, column, sim) of the k best columns of each row, itself left out."""
+def to_bytes(x: np.ndarray) -> list[bytes]:
+    """Vectors in a byte per component, which is what lists are built from."""
+    top = np.abs(x).max(axis=1, keepdims=True)
+    return [r.tobytes() for r in np.rint(127 * x / top).astype(np.int8)]
+
+
+def from_bytes(column: pa.Array) -> np.ndarray:
+    x = np.frombuffer(b"".join(column.to_pylist()), dtype=np.int8).reshape(len(column), -1).astype(np.float32)
+    return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
+
+
+def tops(sims: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, column, similarity) of the k best columns of each row, itself left out."""
     sims = sims.copy()
     np.fill_diagonal(sims, -2)
     k = min(k, sims.shape[1] - 1)
     if k < 1:
         return np.empty(0, int), np.empty(0, int), np.empty(0)
-    best = np.argpartition(-sims, k - 1, axis=1)[:, :k]
-    row = np.repeat(np.arange(len(ids)), k)
-    return row, best.ravel(), sims[row, best.ravel()]
+    best = np.argpartition(-sims, k - 1, axis=1)[:, :k].ravel()
+    row = np.repeat(np.arange(len(sims)), k)
+    return row, best, sims[row, best]
 
 
 EDGE = "u long, v long, sim float"
 
 
-def by_group(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
-    """Tables of whole groups, from rows sorted by ``key``."""
-    held: list[pa.RecordBatch] = []
+def by_group(batches: Iterator[pa.RecordBatch], key: str, vector: str) -> Iterator[dict[str, np.ndarray]]:
+    """Columns of whole groups, from rows sorted by ``key``."""
+    held: dict[str, np.ndarray] | None = None
     for batch in batches:
         if not batch.num_rows:
             continue
-        k = batch.column(key).to_numpy(zero_copy_only=False)
-        cuts = [0, *(np.flatnonzero(k[1:] != k[:-1]) + 1).tolist(), batch.num_rows]
-        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-            if held and held[-1].column(key)[0].as_py() != k[a].item():
-                yield pa.Table.from_batches(held)
-                held = []
-            held.append(batch.slice(a, b - a))
-    if held:
-        yield pa.Table.from_batches(held)
+        new = {c: batch.column(c).to_numpy(zero_copy_only=False) for c in batch.schema.names if c != vector}
+        column = batch.column(vector)
+        new[vector] = from_bytes(column) if pa.types.is_binary(column.type) else matrix(column)
+        rows = new if held is None else {c: np.concatenate([held[c], new[c]]) for c in new}
+        cuts = [0, *(np.flatnonzero(rows[key][1:] != rows[key][:-1]) + 1).tolist()]
+        for a, b in zip(cuts[:-1], cuts[1:]):
+            yield {c: v[a:b] for c, v in rows.items()}
+        held = {c: v[cuts[-1] :] for c, v in rows.items()}
+    if held is not None:
+        yield held
 
 
 def edges(u: list, v: list, sim: list) -> pa.RecordBatch:
@@ -106,29 +125,28 @@ def cut_at_random(nodes: DataFrame, n: int, s: Settings, turn: int) -> DataFrame
         for batch in batches:
             if not batch.num_rows:
                 continue
-            x = matrix(batch.column("x"))
+            x = from_bytes(batch.column("q"))
             rng = np.random.Generator(np.random.PCG64(seed))
             for t in range(tables):
                 planes = rng.standard_normal((x.shape[1], bits))
                 code = ((x @ planes > 0) @ (1 << np.arange(bits))).astype(np.int64) + (t << 40) if bits else np.full(len(x), t << 40)
-                yield pa.RecordBatch.from_arrays([pa.array(code), batch.column("u"), batch.column("x")], ["cell", "u", "x"])
+                yield pa.RecordBatch.from_arrays([pa.array(code), batch.column("u"), batch.column("q")], ["cell", "u", "q"])
 
-    dim = nodes.schema["x"].dataType.simpleString()
-    cells = nodes.mapInArrow(keyed, f"cell long, u long, x {dim}")
+    cells = nodes.mapInArrow(keyed, "cell long, u long, q binary")
     sized = cells.groupBy("cell").agg(F.count("*").alias("n")).filter(F.col("n") > 2 * s.group)
     parts = small(Written(sized, "nn-cells").df, 200_000)
     split = F.pmod(F.xxhash64("u", F.lit(turn)), F.coalesce(F.ceil(F.col("n") / F.lit(s.group)), F.lit(1)))
-    dealt = cells.join(parts, "cell", "left").select(F.xxhash64("cell", split).alias("cell"), "u", "x")
+    dealt = cells.join(parts, "cell", "left").select(F.xxhash64("cell", split).alias("cell"), "u", "q")
 
     def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         us, vs, ss = [], [], []
-        for table in by_group(batches, "cell"):
-            x, ids = matrix(table.column("x").combine_chunks()).astype(np.float32), table.column("u").to_numpy()
-            row, col, sim = tops(ids, x @ x.T, s.neighbours)
-            us.append(ids[row])
-            vs.append(ids[col])
-            ss.append(sim)
-            if sum(map(len, us)) > 200_000:
+        for g in by_group(batches, "cell", "q"):
+            row, col, sim = tops(g["q"] @ g["q"].T, s.neighbours)
+            ok = sim >= s.floor
+            us.append(g["u"][row[ok]])
+            vs.append(g["u"][col[ok]])
+            ss.append(sim[ok])
+            if len(us) >= 2000:
                 yield edges(us, vs, ss)
                 us, vs, ss = [], [], []
         yield edges(us, vs, ss)
@@ -138,7 +156,7 @@ def cut_at_random(nodes: DataFrame, n: int, s: Settings, turn: int) -> DataFrame
 
 def shorten(candidates: DataFrame, k: int) -> DataFrame:
     """The k best of each list, equal entries merged: maximum and rank by Spark's sort."""
-    once = candidates.groupBy("u", "v").agg(F.max("sim").alias("sim"), F.min("old").alias("old"))
+    once = candidates.groupBy("u", "v").agg(F.max("sim").alias("sim"), F.max("old").alias("old"))
     place = F.row_number().over(Window.partitionBy("u").orderBy(F.col("sim").desc(), "v"))
     return once.withColumn("place", place).filter(F.col("place") <= k).select("u", "v", "sim", "old", "place")
 
@@ -159,31 +177,33 @@ def refine(graph: DataFrame, nodes: DataFrame, s: Settings) -> DataFrame:
     members = lists.unionByName(listed).groupBy(F.xxhash64("at", "part").alias("cell"), "m").agg(F.max("new").alias("new"))
     alive = members.groupBy("cell").agg(F.max("new").alias("any")).filter("any").select("cell")
     least = graph.filter(F.col("place") == s.neighbours).select(F.col("u").alias("m"), F.col("sim").alias("least"))
-    held = nodes.join(least, nodes["u"] == F.col("m"), "left").select(F.col("u").alias("m"), "x", F.coalesce("least", F.lit(-2.0).cast("float")).alias("least"))
+    held = nodes.join(least, nodes["u"] == F.col("m"), "left").select(F.col("u").alias("m"), "q", F.coalesce("least", F.lit(s.floor).cast("float")).alias("least"))
     dealt = members.join(alive, "cell", "left_semi").join(held, "m")
 
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         us, vs, ss = [], [], []
-        for table in by_group(batches, "cell"):
-            if table.num_rows < 2:
+        held = 0
+        for g in by_group(batches, "cell", "q"):
+            ids, new = g["m"], g["new"].astype(bool)
+            if len(ids) < 2:
                 continue
-            x = matrix(table.column("x").combine_chunks()).astype(np.float32)
-            ids, new, least = (table.column(c).to_numpy() for c in ("m", "new", "least"))
-            sims = x @ x.T
-            i, j = np.nonzero((sims > least[:, None]) & (new[:, None] | new[None, :]) & (ids[:, None] != ids[None, :]))
+            sims = g["q"] @ g["q"].T
+            i, j = np.nonzero((sims > g["least"][:, None]) & (new[:, None] | new[None, :]) & (ids[:, None] != ids[None, :]))
             us.append(ids[i])
             vs.append(ids[j])
             ss.append(sims[i, j])
-            if sum(map(len, us)) > 200_000:
+            held += len(i)
+            if held > 200_000 or len(us) >= 2000:
                 yield edges(us, vs, ss)
                 us, vs, ss = [], [], []
+                held = 0
         yield edges(us, vs, ss)
 
     return dealt.repartition("cell").sortWithinPartitions("cell").mapInArrow(local, EDGE)
 
 
 def descend(nodes: DataFrame, n: int, s: Settings, turn: int, graph: Written | None) -> Written:
-    """Lists from random cuts (and an earlier graph), refined until few places change."""
+    """Lists from random cuts (and an earlier graph), refined until few links come."""
     fresh = cut_at_random(nodes, n, s, turn).withColumn("old", F.lit(0))
     if graph:
         fresh = graph.df.select("u", "v", "sim", F.lit(1).alias("old")).unionByName(fresh)
@@ -192,12 +212,11 @@ def descend(nodes: DataFrame, n: int, s: Settings, turn: int, graph: Written | N
         more = refine(now.df, nodes, s).withColumn("old", F.lit(0))
         kept = now.df.select("u", "v", "sim", F.lit(1).alias("old"))
         # An entry that was there stays old: its pairs have met.
-        merged = kept.unionByName(more).groupBy("u", "v").agg(F.max("sim").alias("sim"), F.max("old").alias("old"))
-        after = Written(shorten(merged, s.neighbours), "nn-graph")
-        new = after.df.filter("old = 0").count()
+        after = Written(shorten(kept.unionByName(more), s.neighbours), "nn-graph")
+        new, all_ = after.df.filter(F.col("sim") >= s.near).agg(F.count(F.when(F.col("old") == 0, 1)), F.count("*")).first()
         now.drop()
         now = after
-        if new < s.still * n * s.neighbours:
+        if new <= s.still * all_:
             break
     return now
 
@@ -217,10 +236,10 @@ def verified(pairs: DataFrame, vectors: DataFrame, threshold: float) -> DataFram
 
 
 def counted_in_blocks(members: DataFrame, s: Settings) -> DataFrame:
-    """(u, n, other): for each vector of a group (root, u, x, w, n_group), the weight of all it links to.
+    """(u, n): for each vector of a group (root, u, x, w, n_group), the weight of all it links to.
 
-    ``other`` is one vector it links to. Groups are dealt into pairs of blocks,
-    so a task holds two blocks, and only counts leave it, never pairs.
+    Groups are dealt into pairs of blocks, so a task holds two blocks, and only
+    counts leave it, never pairs.
     """
     blocks = F.ceil(F.col("n_group") / F.lit(s.block)).cast("int")
     own = F.pmod(F.xxhash64("u"), blocks).cast("int")
@@ -228,10 +247,9 @@ def counted_in_blocks(members: DataFrame, s: Settings) -> DataFrame:
     cut = cut.select(F.xxhash64("root", F.least("own", "other"), F.greatest("own", "other")).alias("cell"), "own", "other", "u", "x", "w")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in by_group(batches, "cell"):
-            x = matrix(table.column("x").combine_chunks())
-            ids, w, side = (table.column(c).to_numpy() for c in ("u", "w", "own"))
-            one = table.column("own")[0].as_py() == table.column("other")[0].as_py()
+        for g in by_group(batches, "cell", "x"):
+            x, ids, w, side = g["x"], g["u"], g["w"], g["own"]
+            one = g["own"][0] == g["other"][0]
             for i in range(0, len(ids), 512):
                 sims = x[i : i + 512] @ x.T >= s.threshold
                 sims[np.arange(len(sims)), np.arange(i, i + len(sims))] = False
@@ -240,9 +258,9 @@ def counted_in_blocks(members: DataFrame, s: Settings) -> DataFrame:
                 n = sims @ w
                 hit = np.flatnonzero(n)
                 if len(hit):
-                    yield pa.RecordBatch.from_arrays([pa.array(ids[i : i + 512][hit]), pa.array(n[hit]), pa.array(ids[sims[hit].argmax(axis=1)])], ["u", "n", "other"])
+                    yield pa.RecordBatch.from_arrays([pa.array(ids[i : i + 512][hit]), pa.array(n[hit])], ["u", "n"])
 
-    return cut.repartition("cell").sortWithinPartitions("cell").mapInArrow(run, "u long, n long, other long")
+    return cut.repartition("cell").sortWithinPartitions("cell").mapInArrow(run, "u long, n long")
 
 
 def audit(nodes: DataFrame, found: DataFrame, s: Settings) -> tuple[int, int]:
@@ -292,28 +310,28 @@ def near_duplicates(df: DataFrame, id_col: str = "vec_id", vector_col: str = "em
             if batch.num_rows:
                 x = scaled(matrix(batch.column("vector")))
                 flat = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * x.shape[1]), pa.array(x.ravel()))
-                yield pa.RecordBatch.from_arrays([batch.column("u"), flat, batch.column("w")], ["u", "x", "w"])
+                yield pa.RecordBatch.from_arrays([batch.column("u"), flat, pa.array(to_bytes(x), pa.binary()), batch.column("w")], ["u", "x", "q", "w"])
 
     classes = fit.groupBy("vector").agg(F.min("vec_id").alias("first"), F.count("*").alias("w"))
     # A node's number is a hash of its vector, as ids may repeat or be null.
     named = Written(classes.withColumn("u", F.xxhash64("vector")), "nn-classes").df
-    nodes = Written(named.select("u", "vector", "w").mapInArrow(scale, "u long, x array<double>, w long"), "nn-nodes").df
+    nodes = Written(named.select("u", "vector", "w").mapInArrow(scale, "u long, x array<double>, q binary, w long"), "nn-nodes").df
     n = nodes.count()
     graph, turn = None, 0
     while True:
         before = graph
-        graph = descend(nodes.select("u", "x"), n, s, turn, before)
+        graph = descend(nodes.select("u", "q"), n, s, turn, before)
         if before:
             before.drop()
-        near = graph.df.filter(F.col("sim") >= s.threshold - 1e-3)
+        near = graph.df.filter(F.col("sim") >= s.near)
         pairs = near.select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b")).distinct()
         links = Written(verified(pairs, nodes, s.threshold), "nn-links").df
         root = Written(components(links), "nn-roots").df
-        full = graph.df.filter((F.col("place") == s.neighbours) & (F.col("sim") >= s.threshold - 1e-3)).select(F.col("u").alias("node"))
+        full = graph.df.filter((F.col("place") == s.neighbours) & (F.col("sim") >= s.near)).select(F.col("u").alias("node"))
         wide = Written(root.join(full, "node", "left_semi").select("root").distinct(), "nn-wide").df
         inside = root.join(wide, "root", "left_semi")
         sizes = inside.groupBy("root").agg(F.count("*").alias("n_group"))
-        members = inside.join(sizes, "root").join(nodes.withColumnRenamed("u", "node"), "node").select("root", F.col("node").alias("u"), "x", "w", "n_group")
+        members = inside.join(sizes, "root").join(nodes.select(F.col("u").alias("node"), "x", "w"), "node").select("root", F.col("node").alias("u"), "x", "w", "n_group")
         blocks = counted_in_blocks(members, s).groupBy("u").agg(F.sum("n").alias("n"))
         both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
         rest = both.join(inside.select(F.col("node").alias("a")), "a", "left_anti")
