@@ -64,7 +64,6 @@ class Writer:
         self.fs, self.folder = store(folder)
         self.name, self.draft = f"{self.folder}/{name}", f"{self.folder}/.{name}.{uuid.uuid4().hex}"
         self.width = width
-        self.press = codec(dictionary)[0]
         self.file = self.fs.open_output_stream(self.draft)
         self.at = 0
         self.ids: list[int] = []
@@ -77,12 +76,12 @@ class Writer:
         self.file.write(data)
         self.at += len(data)
 
-    def add(self, doc_id: int | None, ids: bytes) -> None:
+    def add(self, doc_id: int | None, n_tokens: int, frame: bytes) -> None:
         self.ids.append(doc_id or 0)
         self.null.append(int(doc_id is None))
         self.begin.append(self.at)
-        self.tokens.append(len(ids) // self.width)
-        self._put(self.press.compress(ids))
+        self.tokens.append(n_tokens)
+        self._put(frame)
 
     def close(self) -> None:
         index = self.at
@@ -151,10 +150,11 @@ def write(docs: DataFrame, folder: str | None = None, id_col: str = "doc_id", te
     """Write all documents in ascending order of ids; (folder, manifest).
 
     The manifest has a row per file: shard, name, n_docs, n_tokens, start (ids
-    in earlier files). Texts are dealt by ranges of the id, then encoded,
-    compressed and written where they lie, so they move once. Null ids come
-    first; rows that repeat an id are ordered by a hash of the text. Null and
-    empty texts have the end id alone. A file is written under a draft name and
+    in earlier files). Texts are encoded and compressed where they are read, so
+    only frames are dealt by ranges of the id and sorted; they are written in
+    between, so a lost executor does not encode again. Null ids come first;
+    rows that repeat an id are ordered by a hash of the text. Null and empty
+    texts have the end id alone. A file is written under a draft name and
     renamed, so a task that runs twice leaves one file.
     """
     spark = docs.sparkSession
@@ -168,23 +168,36 @@ def write(docs: DataFrame, folder: str | None = None, id_col: str = "doc_id", te
     with fs.open_output_stream(f"{base}/{DICTIONARY}") as f:
         f.write(dictionary)
 
+    width = encoder(path).width
+
+    def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, press = encoder(path), codec(dictionary)[0]
+        end = np.array([END], dtype=own.dtype).tobytes()
+        for batch in batches:
+            if batch.num_rows:
+                data = [x + end for x in own.encode([t or "" for t in batch.column("text").to_pylist()])]
+                n, frames = [len(x) // own.width for x in data], [press.compress(x) for x in data]
+                yield pa.RecordBatch.from_arrays([*batch.select(["doc_id", "text_hash"]).columns, pa.array(n), pa.array(frames, pa.binary())], ["doc_id", "text_hash", "n_tokens", "frame"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        own, shard = encoder(path), TaskContext.get().partitionId()
-        out, end, tokens = None, np.array([END], dtype=own.dtype).tobytes(), 0
-        for ids, texts in rows_of(batches, "doc_id", "text"):
-            out = out or Writer(folder, f"ids-{shard:08d}", own.width, dictionary)
-            for i, data in zip(ids, own.encode([t or "" for t in texts]), strict=True):
-                out.add(i, data + end)
-                tokens += len(data) // own.width + 1
+        shard, out = TaskContext.get().partitionId(), None
+        for rows in rows_of(batches, "doc_id", "n_tokens", "frame"):
+            out = out or Writer(folder, f"ids-{shard:08d}", width, dictionary)
+            for row in zip(*rows, strict=True):
+                out.add(*row)
         if out:
             out.close()
-            yield pa.RecordBatch.from_pydict({"shard": [shard], "name": [f"ids-{shard:08d}"], "n_docs": [len(out.ids)], "n_tokens": [tokens]})
+            yield pa.RecordBatch.from_pydict({"shard": [shard], "name": [f"ids-{shard:08d}"], "n_docs": [len(out.ids)], "n_tokens": [sum(out.tokens)]})
 
-    order = (F.col("doc_id").asc_nulls_first(), F.xxhash64("text"))
-    dealt = docs.repartitionByRange(*order).sortWithinPartitions(*order)
+    frames = Written(
+        docs.withColumn("text_hash", F.xxhash64("text")).mapInArrow(encoded, "doc_id long, text_hash long, n_tokens long, frame binary"), "ids-frames"
+    )
+    order = (F.col("doc_id").asc_nulls_first(), F.col("text_hash"))
+    dealt = frames.df.repartitionByRange(*order).sortWithinPartitions(*order)
     done = Written(dealt.mapInArrow(run, "shard long, name string, n_docs long, n_tokens long"), "ids-manifest").df
+    frames.drop()
     before = F.sum("n_tokens").over(Window.orderBy("shard")) - F.col("n_tokens")  # a row per file
     return folder, done.withColumn("start", before)
 

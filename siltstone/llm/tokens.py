@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import os
 import re
 import unicodedata
 from functools import lru_cache
@@ -11,6 +12,8 @@ import numpy as np
 
 #: Pieces whose ids a worker remembers.
 MOST_PIECES = 400_000
+#: Characters encoded at a time.
+BLOCK_CHARS = 1_000_000
 #: Characters whose classes are the same in every version of Unicode that has them.
 LAST = 0x250
 
@@ -32,6 +35,7 @@ class Encoder:
     """
 
     def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a worker has one core, and threads cost memory
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -83,6 +87,17 @@ class Encoder:
         return out
 
     def encode(self, texts: list[str]) -> list[bytes]:
+        """Ids of each text; so many texts at a time that their pieces stay few."""
+        out: list[bytes] = []
+        begin = held = 0
+        for i, t in enumerate(texts):
+            if held and held + len(t) > BLOCK_CHARS:
+                out += self._block(texts[begin:i])
+                begin, held = i, 0
+            held += len(t)
+        return out + self._block(texts[begin:])
+
+    def _block(self, texts: list[str]) -> list[bytes]:
         if not self.by_piece:
             return self._whole(texts)
         known = self.known
