@@ -6,6 +6,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -91,7 +92,6 @@ def suffix_repeats(words: np.ndarray, ends: np.ndarray, window: int = WINDOW) ->
     rank[order] = np.cumsum(new) - 1
     levels = [(window, rank)]
     h = window
-    place = {}
     while True:
         size = np.bincount(rank)
         tied = np.flatnonzero(size[rank] > 1)
@@ -121,8 +121,7 @@ def suffix_repeats(words: np.ndarray, ends: np.ndarray, window: int = WINDOW) ->
         rank = _rerank(fresh)
         h *= 2
         levels.append((h, rank))
-    place["sa"] = np.argsort(rank, kind="stable")
-    sa = keep[place["sa"]]
+    sa = keep[np.argsort(rank, kind="stable")]
     lcp = _common(sa, keep, levels, words, end_of, doc)
     best = np.zeros(len(sa), dtype=np.int64)
     best[1:] = lcp
@@ -133,8 +132,7 @@ def suffix_repeats(words: np.ndarray, ends: np.ndarray, window: int = WINDOW) ->
 
 
 def _dense(x: np.ndarray) -> np.ndarray:
-    import pandas as pd
-
+    """Numbers from 0 for equal values, in no order."""
     return pd.factorize(x)[0].astype(np.int64)
 
 
