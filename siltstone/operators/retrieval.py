@@ -128,10 +128,9 @@ def hydrate(hits: DataFrame, *parents: tuple[DataFrame, str, str]) -> DataFrame:
     Hits without a row are dropped; their ``rank`` stays. Hits are at most
     ``limit`` rows (a top-k), which bounds what is broadcast.
     """
-    out = F.broadcast(hits)
+    out = hits
     for table, key, ref in parents:
-        out = table.join(out, table[key] == out[ref], "inner").drop(out[ref] if ref == key else F.lit(None))
-        out = F.broadcast(out)
+        out = table.join(F.broadcast(out), F.col(key) == F.col(ref))
     return out
 
 
