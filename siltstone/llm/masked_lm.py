@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -15,6 +14,7 @@ from pyspark.sql import functions as F
 from .common import Written, rows_of, short_batches
 
 EDGE = 0  # stands before the first and after the last word
+BLOCK_TEXTS = 64  # numbered and scored together
 
 
 @dataclass(frozen=True)
@@ -42,22 +42,66 @@ class Settings:
         return 1 + self.words + self.buckets
 
 
-class Numbers(dict):
-    """Words to numbers; a word without one gets a bucket's, and few of those are remembered."""
+def split(text: str | None) -> list[bytes]:
+    return (text or "").encode("utf-8", "surrogatepass").lower().split()
 
-    def __init__(self, frequent: list[bytes], s: Settings):
-        super().__init__((w, i + 1) for i, w in enumerate(frequent))
-        self.first, self.buckets = 1 + s.words, s.buckets
 
-    def __missing__(self, word: bytes) -> int:
-        number = self.first + zlib.crc32(word) % self.buckets
-        if len(self) < 200_000:
-            self[word] = number
-        return number
+_SPACE = np.zeros(256, dtype=bool)
+_SPACE[[0x20, *range(0x09, 0x0E)]] = True
+_MASK = np.array([(1 << 8 * k) - 1 for k in range(9)], dtype=np.uint64)
 
 
-def split(text: str | None) -> list[bytes]:
-    return (text or "").encode("utf-8", "surrogatepass").lower().split()
+def word_hashes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """(a 64-bit hash of each word of all texts, words of each text), without a Python object per word.
+
+    The hash mixes a word's length, first and last eight bytes, ASCII letters lower-cased.
+    """
+    parts = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
+    raw = b"\n".join(parts).lower()
+    buffer = np.frombuffer(b" " * 8 + raw + b" " * 9, dtype=np.uint8)
+    space = _SPACE[buffer]
+    starts = np.flatnonzero(space[:-1] & ~space[1:]) + 1
+    ends = np.flatnonzero(~space[:-1] & space[1:]) + 1
+    eight = np.ndarray((len(buffer) - 7,), dtype="<u8", buffer=buffer, strides=(1,))  # eight bytes from each place on
+    length = ends - starts
+    short = np.minimum(length, 8)
+    first = eight[starts] & _MASK[short]
+    last = (eight[ends - 8] >> (8 * (8 - short)).astype(np.uint64)) & _MASK[short]
+    h = first * np.uint64(0x9E3779B97F4A7C15) ^ (last + length.astype(np.uint64)) * np.uint64(0xC2B2AE3D27D4EB4F)
+    h ^= h >> np.uint64(29)
+    h *= np.uint64(0xBF58476D1CE4E5B9)
+    h ^= h >> np.uint64(32)
+    # A text's words end before the line feed that follows it.
+    sizes = np.fromiter(map(len, parts), dtype=np.int64, count=len(parts)) + 1
+    upto = np.searchsorted(starts, 8 + np.cumsum(sizes))
+    return h, np.diff(upto, prepend=0)
+
+
+class Numbers:
+    """Numbers of words: frequent ones have their own, others a bucket's."""
+
+    def __init__(self, frequent: list[bytes], s: Settings):
+        h = word_hashes([w.decode("utf-8", "surrogatepass") for w in frequent])[0]
+        self.order = np.argsort(h)
+        self.known = h[self.order]
+        self.first, self.buckets, self.side = 1 + s.words, s.buckets, s.side
+
+    def of(self, h: np.ndarray) -> np.ndarray:
+        out = (self.first + (h % np.uint64(self.buckets)).astype(np.int32)).astype(np.int32)
+        if len(self.known):
+            at = np.minimum(np.searchsorted(self.known, h), len(self.known) - 1)
+            hit = self.known[at] == h
+            out[hit] = self.order[at[hit]] + 1
+        return out
+
+    def lay_out(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(line, place, text, counts): all words in a row, EDGE between texts; where each word lies, and its text."""
+        h, counts = word_hashes(texts)
+        text = np.repeat(np.arange(len(texts)), counts)
+        place = np.arange(len(h)) + self.side * text
+        line = np.zeros(len(h) + self.side * len(texts), dtype=np.int32)
+        line[place] = self.of(h)
+        return line, place, text, counts
 
 
 class Network:
@@ -109,10 +153,6 @@ class Network:
             x -= self.s.rate * d / np.sqrt(v)
 
 
-def numbered(words: list[bytes], numbers: Numbers) -> np.ndarray:
-    return np.fromiter(map(numbers.__getitem__, words), dtype=np.int32, count=len(words))
-
-
 def windows(ids: np.ndarray, at: np.ndarray, side: int) -> np.ndarray:
     """Numbers around each position of ``at``, without its own, in a text padded with EDGE."""
     padded = np.pad(ids, side)  # EDGE is zero
@@ -156,15 +196,16 @@ def train(docs: DataFrame, s: Settings) -> tuple[list[bytes], np.ndarray]:
             held_t: list[np.ndarray] = []
             held = seen = 0
             for (texts,) in rows_of(batches, "text"):
-                for text in texts:
-                    words = split(text)
-                    begin = (zlib.crc32(words[0]) if words else 0) + turn * (s.stride // s.rounds or 1)
-                    at = np.arange(begin % s.stride, len(words), s.stride)
-                    if not len(at):
+                for k in range(0, len(texts), BLOCK_TEXTS):
+                    line, place, text, counts = numbers.lay_out(texts[k : k + BLOCK_TEXTS])
+                    if not len(place):
                         continue
-                    ids = numbered(words, numbers)
-                    held_c.append(windows(ids, at, s.side))
-                    held_t.append(ids[at])
+                    first = np.cumsum(counts) - counts
+                    # Where a text begins depends on its number of words and the turn.
+                    begin = counts + turn * (s.stride // s.rounds or 1)
+                    at = place[(np.arange(len(place)) - first[text] + begin[text]) % s.stride == 0]
+                    held_c.append(windows(line, at, s.side))
+                    held_t.append(line[at])
                     held += len(at)
                     if held >= 8 * s.batch:
                         c, t = np.concatenate(held_c), np.concatenate(held_t)
@@ -174,7 +215,9 @@ def train(docs: DataFrame, s: Settings) -> tuple[list[bytes], np.ndarray]:
                         seen += held
                         held_c, held_t, held = [], [], 0
             if held:
-                net.step(np.concatenate(held_c), np.concatenate(held_t))
+                c, t = np.concatenate(held_c), np.concatenate(held_t)
+                for i in range(0, len(t), s.batch):
+                    net.step(c[i : i + s.batch], t[i : i + s.batch])
                 seen += held
             if seen:
                 part = TaskContext.get().partitionId()
@@ -201,20 +244,12 @@ def train(docs: DataFrame, s: Settings) -> tuple[list[bytes], np.ndarray]:
 
 def log_probabilities(texts: list[str | None], net: Network, numbers: Numbers) -> tuple[np.ndarray, np.ndarray]:
     """(words, summed conditional log-probability) of each text."""
-    ids = [numbered(split(t), numbers) for t in texts]
-    counts = np.array([len(x) for x in ids], dtype=np.int64)
+    line, place, of, counts = numbers.lay_out(texts)
     total = np.zeros(len(texts))
-    if not counts.sum():
-        return counts, total
-    gap = np.zeros(net.s.side, dtype=np.int32)
-    line = np.concatenate([y for x in ids for y in (x, gap)])
-    of = np.repeat(np.arange(len(ids)), counts + net.s.side)
-    inside = np.concatenate([np.arange(c + net.s.side) < c for c in counts])
-    at = np.flatnonzero(inside)
-    for i in range(0, len(at), 4096):
-        part = at[i : i + 4096]
+    for i in range(0, len(place), 4096):
+        part = place[i : i + 4096]
         logp = net.forward(windows(line, part, net.s.side))[2]
-        total += np.bincount(of[part], weights=logp[np.arange(len(part)), line[part]], minlength=len(texts))
+        total += np.bincount(of[i : i + 4096], weights=logp[np.arange(len(part)), line[part]], minlength=len(texts))
     return counts, total
 
 
@@ -238,9 +273,9 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", setti
             if not batch.num_rows:
                 continue
             texts = batch.column("text").to_pylist()
-            for i in range(0, len(texts), 128):
-                n, total = log_probabilities(texts[i : i + 128], net, numbers)
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(i, 128), pa.array(n), pa.array(total)], ["doc_id", "n_words", "log_likelihood"])
+            for i in range(0, len(texts), BLOCK_TEXTS):
+                n, total = log_probabilities(texts[i : i + BLOCK_TEXTS], net, numbers)
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(i, BLOCK_TEXTS), pa.array(n), pa.array(total)], ["doc_id", "n_words", "log_likelihood"])
 
     scored = docs.mapInArrow(run, "doc_id long, n_words long, log_likelihood double")
     return scored.withColumn("mean_log_likelihood", F.when(F.col("n_words") > 0, F.col("log_likelihood") / F.col("n_words")))

@@ -62,12 +62,27 @@ def test_batches_score_texts_as_alone():
     assert n.tolist() == [3, 0, 0, 4, 1]
     for k, t in enumerate(texts):
         assert masked_lm.log_probabilities([t], net, numbers)[1][0] == pytest.approx(total[k], abs=1e-3)
-        ids = masked_lm.numbered(masked_lm.split(t), numbers)
+        ids = numbers.of(masked_lm.word_hashes([t])[0])
         at = np.arange(len(ids))
         direct = net.forward(masked_lm.windows(ids, at, s.side))[2][at, ids].sum() if len(ids) else 0
         assert direct == pytest.approx(total[k], abs=1e-3)
 
 
+def test_words_are_told_apart():
+    import re
+
+    texts = ["One two\tTHREE\x0bfour  ", None, "", " \n", "a", "ab abcdefgh abcdefghi Abcdefghi xabcdefgh é É e\u00a0e", "w" * 30 + " x"]
+    h, counts = masked_lm.word_hashes(texts)
+    words = [re.sub("[A-Z]", lambda m: m[0].lower(), w) for t in texts for w in re.findall(r"[^\x20\x09-\x0D]+", t or "")]
+    assert counts.tolist() == [len(re.findall(r"[^\x20\x09-\x0D]+", t or "")) for t in texts]
+    assert len(h) == len(words) and len(set(h.tolist())) == len(set(words))
+    by: dict = {}
+    assert all(by.setdefault(w, x) == x for w, x in zip(words, h.tolist(), strict=True))
+    n = Numbers([b"two", b"\xc3\xa9"], Settings())
+    ids = dict(zip(words, n.of(h).tolist(), strict=True))
+    assert ids["two"] == 1 and ids["é"] == 2 and all(i >= 160 for w, i in ids.items() if w not in ("two", "é"))
+
+
 def grammar(rng, n):
     """Pairs of words that always stand together, in random order of pairs."""
     pairs = [(f"l{i}", f"r{i}") for i in range(12)]
