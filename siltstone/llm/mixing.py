@@ -11,6 +11,8 @@ from .common import Written, n_words, small
 #: Sources up to which the table of targets is broadcast (one short row each).
 BROADCAST_SOURCES = 50_000
 SEED = 7
+#: Digits of the drawing (128 bits) that each step toward a source's stop looks at.
+DIGITS = (3, 6, 32)
 
 
 def draw(doc_id: Column, seed: int) -> Column:
@@ -74,9 +76,10 @@ def plan(
 
     Every document of a source is taken ``whole`` times. One more repetition
     goes to the documents before ``cut`` in the seeded order; those at ``cut``
-    (one id) give ``cut_part`` of their ``cut_size`` words. The stop is found in
-    two steps: sums over 65,536 ranges of the drawing, then the one range in
-    which it falls, so that no task ever holds a source.
+    (one id) give ``cut_part`` of their ``cut_size`` words. The stop is found by
+    digits of the drawing: sums over its 4,096 ranges, then over the 4,096
+    parts of the range in which it falls, then in that part. So a window sees
+    at most 4,096 rows of a source, then 1/16,777,216 of its documents.
     """
     sizes = Written(
         docs.select(
@@ -86,8 +89,7 @@ def plan(
         ),
         "mix-sizes",
     ).df
-    in_range = sizes.groupBy("source", F.substring("drawn", 1, 4).alias("part")).agg(F.sum("size").alias("size"))
-    ranges = Written(in_range, "mix-ranges").df
+    ranges = Written(sizes.groupBy("source", F.substring("drawn", 1, DIGITS[0]).alias("part")).agg(F.sum("size").alias("size")), "mix-ranges").df
     goal = Written(
         targets(ranges.groupBy("source").agg(F.sum("size").alias("source_size")), share, weights, epochs)
         .withColumn("whole", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long"))
@@ -95,28 +97,23 @@ def plan(
         "mix-goal",
     ).df
     same = lambda a, b: a["source"].eqNullSafe(b["source"])
+
+    def stop(parts: DataFrame) -> DataFrame:
+        """The part (source, part, size, left) in which ``left`` words are reached."""
+        before = F.sum("size").over(Window.partitionBy("source").orderBy("part")) - F.col("size")
+        return (
+            parts.withColumn("before", before)
+            .filter((F.col("before") <= F.col("left")) & (F.col("before") + F.col("size") > F.col("left")))
+            .select("source", "part", "size", (F.col("left") - F.col("before")).alias("left"))
+        )
+
     g = small(goal, BROADCAST_SOURCES)
-    run = Window.partitionBy("source").orderBy("part")
-    at = (
-        ranges.join(g, same(ranges, g))
-        .select(ranges["source"], "part", "size", "extra")
-        .withColumn("upto", F.sum("size").over(run))
-        .filter((F.col("upto") > F.col("extra")) & (F.col("upto") - F.col("size") <= F.col("extra")) & (F.col("extra") > 0))
-        .select("source", "part", (F.col("extra") - F.col("upto") + F.col("size")).alias("left"))
-    )
-    at = small(Written(at, "mix-part").df, BROADCAST_SOURCES)
-    near = (
-        sizes.join(at, same(sizes, at) & (F.substring(sizes["drawn"], 1, 4) == at["part"]))
-        .groupBy(sizes["source"], "drawn", "left")
-        .agg(F.sum("size").alias("size"))
-    )
-    upto = F.sum("size").over(Window.partitionBy("source").orderBy("drawn"))
-    cut = near.withColumn("upto", upto).filter(
-        (F.col("upto") > F.col("left")) & (F.col("upto") - F.col("size") <= F.col("left"))
-    )
-    cut = cut.select(
-        "source", F.col("drawn").alias("cut"), (F.col("left") - F.col("upto") + F.col("size")).alias("cut_part"), F.col("size").alias("cut_size")
-    )
+    at = stop(ranges.join(g.filter("extra > 0"), same(ranges, g)).select(ranges["source"], "part", "size", F.col("extra").alias("left")))
+    for known, digits in zip(DIGITS, DIGITS[1:]):
+        k = small(Written(at.select("source", "part", "left"), "mix-stop").df, BROADCAST_SOURCES)
+        inside = sizes.join(k, same(sizes, k) & (F.substring(sizes["drawn"], 1, known) == k["part"]))
+        at = stop(inside.groupBy(sizes["source"], "left", F.substring("drawn", 1, digits).alias("part")).agg(F.sum(sizes["size"]).alias("size")))
+    cut = at.select("source", F.col("part").alias("cut"), F.col("left").alias("cut_part"), F.col("size").alias("cut_size"))
     return Written(
         goal.join(cut, same(goal, cut), "left").select(goal["*"], "cut", "cut_part", "cut_size"), "mix-plan"
     ).df
