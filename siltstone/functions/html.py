@@ -153,6 +153,8 @@ def main_text(html: str | None) -> str:
 def to_markdown(node: Node) -> str:
     """Markdown of a tree, without navigation, headers, footers, scripts and styles."""
 
+    code: list[str] = []  # keeps its white space
+
     def inline(kids) -> str:
         return re.sub(r"\s+", " ", "".join(render(k, True) for k in kids))
 
@@ -165,7 +167,8 @@ def to_markdown(node: Node) -> str:
         if re.fullmatch("h[1-6]", t):
             return f"\n\n{'#' * int(t[1])} {inline(x.kids).strip()}\n\n"
         if t == "pre":
-            return f"\n\n```\n{x.text().strip(chr(10))}\n```\n\n"
+            code.append(x.text().strip("\n"))
+            return f"\n\n```\n\0{len(code) - 1}\0\n```\n\n"
         if t == "code":
             return f"`{x.text()}`"
         if t in ("b", "strong", "em", "i"):
@@ -195,7 +198,8 @@ def to_markdown(node: Node) -> str:
 
     text = render(node)
     text = re.sub(r"[ \t]+\n", "\n", re.sub(r"\n[ \t]+", "\n", text))
-    return re.sub(r"\n{4,}", "\n\n\n", re.sub(r"\n{3,}", "\n\n", text)).strip()
+    text = re.sub(r"\n{3,}", "\n\n", text).strip()
+    return re.sub("\0(\\d+)\0", lambda m: code[int(m[1])], text)
 
 
 def convert(html: str | None) -> dict:

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..session import written
+
 STATUSES = ("not_indexed", "queued", "running", "completed", "failed", "cancelled", "updating")
 #: The version status that a job's status implies.
 OF_JOB = {"queued": "queued", "running": "running", "cancelling": "running", "completed": "completed", "failed": "failed", "cancelled": "cancelled"}
@@ -72,15 +74,17 @@ def find_or_create(table: DataFrame, wanted: DataFrame, name: str, key: str) ->
 def assign_ids(new: DataFrame, old: DataFrame, key: str, order: Sequence[str]) -> DataFrame:
     """New rows numbered after the largest id, in ``order``.
 
-    Numbers are given in two steps, a count per range of the order and a rank
-    within it, so no task sees all rows.
+    Rows are dealt by ranges of the order, sorted, and written with their place
+    in their range; a count per range then gives the number before it. So no
+    task sees all rows, and ranges are drawn once.
     """
     top = old.agg(F.coalesce(F.max(key), F.lit(0)).cast("long")).scalar()
-    dealt = new.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id())
-    sizes = dealt.groupBy("_part").agg(F.count("*").alias("_n"))
-    before = sizes.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_before"))  # a row per task
-    local = F.row_number().over(Window.partitionBy("_part").orderBy(*order))
-    return dealt.join(before, "_part").withColumn(key, (top + F.col("_before") + local).cast("long")).drop("_part", "_before")
+    dealt = new.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_m", F.monotonically_increasing_id())
+    placed = written(dealt, "ids").withColumns({"_part": F.shiftrightunsigned("_m", 33), "_place": F.col("_m").bitwiseAND(F.lit((1 << 33) - 1))})
+    sizes = placed.groupBy("_part").agg(F.count("*").alias("_n"))
+    before = sizes.select("_part", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_before"))  # a row per range
+    numbered = placed.join(before, "_part").withColumn(key, (top + F.col("_before") + F.col("_place") + 1).cast("long"))
+    return numbered.drop("_m", "_part", "_place", "_before")
 
 
 def delete_cascade(tables: Sequence[tuple[str, DataFrame, str, str | None]], root: Column) -> dict[str, DataFrame]:

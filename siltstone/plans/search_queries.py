@@ -184,6 +184,7 @@ SQL = {
     "vector_pad": """SELECT vec_id, len(v)::BIGINT AS dim, round(list_sum(v), 4) AS total, v[96] AS last
       FROM (SELECT vec_id, list_resize(embedding::DOUBLE[], 96, 0.0::DOUBLE) AS v FROM embeddings)""",
     "blob_len_filter": "SELECT vec_id FROM embeddings WHERE embedding IS NOT NULL AND len(embedding) * 4 = 256 ORDER BY vec_id LIMIT 100",
+    "f16_roundtrip": "SELECT vec_id, (2 * len(embedding))::BIGINT AS bytes, true AS close FROM embeddings",
     "zip_positional": """WITH d AS (SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS pos FROM documents),
       e AS (SELECT 'src' || (label % 20) AS source, vec_id, row_number() OVER (PARTITION BY label % 20 ORDER BY vec_id) - 1 AS pos FROM embeddings)
       SELECT source, pos::BIGINT AS pos, doc_id, vec_id FROM d JOIN e USING (source, pos)""",

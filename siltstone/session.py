@@ -6,6 +6,7 @@ import atexit
 import os
 import shutil
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -62,3 +63,10 @@ def shared_root(spark: SparkSession) -> str:
         _own.append(tempfile.mkdtemp(prefix="siltstone-"))
         atexit.register(shutil.rmtree, _own[0], ignore_errors=True)
     return f"file://{_own[0]}"
+
+
+def written(df: DataFrame, tag: str) -> DataFrame:
+    """``df``, written to the shared folder and read again: what follows sees one and the same result."""
+    path = f"{shared_root(df.sparkSession)}/siltstone/{tag}-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
