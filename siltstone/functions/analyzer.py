@@ -113,4 +113,4 @@ def stemmed_tokens(s: Column) -> Column:
     def stemmed(texts: pd.Series) -> pd.Series:
         return texts.map(analyze)
 
-    return stemmed(s)
+    return stemmed.asNondeterministic()(s)  # so that no filter repeats it

@@ -55,6 +55,11 @@ def _equals(term: str):
     return lambda t: t == F.lit(term)
 
 
+def _has(terms: Sequence[str]) -> str:
+    """A pattern for texts that have one of ``terms`` as a token."""
+    return rf"(?:^|[^\p{{L}}\p{{N}}])(?:{'|'.join(terms)})(?:[^\p{{L}}\p{{N}}]|$)"
+
+
 def bm25(docs: DataFrame, terms: Sequence[str], id_col: str = "doc_id", text_col: str = "text", tokens: Column | None = None, also: Sequence[str] = ()) -> DataFrame:
     """(doc_id, score, ``also``) of every document that has one of ``terms``.
 
@@ -66,9 +71,12 @@ def bm25(docs: DataFrame, terms: Sequence[str], id_col: str = "doc_id", text_col
     wanted = list(dict.fromkeys(terms))
     of = tokens if tokens is not None else text.tokens(F.col(text_col))
     counts = [F.size(F.filter("tokens", _equals(w))).alias(f"tf{i}") for i, w in enumerate(wanted)]
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), *also, of.alias("tokens")).select(
-        "doc_id", *also, F.coalesce(F.greatest(F.size("tokens"), F.lit(0)), F.lit(0)).alias("dl"), *counts
-    )
+
+    def counted(df: DataFrame) -> DataFrame:
+        tokenized = df.select(F.col(id_col).cast("long").alias("doc_id"), *also, of.alias("tokens"))
+        return tokenized.select("doc_id", *also, F.coalesce(F.greatest(F.size("tokens"), F.lit(0)), F.lit(0)).alias("dl"), *counts)
+
+    rows = counted(docs)
     stats = rows.agg(
         F.struct(
             F.count("*").cast("double").alias("n"),
@@ -76,7 +84,11 @@ def bm25(docs: DataFrame, terms: Sequence[str], id_col: str = "doc_id", text_col
             F.array(*[F.count(F.when(F.col(f"tf{i}") > 0, 1)).cast("double") for i in range(len(wanted))] or [F.lit(0.0)]).alias("df"),
         )
     ).scalar()
-    scored = rows.filter(F.greatest(F.lit(0), *[F.col(f"tf{i}") for i in range(len(wanted))], F.lit(0)) > 0).withColumn("s", stats)
+    if tokens is None and wanted:  # a test of the text itself: one of the counts would bring the tokens into the filter again
+        scored = counted(docs.filter(F.lower(text_col).rlike(_has(wanted))))
+    else:
+        scored = rows.filter(F.greatest(F.lit(0), *[F.col(f"tf{i}") for i in range(len(wanted))], F.lit(0)) > 0)
+    scored = scored.withColumn("s", stats)
     score = F.lit(0.0)
     for term in terms:
         i = wanted.index(term)

@@ -8,13 +8,18 @@ from pyspark.sql.window import Window
 
 from ..functions import text, vectors
 from ..operators import catalog, retrieval
-from ..session import load
+from ..session import load, spread
 
 TERMS = ("the", "time", "de", "the")
 QUERY = " ".join(TERMS)
 LIMIT = 10
 
 
+def _texts(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    """A table of long texts, on all cores."""
+    return spread(load(spark, sf, name))
+
+
 def query_vector(spark: SparkSession, sf: str, vec_id: int = 7) -> list[float]:
     """The query: one stored vector, a row of the driver's."""
     row = load(spark, sf, "embeddings").filter(F.col("vec_id") == vec_id).select("embedding").first()
@@ -34,21 +39,21 @@ def knn_cosine(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def bm25_search(spark: SparkSession, sf: str) -> DataFrame:
-    return retrieval.full_text(load(spark, sf, "documents"), QUERY, 3 * LIMIT)
+    return retrieval.full_text(_texts(spark, sf, "documents"), QUERY, 3 * LIMIT)
 
 
 def fts_only_search(spark: SparkSession, sf: str) -> DataFrame:
-    return retrieval.full_text(load(spark, sf, "documents"), QUERY, LIMIT, F.col("source") == "src1", also=("source",))
+    return retrieval.full_text(_texts(spark, sf, "documents"), QUERY, LIMIT, F.col("source") == "src1", also=("source",))
 
 
 def fts_store_search(spark: SparkSession, sf: str) -> DataFrame:
-    docs = load(spark, sf, "documents")
+    docs = _texts(spark, sf, "documents")
     hits = retrieval.full_text(docs, QUERY, LIMIT, (F.col("source") == "src1") & (F.col("lang") == "en"), also=("source", "lang"))
     return docs.join(F.broadcast(hits), "doc_id").select("doc_id", "source", "lang")  # ten hits
 
 
 def search_all_versions(spark: SparkSession, sf: str) -> DataFrame:
-    return retrieval.full_text(load(spark, sf, "documents"), QUERY, LIMIT, F.col("source") == "src3", also=("source",))
+    return retrieval.full_text(_texts(spark, sf, "documents"), QUERY, LIMIT, F.col("source") == "src3", also=("source",))
 
 
 def rrf_fusion(spark: SparkSession, sf: str) -> DataFrame:
@@ -60,7 +65,7 @@ def rrf_fusion(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def hybrid_search(spark: SparkSession, sf: str) -> DataFrame:
-    return retrieval.hybrid(load(spark, sf, "documents"), load(spark, sf, "embeddings"), QUERY, query_vector(spark, sf))
+    return retrieval.hybrid(_texts(spark, sf, "documents"), load(spark, sf, "embeddings"), QUERY, query_vector(spark, sf))
 
 
 def hydrate_chain(spark: SparkSession, sf: str) -> DataFrame:
@@ -82,7 +87,7 @@ def search_hydrated(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def format_results(spark: SparkSession, sf: str) -> DataFrame:
-    docs = load(spark, sf, "documents")
+    docs = _texts(spark, sf, "documents")
     hits = retrieval.full_text(docs, QUERY, LIMIT)
     rows = docs.select("doc_id", "source", "text").join(F.broadcast(hits), "doc_id")  # ten hits
     return rows.select("rank", retrieval.formatted(F.col("rank"), F.col("source"), F.round("score", 3), F.col("text")).alias("block"))
@@ -90,7 +95,7 @@ def format_results(spark: SparkSession, sf: str) -> DataFrame:
 
 def search_latest_version(spark: SparkSession, sf: str) -> DataFrame:
     """Search within the newest version of each source: the language of its last document."""
-    docs = load(spark, sf, "documents")
+    docs = _texts(spark, sf, "documents")
     newest = catalog.latest(docs.select("source", "lang", "doc_id"), "source", "doc_id", "lang").select("source", "lang")
     hits = retrieval.bm25(docs, TERMS, also=("source", "lang"))
     return retrieval.ranked(hits.join(newest, ["source", "lang"], "left_semi").select("doc_id", "score"), (F.desc("score"), "doc_id"), LIMIT)
@@ -102,7 +107,7 @@ def fts_query_clean(spark: SparkSession, sf: str) -> DataFrame:
 
 def fts_source_rows(spark: SparkSession, sf: str) -> DataFrame:
     """What the index holds of a document: its text with its page's title and address."""
-    d, p = load(spark, sf, "documents"), load(spark, sf, "pages")
+    d, p = _texts(spark, sf, "documents"), _texts(spark, sf, "pages")
     return d.join(p, d["doc_id"] == p["page_id"]).select("doc_id", F.col("text").alias("content"), "url", F.concat_ws("/", "source", "lang").alias("path"))
 
 
@@ -127,7 +132,7 @@ def blob_len_filter(spark: SparkSession, sf: str) -> DataFrame:
 
 def zip_positional(spark: SparkSession, sf: str) -> DataFrame:
     """Chunks and vectors of one parent paired by position, as far as both reach."""
-    d = load(spark, sf, "documents").groupBy("source").agg(F.sort_array(F.collect_list("doc_id")).alias("chunks"))
+    d = _texts(spark, sf, "documents").groupBy("source").agg(F.sort_array(F.collect_list("doc_id")).alias("chunks"))
     e = load(spark, sf, "embeddings").groupBy(F.concat(F.lit("src"), F.pmod("label", F.lit(20))).alias("source")).agg(F.sort_array(F.collect_list("vec_id")).alias("vectors"))
     both = d.join(e, "source").withColumn("n", F.least(F.size("chunks"), F.size("vectors")))
     pairs = F.arrays_zip(F.slice("chunks", F.lit(1), F.col("n")).alias("doc_id"), F.slice("vectors", F.lit(1), F.col("n")).alias("vec_id"))

@@ -9,13 +9,18 @@ from pyspark.sql.window import Window
 from .. import engine
 from ..functions import text
 from ..operators import embedding
-from ..session import load
+from ..session import load, spread
 from ..streaming import events
 
 #: The job status that each event type of the fixture stands for.
 STATUS = {"click": "queued", "view": "running", "purchase": "completed", "signup": "cancelled", "error": "failed"}
 
 
+def _texts(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    """A table of long texts, on all cores."""
+    return spread(load(spark, sf, name))
+
+
 def _status():
     out = F.lit(None).cast("string")
     for kind, status in STATUS.items():
@@ -77,13 +82,13 @@ def progress_throttle(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def rate_limit_sim(spark: SparkSession, sf: str) -> DataFrame:
-    rows = load(spark, sf, "documents").select("source", (F.col("doc_id") * 0.05).alias("at"), text.estimate_tokens(F.col("text")).alias("tokens"))
+    rows = _texts(spark, sf, "documents").select("source", (F.col("doc_id") * 0.05).alias("at"), text.estimate_tokens(F.col("text")).alias("tokens"))
     return embedding.simulate_limits(rows, "source", "at", "tokens", 60, 20_000, 0.1)
 
 
 def index_pages(spark: SparkSession, sf: str) -> DataFrame:
     """Pages converted, split and embedded: the rows that indexing stores."""
-    return engine.index_rows(load(spark, sf, "pages"), embedding.create("hash:hash-64")).select("page_id", "sort_order", "content", "level", F.size("embedding").cast("long").alias("dim"))
+    return engine.index_rows(_texts(spark, sf, "pages"), embedding.create("hash:hash-64")).select("page_id", "sort_order", "content", "level", F.size("embedding").cast("long").alias("dim"))
 
 
 QUERIES = {k: f for k, f in list(globals().items()) if callable(f) and getattr(f, "__module__", "") == __name__ and not k.startswith("_")}

@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 
 from ..functions import html, splitters, text, urls
 from ..operators import crawl, embedding
-from ..session import load
+from ..session import load, spread
 
 MARKDOWN = "# One\nintro\n## Two\ntext\n### Three\n#### \n##Tight\n####### seven\nplain # text\n## Again"
 CODE = [
@@ -27,31 +27,36 @@ SITE = [
 ]
 
 
+def _texts(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    """A table of long texts, on all cores."""
+    return spread(load(spark, sf, name))
+
+
 def _lines(spark: SparkSession) -> DataFrame:
     one = spark.range(1).select(F.posexplode(text.lines(F.lit(MARKDOWN))).alias("n", "line"))
     return one.select(F.col("n").cast("long").alias("n"), "line")
 
 
 def estimate_tokens(spark: SparkSession, sf: str) -> DataFrame:
-    return load(spark, sf, "documents").select("doc_id", text.estimate_tokens(F.col("text")).alias("tokens"))
+    return _texts(spark, sf, "documents").select("doc_id", text.estimate_tokens(F.col("text")).alias("tokens"))
 
 
 def batch_tokens(spark: SparkSession, sf: str) -> DataFrame:
-    return load(spark, sf, "documents").groupBy("source").agg(F.sum(text.estimate_tokens(F.col("text"))).alias("tokens"))
+    return _texts(spark, sf, "documents").groupBy("source").agg(F.sum(text.estimate_tokens(F.col("text"))).alias("tokens"))
 
 
 def text_lengths(spark: SparkSession, sf: str) -> DataFrame:
     t = F.col("text")
-    return load(spark, sf, "documents").select("doc_id", text.char_length(t).alias("chars"), text.byte_length(t).alias("bytes"), text.char_length(text.trim_all(t)).alias("trimmed"), F.lower(F.substring(t, 1, 20)).alias("start"))
+    return _texts(spark, sf, "documents").select("doc_id", text.char_length(t).alias("chars"), text.byte_length(t).alias("bytes"), text.char_length(text.trim_all(t)).alias("trimmed"), F.lower(F.substring(t, 1, 20)).alias("start"))
 
 
 def preview(spark: SparkSession, sf: str) -> DataFrame:
-    return load(spark, sf, "documents").select("doc_id", text.preview(F.col("text"), 200).alias("p200"), text.escape_html(text.preview(F.col("text"), 300)).alias("p300"))
+    return _texts(spark, sf, "documents").select("doc_id", text.preview(F.col("text"), 200).alias("p200"), text.escape_html(text.preview(F.col("text"), 300)).alias("p300"))
 
 
 def newline_collapse(spark: SparkSession, sf: str) -> DataFrame:
     wide = F.concat(F.lit("\n\n"), F.regexp_replace("text", "\n", "\n\n\n\n\n"), F.lit("\n"))
-    return load(spark, sf, "documents").select("doc_id", text.collapse_newlines(wide).alias("text"))
+    return _texts(spark, sf, "documents").select("doc_id", text.collapse_newlines(wide).alias("text"))
 
 
 def atx_headers(spark: SparkSession, sf: str) -> DataFrame:
@@ -74,7 +79,7 @@ def brace_balance(spark: SparkSession, sf: str) -> DataFrame:
     delta = text.count_of(F.col("html"), "{") - text.count_of(F.col("html"), "}") + 1
     one = F.substring_index(F.substring_index(F.col("url"), "://", -1), "/", 1)
     w = Window.partitionBy("host").orderBy("page_id").rowsBetween(Window.unboundedPreceding, 0)
-    return load(spark, sf, "pages").select(one.alias("host"), "page_id", delta.alias("d")).select("page_id", F.sum("d").over(w).alias("balance"))
+    return _texts(spark, sf, "pages").select(one.alias("host"), "page_id", delta.alias("d")).select("page_id", F.sum("d").over(w).alias("balance"))
 
 
 def json_path(spark: SparkSession, sf: str) -> DataFrame:
@@ -95,62 +100,62 @@ def parse_model_spec(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def url_resolve_rooted(spark: SparkSession, sf: str) -> DataFrame:
-    p = load(spark, sf, "pages").select("page_id", "url", F.posexplode(html.hrefs_expr(F.col("html"))).alias("pos", "href"))
+    p = _texts(spark, sf, "pages").select("page_id", "url", F.posexplode(html.hrefs_expr(F.col("html"))).alias("pos", "href"))
     return p.select("page_id", F.col("pos").cast("long").alias("pos"), urls.resolve_rooted(F.col("url"), F.col("href")).alias("target"))
 
 
 def extract_links(spark: SparkSession, sf: str) -> DataFrame:
-    p = load(spark, sf, "pages").select("page_id", "url", html.links_column(F.col("html"), F.col("url")).alias("l"))
+    p = _texts(spark, sf, "pages").select("page_id", "url", html.links_column(F.col("html"), F.col("url")).alias("l"))
     return p.select("page_id", F.size("l").cast("long").alias("links"), F.size(F.filter("l", lambda x: x["is_internal"])).cast("long").alias("internal"), F.element_at("l", 1)["url"].alias("first"))
 
 
 def links_dedup(spark: SparkSession, sf: str) -> DataFrame:
-    return load(spark, sf, "pages").select("page_id", F.posexplode(F.array_distinct(html.hrefs_expr(F.col("html")))).alias("pos", "href")).select("page_id", F.col("pos").cast("long").alias("pos"), "href")
+    return _texts(spark, sf, "pages").select("page_id", F.posexplode(F.array_distinct(html.hrefs_expr(F.col("html")))).alias("pos", "href")).select("page_id", F.col("pos").cast("long").alias("pos"), "href")
 
 
 def links_skip(spark: SparkSession, sf: str) -> DataFrame:
     extra = F.array(*[F.lit(x) for x in ("#section", "javascript:void(0)", "mailto:a@b.c", "tel:1", "data:x", "  ", " valid ")])
-    p = load(spark, sf, "pages").select("page_id", F.explode(F.concat(html.hrefs_expr(F.col("html")), extra)).alias("href"))
+    p = _texts(spark, sf, "pages").select("page_id", F.explode(F.concat(html.hrefs_expr(F.col("html")), extra)).alias("href"))
     return p.groupBy("page_id").agg(F.count(F.when(~urls.leads_nowhere(F.col("href")), 1)).alias("kept"), F.count(F.when(urls.leads_nowhere(F.col("href")), 1)).alias("skipped"))
 
 
 def crawl_filter(spark: SparkSession, sf: str) -> DataFrame:
     ok = urls.wanted(F.col("url"), urls.host(F.lit("https://ththre.example.com/")), [r"/(fr|en)/", "("], [r"\?page="])
-    return load(spark, sf, "pages").select("page_id", ok.alias("wanted"))
+    return _texts(spark, sf, "pages").select("page_id", ok.alias("wanted"))
 
 
 def filter_links(spark: SparkSession, sf: str) -> DataFrame:
     kept = urls.filter_links(html.hrefs_expr(F.col("html")), ["^/[a-m]", "e$"], ["^/the"])
-    return load(spark, sf, "pages").select("page_id", F.size(kept).cast("long").alias("n"), F.array_join(kept, " ").alias("links"))
+    return _texts(spark, sf, "pages").select("page_id", F.size(kept).cast("long").alias("n"), F.array_join(kept, " ").alias("links"))
 
 
 def crawl_frontier(spark: SparkSession, sf: str) -> DataFrame:
-    p = load(spark, sf, "pages")
+    p = _texts(spark, sf, "pages")
     links = p.select(F.explode(html.hrefs_expr(F.col("html"))).alias("href"), "url").select(urls.resolve_rooted(F.col("url"), F.col("href")).alias("url"))
     visited = links.filter(F.length("url") % 3 == 0).unionByName(p.select("url"))
     return crawl.frontier(links, visited)
 
 
 def extract_title(spark: SparkSession, sf: str) -> DataFrame:
-    return load(spark, sf, "pages").select("page_id", html.title_expr(F.col("html")).alias("title"))
+    return _texts(spark, sf, "pages").select("page_id", html.title_expr(F.col("html")).alias("title"))
 
 
 def extract_description(spark: SparkSession, sf: str) -> DataFrame:
     made = F.concat(F.lit('<meta name="description" content="'), html.title_expr(F.col("html")), F.lit('">'), F.col("html"))
-    return load(spark, sf, "pages").select("page_id", html.description_expr(made).alias("description"))
+    return _texts(spark, sf, "pages").select("page_id", html.description_expr(made).alias("description"))
 
 
 def html_to_markdown(spark: SparkSession, sf: str) -> DataFrame:
-    p = load(spark, sf, "pages").select("page_id", html.markdown_column(F.col("html")).alias("p"))
+    p = _texts(spark, sf, "pages").select("page_id", html.markdown_column(F.col("html")).alias("p"))
     return p.select("page_id", "p.title", "p.content", "p.excerpt")
 
 
 def main_text(spark: SparkSession, sf: str) -> DataFrame:
-    return load(spark, sf, "pages").select("page_id", html.main_text_column(F.col("html")).alias("text"))
+    return _texts(spark, sf, "pages").select("page_id", html.main_text_column(F.col("html")).alias("text"))
 
 
 def process_pages(spark: SparkSession, sf: str) -> DataFrame:
-    return crawl.process(load(spark, sf, "pages")).select("page_id", "url", "title", "content", F.size("links").cast("long").alias("n_links"))
+    return crawl.process(_texts(spark, sf, "pages")).select("page_id", "url", "title", "content", F.size("links").cast("long").alias("n_links"))
 
 
 def crawl_bfs(spark: SparkSession, sf: str) -> DataFrame:
@@ -164,16 +169,16 @@ def _split(df: DataFrame, key: str, column, split, **options) -> DataFrame:
 
 
 def split_markdown(spark: SparkSession, sf: str) -> DataFrame:
-    p = load(spark, sf, "pages").select("page_id", html.markdown_column(F.col("html"))["content"].alias("md"))
+    p = _texts(spark, sf, "pages").select("page_id", html.markdown_column(F.col("html"))["content"].alias("md"))
     return _split(p, "page_id", F.col("md"), splitters.split_markdown)
 
 
 def split_text(spark: SparkSession, sf: str) -> DataFrame:
-    return _split(load(spark, sf, "documents"), "doc_id", F.col("text"), splitters.split_text)
+    return _split(_texts(spark, sf, "documents"), "doc_id", F.col("text"), splitters.split_text)
 
 
 def split_separators(spark: SparkSession, sf: str) -> DataFrame:
-    return _split(load(spark, sf, "documents"), "doc_id", F.col("text"), splitters.split_separators)
+    return _split(_texts(spark, sf, "documents"), "doc_id", F.col("text"), splitters.split_separators)
 
 
 def split_code(spark: SparkSession, sf: str) -> DataFrame:
@@ -186,18 +191,18 @@ def split_code(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def split_code_lines(spark: SparkSession, sf: str) -> DataFrame:
-    return _split(load(spark, sf, "documents"), "doc_id", F.col("text"), splitters.split_code, language="go")
+    return _split(_texts(spark, sf, "documents"), "doc_id", F.col("text"), splitters.split_code, language="go")
 
 
 def split_fixed_window(spark: SparkSession, sf: str) -> DataFrame:
     n = F.greatest(F.ceil((F.length("text") - 200) / 1300), F.lit(1))
-    d = load(spark, sf, "documents").select("doc_id", "text", F.explode(F.sequence(F.lit(0), n - 1)).alias("n"))
+    d = _texts(spark, sf, "documents").select("doc_id", "text", F.explode(F.sequence(F.lit(0), n - 1)).alias("n"))
     piece = F.substring(F.col("text"), F.col("n").cast("int") * 1300 + 1, F.lit(1500))
     return d.select("doc_id", F.col("n").cast("long").alias("n"), F.length(piece).cast("long").alias("chars"), F.md5(piece).alias("md5"))
 
 
 def embed_chunks(spark: SparkSession, sf: str) -> DataFrame:
-    chunks = _split(load(spark, sf, "documents").filter("n_chars < 2000"), "doc_id", F.col("text"), splitters.split_text)
+    chunks = _split(_texts(spark, sf, "documents").filter("n_chars < 2000"), "doc_id", F.col("text"), splitters.split_text)
     return embedding.embed(chunks, embedding.create("hash:hash-64")).select("doc_id", "n", F.size("embedding").cast("long").alias("dim"))
 
 

@@ -45,6 +45,23 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame, least: int = 1 << 20) -> DataFrame:
+    """A table of fewer files than cores, dealt to as many tasks as it has ``least`` bytes.
+
+    A file of one row group is one task, however large the cluster. Tables of
+    more files are returned as they are, so nothing large is shuffled.
+    """
+    spark = df.sparkSession
+    files, cores = df.inputFiles(), spark.sparkContext.defaultParallelism
+    if len(files) >= cores:
+        return df
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    paths = [jvm.org.apache.hadoop.fs.Path(f) for f in files]
+    size = sum(p.getFileSystem(conf).getFileStatus(p).getLen() for p in paths)
+    tasks = min(cores, size // least)
+    return df.repartition(tasks) if tasks > len(files) else df
+
+
 _own: list[str] = []
 
 
