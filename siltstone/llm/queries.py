@@ -7,11 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import load, spread
 from . import id_files, lines, masked_lm, mixing, nn_descent, packing, repetition, secret_scan, simhash, sql, urls
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(load(spark, sf_dir, name))
 
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
