@@ -65,6 +65,13 @@ def spread(df: DataFrame, least: int = 1 << 20) -> DataFrame:
 _own: list[str] = []
 
 
+def qualified(spark: SparkSession, path: str) -> str:
+    """``path`` with its scheme, which readers beside Spark need: Spark takes that of fs.defaultFS."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    full = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(p).toString().rstrip("/")
+    return f"file://{full[5:]}" if full.startswith("file:/") and not full.startswith("file://") else full
+
+
 def shared_root(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir.
 
@@ -72,7 +79,7 @@ def shared_root(spark: SparkSession) -> str:
     a folder of its own, removed at exit.
     """
     if root := spark.conf.get("spark.checkpoint.dir", None):
-        return root.rstrip("/")
+        return qualified(spark, root)
     master = spark.conf.get("spark.master", "")
     if not master.startswith("local") or master.startswith("local-cluster"):
         raise ValueError("spark.checkpoint.dir must name a folder shared by the cluster")
