@@ -7,11 +7,12 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import Written, rows_of, short_batches
+from .common import Written, short_batches
 from .graph import components
 
 SHINGLE, SEED, DISTANCE = 4, 42, 4
@@ -118,6 +119,8 @@ def spanning(fps: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
 
 def compare(group: np.ndarray, fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Links within runs of equal ``group`` numbers (ascending)."""
+    if not len(group):
+        return np.empty(0, np.uint64), np.empty(0, np.uint64)
     new = np.flatnonzero(np.diff(group, prepend=-1))
     size = np.diff(np.append(new, len(group)))
     of = np.repeat(np.arange(len(new)), size)
@@ -138,31 +141,43 @@ def compare(group: np.ndarray, fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return np.concatenate([x[0] for x in out]), np.concatenate([x[1] for x in out])
 
 
-def runs(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(group numbers, fingerprints) of whole groups, from rows sorted by keys."""
-    held: list[np.ndarray] = []
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        part = np.stack([batch.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in (*keys, "fp")])
-        rows = np.concatenate([*held, part], axis=1)
-        change = np.flatnonzero((rows[:-1, 1:] != rows[:-1, :-1]).any(axis=0)) + 1
-        if not len(change):
-            held = [rows]
-            continue
-        whole, held = rows[:, : change[-1]], [rows[:, change[-1] :]]
-        group = np.cumsum(np.append(0, (whole[:-1, 1:] != whole[:-1, :-1]).any(axis=0)))
-        yield group, whole[-1].view(np.uint64)
-    if held:
-        rows = held[0]
-        yield np.cumsum(np.append(0, (rows[:-1, 1:] != rows[:-1, :-1]).any(axis=0))), rows[-1].view(np.uint64)
+class Groups:
+    """Takes batches of rows sorted by keys; gives whole groups: (group numbers, fingerprints)."""
+
+    def __init__(self, *keys: str):
+        self.keys, self.held = keys, np.empty((len(keys) + 1, 0), dtype=np.int64)
+
+    def push(self, batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+        """The groups that end before the batch's last one."""
+        part = np.stack([batch.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in (*self.keys, "fp")])
+        rows = np.concatenate([self.held, part], axis=1)
+        change = np.flatnonzero(self._new(rows)) + 1
+        cut = change[-1] if len(change) else 0
+        self.held = rows[:, cut:]
+        return self._numbered(rows[:, :cut])
+
+    def rest(self) -> tuple[np.ndarray, np.ndarray]:
+        return self._numbered(self.held)
 
+    @staticmethod
+    def _new(rows: np.ndarray) -> np.ndarray:
+        return (rows[:-1, 1:] != rows[:-1, :-1]).any(axis=0)
 
-def linked(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...]) -> Iterator[pa.RecordBatch]:
-    for group, fps in runs(batches, keys):
-        a, b = compare(group, fps)
-        if len(a):
-            yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], ["a", "b"])
+    def _numbered(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        group = np.cumsum(np.append(0, self._new(rows))) if rows.shape[1] else np.empty(0, np.int64)
+        return group, np.ascontiguousarray(rows[-1]).view(np.uint64)
+
+
+def pairs(found: tuple[np.ndarray, np.ndarray]) -> pa.RecordBatch:
+    a, b = compare(*found)
+    return pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], ["a", "b"])
+
+
+def linked(batches: Iterator[pa.RecordBatch], *keys: str) -> Iterator[pa.RecordBatch]:
+    groups = Groups(*keys)
+    for batch in batches:
+        yield pairs(groups.push(batch))
+    yield pairs(groups.rest())
 
 
 def links(unique: DataFrame, unit: int = UNIT) -> DataFrame:
@@ -183,27 +198,23 @@ def links(unique: DataFrame, unit: int = UNIT) -> DataFrame:
     sized = keyed.withColumn("n", F.count("*").over(Window.partitionBy("t", "key"))).filter("n > 1")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        blank = lambda x: pa.nulls(len(x), pa.int64())
+        """Links of groups up to ``unit``; rows of larger ones pass through, with their key and size."""
         names = ["a", "b", "t", "key", "n"]
 
-        def small() -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                over = np.asarray(batch.column("n")) > unit
-                if over.any():
-                    large.append(batch.filter(pa.array(over)))
-                    batch = batch.filter(pa.array(~over))
-                yield batch
-
-        large: list[pa.RecordBatch] = []
-        for found in linked(small(), ("t", "key")):
-            a, b = found.columns
-            yield pa.RecordBatch.from_arrays([a, b, blank(a), blank(a), blank(a)], names)
-            while large:
-                x = large.pop()
-                yield pa.RecordBatch.from_arrays([x.column("fp"), blank(x), x.column("t").cast(pa.int64()), x.column("key"), x.column("n")], names)
-        while large:
-            x = large.pop()
-            yield pa.RecordBatch.from_arrays([x.column("fp"), blank(x), x.column("t").cast(pa.int64()), x.column("key"), x.column("n")], names)
+        def links_of(found: pa.RecordBatch) -> pa.RecordBatch:
+            none = pa.nulls(found.num_rows, pa.int64())
+            return pa.RecordBatch.from_arrays([*found.columns, none, none, none], names)
+
+        groups = Groups("t", "key")
+        for batch in batches:
+            over = pa.array(np.asarray(batch.column("n")) > unit)
+            large = batch.filter(over)
+            if large.num_rows:
+                none = pa.nulls(large.num_rows, pa.int64())
+                yield pa.RecordBatch.from_arrays([large.column("fp"), none, large.column("t").cast(pa.int64()), large.column("key"), large.column("n")], names)
+                batch = batch.filter(pc.invert(over))
+            yield links_of(pairs(groups.push(batch)))
+        yield links_of(pairs(groups.rest()))
 
     first = Written(sized.mapInArrow(run, "a long, b long, t long, key long, n long"), "simhash-links").df
     found = first.filter("b is not null").select("a", "b")
@@ -217,7 +228,7 @@ def links(unique: DataFrame, unit: int = UNIT) -> DataFrame:
         F.col("a").alias("fp"), "t", "key", own.alias("own"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other")
     ).select("fp", F.xxhash64("t", "key").alias("key"), F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"))
     dealt = cut.repartition("key", "x", "y").sortWithinPartitions("key", "x", "y")
-    return found.unionByName(dealt.mapInArrow(lambda b: linked(b, ("key", "x", "y")), "a long, b long"))
+    return found.unionByName(dealt.mapInArrow(lambda b: linked(b, "key", "x", "y"), "a long, b long"))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
