@@ -15,6 +15,7 @@ from .common import Written, rows_of, short_batches
 
 EDGE = 0  # stands before the first and after the last word
 BLOCK_TEXTS = 64  # numbered and scored together
+FAN_IN = 256  # trained parameters added by one task
 
 
 @dataclass(frozen=True)
@@ -221,24 +222,21 @@ def train(docs: DataFrame, s: Settings) -> tuple[list[bytes], np.ndarray]:
                 seen += held
             if seen:
                 part = TaskContext.get().partitionId()
-                yield pa.RecordBatch.from_pydict({"part": [part], "slot": [part % 16], "n": [seen], "flat": [net.flat.tobytes()]})
+                yield pa.RecordBatch.from_pydict({"part": [part], "n": [seen], "flat": [(net.flat.astype(np.float64) * seen).tobytes()]})
 
         def add(table: pa.Table) -> pa.Table:
             table = table.sort_by("part")
-            n = np.array(table.column("n"), dtype=np.float64)
-            total = sum(w * np.frombuffer(x.as_py(), dtype=np.float32).astype(np.float64) for w, x in zip(n, table.column("flat"), strict=True))
-            return pa.table({"slot": [table.column("slot")[0].as_py()], "n": [int(n.sum())], "flat": [total.tobytes()]})
-
-        sums = (
-            docs.select("text")
-            .mapInArrow(run, "part long, slot long, n long, flat binary")
-            .groupBy("slot")
-            .applyInArrow(add, "slot long, n long, flat binary")
-            .collect()
-        )
-        seen = sum(r["n"] for r in sums)
+            total = sum(np.frombuffer(x.as_py()) for x in table.column("flat"))
+            return pa.table({"part": [table.column("part")[0].as_py() // FAN_IN], "n": [sum(table.column("n").to_pylist())], "flat": [total.tobytes()]})
+
+        kind = "part long, n long, flat binary"
+        sums = docs.select("text").mapInArrow(run, kind)
+        for _ in range(2):  # a task adds FAN_IN results at most; the driver gets one for FAN_IN² tasks
+            sums = sums.groupBy(F.floor(F.col("part") / FAN_IN)).applyInArrow(add, kind)
+        rows = sorted(sums.collect(), key=lambda r: r["part"])
+        seen = sum(r["n"] for r in rows)
         if seen:
-            flat = (sum(np.frombuffer(r["flat"], dtype=np.float64) for r in sorted(sums, key=lambda r: r["slot"])) / seen).astype(np.float32)
+            flat = (sum(np.frombuffer(r["flat"]) for r in rows) / seen).astype(np.float32)
     return frequent, flat
 
 
