@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..session import qualified
 from .common import Written, rows_of, shared_path, short_batches
 from .tokens import default_path, encoder
 
@@ -160,7 +161,7 @@ def write(docs: DataFrame, folder: str | None = None, id_col: str = "doc_id", te
     spark = docs.sparkSession
     short_batches(spark)
     path = path or default_path()
-    folder = folder or shared_path(spark, "ids")
+    folder = qualified(spark, folder) if folder else shared_path(spark, "ids")
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     dictionary = train(sample(docs, path))
     fs, base = store(folder)
