@@ -104,4 +104,22 @@ SELECT page_id, host, coalesce(len(lines), 0)::BIGINT AS n_lines,
 FROM p LEFT JOIN b USING (host)
 """
 
-SQL = {"op1_mixing": MIXING, "op2_url_filter": URLS, "op9_line_dedup": LINES}
+#: All pairs: for tables as small as the ones it is tested on.
+EMBEDDINGS = """
+WITH RECURSIVE v AS (
+  SELECT * FROM (
+    SELECT vec_id, embedding::DOUBLE[] AS x, sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])) AS n
+    FROM embeddings
+    WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda y: y IS NULL OR NOT isfinite(y))) = 0)
+  WHERE n > 0),
+l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id AND list_dot_product(a.x, b.x) / (a.n * b.n) >= 0.95::DOUBLE),
+r(node, root) AS (
+  SELECT vec_id, vec_id FROM embeddings
+  UNION SELECT l.b, r.root FROM r JOIN l ON l.a = r.node),
+c AS (SELECT node, min(root) AS component_id FROM r GROUP BY node),
+n AS (SELECT a, count(*) AS n FROM l GROUP BY a)
+SELECT vec_id, coalesce(n.n, 0)::BIGINT AS n_links, component_id, vec_id = component_id AS kept
+FROM embeddings JOIN c ON vec_id = node LEFT JOIN n ON vec_id = a
+"""
+
+SQL = {"op1_mixing": MIXING, "op3_embedding_dedup": EMBEDDINGS, "op2_url_filter": URLS, "op9_line_dedup": LINES}
