@@ -15,7 +15,7 @@ from ..session import shared_root
 WORD = r"[^\x20\x09-\x0D]+"
 
 #: Rows of an Arrow batch at most, as one text may have hundreds of kilobytes.
-BATCH_ROWS = 512
+BATCH_ROWS = 128
 
 def shared_path(spark: SparkSession, tag: str) -> str:
     return f"{shared_root(spark)}/siltstone/{tag}-{uuid.uuid4().hex}"

@@ -16,7 +16,7 @@ from .common import rows_of, short_batches
 #: Words of a window whose second occurrence is a repeat.
 WINDOW = 8
 #: Bytes of text whose suffixes are sorted together (a longer text is sorted alone).
-BLOCK_BYTES = 6_000_000
+BLOCK_BYTES = 1_500_000
 
 
 @dataclass(frozen=True)
