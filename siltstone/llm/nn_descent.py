@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -44,6 +45,11 @@ class Settings:
         """Entries from here on are checked in double precision: lists hold similarities of bytes."""
         return self.threshold - 0.02
 
+    @property
+    def sure(self) -> float:
+        """Entries from here on link in double precision too."""
+        return self.threshold + 0.02
+
 
 def unit_vectors(df: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     """(vec_id, vector as doubles, null if it cannot link)."""
@@ -86,7 +92,33 @@ def tops(sims: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return row, best, sims[row, best]
 
 
-EDGE = "u long, v long, sim float"
+def ties(sims: np.ndarray, s: Settings) -> tuple[np.ndarray, np.ndarray]:
+    """(i, j) of a group that connect all it connects from ``near`` on, however many neighbours a list holds.
+
+    A tree spans what surely links; between such parts every entry from
+    ``near`` on is given, as each may or may not link in double precision.
+    """
+    sure = sims >= s.sure
+    part = np.full(len(sims), -1)
+    a, b = [], []
+    for seed in range(len(sims)):
+        if part[seed] >= 0:
+            continue
+        part[seed] = seed
+        stack = [seed]
+        while stack:
+            x = stack.pop()
+            found = np.flatnonzero(sure[x] & (part < 0))
+            part[found] = seed
+            a.append(np.full(len(found), x))
+            b.append(found)
+            stack += found.tolist()
+    i, j = np.nonzero(np.triu(sims >= s.near, 1) & (part[:, None] != part[None, :]))
+    return np.concatenate([*a, i]).astype(int), np.concatenate([*b, j]).astype(int)
+
+
+#: ``tie``: a pair to check that belongs to no list.
+EDGE = "u long, v long, sim float, tie boolean"
 
 
 def by_group(batches: Iterator[pa.RecordBatch], key: str, vector: str) -> Iterator[dict[str, np.ndarray]]:
@@ -107,9 +139,10 @@ def by_group(batches: Iterator[pa.RecordBatch], key: str, vector: str) -> Iterat
         yield held
 
 
-def edges(u: list, v: list, sim: list) -> pa.RecordBatch:
+def edges(u: list, v: list, sim: list, tie: list) -> pa.RecordBatch:
     join = lambda x, t: pa.array(np.concatenate(x) if x else np.empty(0), t)
-    return pa.RecordBatch.from_arrays([join(u, pa.int64()), join(v, pa.int64()), join(sim, pa.float32())], ["u", "v", "sim"])
+    flags = pa.array(np.repeat(np.array(tie, dtype=bool), [len(x) for x in u]), pa.bool_())
+    return pa.RecordBatch.from_arrays([join(u, pa.int64()), join(v, pa.int64()), join(sim, pa.float32()), flags], ["u", "v", "sim", "tie"])
 
 
 def cut_at_random(nodes: DataFrame, n: int, s: Settings, turn: int) -> DataFrame:
@@ -139,17 +172,29 @@ def cut_at_random(nodes: DataFrame, n: int, s: Settings, turn: int) -> DataFrame
     dealt = cells.join(parts, "cell", "left").select(F.xxhash64("cell", split).alias("cell"), "u", "q")
 
     def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        us, vs, ss = [], [], []
+        us, vs, ss, ts = [], [], [], []
+        held = 0
         for g in by_group(batches, "cell", "q"):
-            row, col, sim = tops(g["q"] @ g["q"].T, s.neighbours)
+            sims = g["q"] @ g["q"].T
+            row, col, sim = tops(sims, s.neighbours)
             ok = sim >= s.floor
             us.append(g["u"][row[ok]])
             vs.append(g["u"][col[ok]])
             ss.append(sim[ok])
-            if len(us) >= 2000:
-                yield edges(us, vs, ss)
-                us, vs, ss = [], [], []
-        yield edges(us, vs, ss)
+            ts.append(False)
+            held += len(us[-1])
+            if ((sims >= s.near).sum(axis=1) > s.neighbours + 1).any():  # a list of this cell leaves links out
+                i, j = ties(sims, s)
+                us.append(g["u"][i])
+                vs.append(g["u"][j])
+                ss.append(sims[i, j])
+                ts.append(True)
+                held += len(i)
+            if held > 200_000 or len(us) >= 2000:
+                yield edges(us, vs, ss, ts)
+                us, vs, ss, ts = [], [], [], []
+                held = 0
+        yield edges(us, vs, ss, ts)
 
     return dealt.repartition("cell").sortWithinPartitions("cell").mapInArrow(best, EDGE)
 
@@ -181,7 +226,7 @@ def refine(graph: DataFrame, nodes: DataFrame, s: Settings) -> DataFrame:
     dealt = members.join(alive, "cell", "left_semi").join(held, "m")
 
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        us, vs, ss = [], [], []
+        us, vs, ss, ts = [], [], [], []
         held = 0
         for g in by_group(batches, "cell", "q"):
             ids, new = g["m"], g["new"].astype(bool)
@@ -192,33 +237,54 @@ def refine(graph: DataFrame, nodes: DataFrame, s: Settings) -> DataFrame:
             us.append(ids[i])
             vs.append(ids[j])
             ss.append(sims[i, j])
+            ts.append(False)
             held += len(i)
+            if (g["least"] >= s.near).any():  # a full list takes no further links
+                i, j = ties(sims, s)
+                us.append(ids[i])
+                vs.append(ids[j])
+                ss.append(sims[i, j])
+                ts.append(True)
+                held += len(i)
             if held > 200_000 or len(us) >= 2000:
-                yield edges(us, vs, ss)
-                us, vs, ss = [], [], []
+                yield edges(us, vs, ss, ts)
+                us, vs, ss, ts = [], [], [], []
                 held = 0
-        yield edges(us, vs, ss)
+        yield edges(us, vs, ss, ts)
 
     return dealt.repartition("cell").sortWithinPartitions("cell").mapInArrow(local, EDGE)
 
 
-def descend(nodes: DataFrame, n: int, s: Settings, turn: int, graph: Written | None) -> Written:
-    """Lists from random cuts (and an earlier graph), refined until few links come."""
-    fresh = cut_at_random(nodes, n, s, turn).withColumn("old", F.lit(0))
+def descend(nodes: DataFrame, n: int, s: Settings, turn: int, graph: Written | None) -> tuple[Written, list[Written]]:
+    """(lists from random cuts and an earlier graph, refined until few links come; pairs to check besides)."""
+
+    def apart(found: DataFrame) -> DataFrame:
+        """The candidates for lists; ties are put aside."""
+        both = Written(found, "nn-compared")
+        pair = both.df.filter("tie").select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b")).distinct()
+        tied.append(Written(pair, "nn-ties"))
+        compared.append(both)
+        return both.df.filter("not tie").select("u", "v", "sim")
+
+    tied: list[Written] = []
+    compared: list[Written] = []
+    fresh = apart(cut_at_random(nodes, n, s, turn)).withColumn("old", F.lit(0))
     if graph:
         fresh = graph.df.select("u", "v", "sim", F.lit(1).alias("old")).unionByName(fresh)
     now = Written(shorten(fresh, s.neighbours), "nn-graph")
+    compared.pop().drop()
     for _ in range(s.rounds):
-        more = refine(now.df, nodes, s).withColumn("old", F.lit(0))
+        more = apart(refine(now.df, nodes, s)).withColumn("old", F.lit(0))
         kept = now.df.select("u", "v", "sim", F.lit(1).alias("old"))
         # An entry that was there stays old: its pairs have met.
         after = Written(shorten(kept.unionByName(more), s.neighbours), "nn-graph")
         new, all_ = after.df.filter(F.col("sim") >= s.near).agg(F.count(F.when(F.col("old") == 0, 1)), F.count("*")).first()
+        compared.pop().drop()
         now.drop()
         now = after
         if new <= s.still * all_:
             break
-    return now
+    return now, tied
 
 
 def verified(pairs: DataFrame, vectors: DataFrame, threshold: float) -> DataFrame:
@@ -293,7 +359,9 @@ def near_duplicates(df: DataFrame, id_col: str = "vec_id", vector_col: str = "em
     neighbour lists; entries at the threshold, checked in double precision, are
     links. A full list whose last entry still links is saturated: it is
     enlarged to its whole component, where every vector is compared with all
-    others in blocks. Vectors that are null, zero, or hold null or non-finite
+    others in blocks. Links that were compared but that full lists have no
+    place for still join components (``ties``). A recall that the audit still
+    finds too low in the end is given as a warning. Vectors that are null, zero, or hold null or non-finite
     components link with nothing, as do vectors of another length than most.
     Null ids rank last; rows that repeat an id count as rows of their own but
     share its component; an empty table gives no rows; other columns are not
@@ -318,13 +386,18 @@ def near_duplicates(df: DataFrame, id_col: str = "vec_id", vector_col: str = "em
     nodes = Written(named.select("u", "vector", "w").mapInArrow(scale, "u long, x array<double>, q binary, w long"), "nn-nodes").df
     n = nodes.count()
     graph, turn = None, 0
+    tied: list[Written] = []
     while True:
         before = graph
-        graph = descend(nodes.select("u", "q"), n, s, turn, before)
+        graph, more = descend(nodes.select("u", "q"), n, s, turn, before)
+        tied += more
         if before:
             before.drop()
         near = graph.df.filter(F.col("sim") >= s.near)
-        pairs = near.select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b")).distinct()
+        pairs = near.select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b"))
+        for t in tied:
+            pairs = pairs.unionByName(t.df)
+        pairs = pairs.distinct()
         links = Written(verified(pairs, nodes, s.threshold), "nn-links").df
         root = Written(components(links), "nn-roots").df
         full = graph.df.filter((F.col("place") == s.neighbours) & (F.col("sim") >= s.near)).select(F.col("u").alias("node"))
@@ -339,7 +412,10 @@ def near_duplicates(df: DataFrame, id_col: str = "vec_id", vector_col: str = "em
         counts = Written(rest.join(weights, "b").groupBy(F.col("a").alias("u")).agg(F.sum("w").alias("n")).unionByName(blocks), "nn-counts").df
         got, there = audit(nodes, counts, s)
         turn += 1
-        if got >= s.recall * there or turn > s.retries:
+        if got >= s.recall * there:
+            break
+        if turn > s.retries:
+            warnings.warn(f"embedding links: the audit finds {got} of {there} links of its sample after {turn} sets of cuts", stacklevel=2)
             break
     rooted = named.join(root.withColumnRenamed("node", "u"), "u", "left").withColumn("root", F.coalesce("root", "u"))
     heads = rooted.groupBy("root").agg(F.min("first").alias("component"))

@@ -73,3 +73,35 @@ def test_recall_on_other_seeds(spark, seed):
     rows = rows_with_groups(300, seed)
     want, got = brute(rows), run(spark, rows).collect()
     assert sum(r["n_links"] for r in got) >= 0.98 * sum(n for n, _ in want.values())
+
+
+def test_two_groups_larger_than_a_list_are_joined(spark):
+    """Every list is full of vectors of its own group, and all links across are weaker."""
+    rng = np.random.Generator(np.random.PCG64(4))
+    axes = np.linalg.qr(rng.standard_normal((16, 16)))[0]
+    centres = [axes[0], 0.965 * axes[0] + np.sqrt(1 - 0.965**2) * axes[1]]
+    rows = []
+    for k in range(60):
+        off = axes[2:].T @ rng.standard_normal(14)
+        rows.append((k, (centres[k % 2] + 0.045 * off / np.linalg.norm(off)).astype(np.float32).tolist()))
+    want = brute(rows)
+    assert {c for _, c in want.values()} == {0} and all(n == 59 for n, _ in want.values())
+    got = run(spark, rows).collect()
+    assert {r["vec_id"]: (r["n_links"], r["component_id"]) for r in got} == want
+
+
+def test_ties_connect_what_all_pairs_connect():
+    rng = np.random.Generator(np.random.PCG64(6))
+    x = nn_descent.scaled(np.repeat(rng.standard_normal((12, 16)), 8, axis=0) + 0.15 * rng.standard_normal((96, 16)))
+    sims, s = x @ x.T, Settings()
+    i, j = nn_descent.ties(sims, s)
+
+    def label(pairs):
+        of = list(range(96))
+        for a, b in pairs:
+            old, new = of[a], of[b]
+            of = [new if v == old else v for v in of]
+        return {frozenset(np.flatnonzero(np.array(of) == v).tolist()) for v in of}
+
+    hit = np.argwhere(np.triu(sims >= s.threshold, 1))
+    assert label([(a, b) for a, b in zip(i, j, strict=True) if sims[a, b] >= s.threshold]) == label(hit)
