@@ -18,12 +18,14 @@ from .graph import components
 
 @dataclass(frozen=True)
 class Settings:
-    """``neighbours`` per vector; first lists from ``tables`` random cuts into groups of about ``group``.
+    """``neighbours`` per vector; first lists from ``tables`` or more random cuts into groups of about ``group``.
 
-    Neighbours below ``floor`` lead to no link and are left out. Refining ends
+    There are as many cuts as let a pair at the threshold share a group with
+    probability ``met``, however fine the cuts are. Neighbours below ``floor`` lead to no link and are left out. Refining ends
     when a round adds under ``still`` of the entries near the threshold, or
-    after ``rounds``. If the audit of ``audit`` vectors against all finds less
-    than ``recall`` of their links, refining goes on from another set of cuts,
+    after ``rounds``. If the audit of ``audit`` vectors against all finds that
+    less than ``recall`` of those with few, or with many, links have all of
+    them, refining goes on from another set of cuts,
     up to ``retries`` times.
     """
 
@@ -31,6 +33,7 @@ class Settings:
     neighbours: int = 10
     floor: float = 0.5
     tables: int = 12
+    met: float = 0.995
     group: int = 96
     rounds: int = 6
     still: float = 0.002
@@ -50,6 +53,11 @@ class Settings:
         """Entries from here on link in double precision too."""
         return self.threshold + 0.02
 
+    def cuts(self, bits: int) -> int:
+        """A cut of ``bits`` signs keeps a pair together if no direction parts it."""
+        together = (1 - np.arccos(self.threshold) / np.pi) ** bits
+        return max(self.tables, int(np.ceil(np.log(1 - self.met) / np.log1p(-together)))) if bits else self.tables
+
 
 def unit_vectors(df: DataFrame, id_col: str, vector_col: str) -> DataFrame:
     """(vec_id, vector as doubles, null if it cannot link)."""
@@ -152,7 +160,7 @@ def cut_at_random(nodes: DataFrame, n: int, s: Settings, turn: int) -> DataFrame
     twice the wanted size are divided by a hash, so no group is unbounded.
     """
     bits = max(0, int(np.ceil(np.log2(max(1, n / s.group)))))
-    seed, tables = s.seed + 1000 * turn, s.tables
+    seed, tables = s.seed + 1000 * turn, s.cuts(bits)
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -168,7 +176,7 @@ def cut_at_random(nodes: DataFrame, n: int, s: Settings, turn: int) -> DataFrame
     cells = nodes.mapInArrow(keyed, "cell long, u long, q binary")
     sized = cells.groupBy("cell").agg(F.count("*").alias("n")).filter(F.col("n") > 2 * s.group)
     parts = small(Written(sized, "nn-cells").df, 200_000)
-    split = F.pmod(F.xxhash64("u", F.lit(turn)), F.coalesce(F.ceil(F.col("n") / F.lit(s.group)), F.lit(1)))
+    split = F.pmod(F.xxhash64("u", "cell", F.lit(turn)), F.coalesce(F.ceil(F.col("n") / F.lit(s.group)), F.lit(1)))
     dealt = cells.join(parts, "cell", "left").select(F.xxhash64("cell", split).alias("cell"), "u", "q")
 
     def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -329,12 +337,16 @@ def counted_in_blocks(members: DataFrame, s: Settings) -> DataFrame:
     return cut.repartition("cell").sortWithinPartitions("cell").mapInArrow(run, "u long, n long")
 
 
-def audit(nodes: DataFrame, found: DataFrame, s: Settings) -> tuple[int, int]:
-    """(links found, links there) of a seeded sample of vectors, held against all vectors."""
+def audit(nodes: DataFrame, found: DataFrame, s: Settings) -> list[tuple[int, int]]:
+    """(vectors with all links found, vectors) of a seeded sample, held against all vectors.
+
+    A pair for vectors with one link, up to 10, up to 100, and more, so that
+    groups of many links do not hide what small ones miss.
+    """
     drawn = nodes.orderBy(F.xxhash64("u", F.lit(s.seed))).limit(s.audit)
     rows = drawn.select("u", "x").collect()  # ``audit`` vectors
     if not rows:
-        return 0, 0
+        return []
     ids, x = np.array([r["u"] for r in rows]), np.array([r["x"] for r in rows], dtype=np.float64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -348,8 +360,10 @@ def audit(nodes: DataFrame, found: DataFrame, s: Settings) -> tuple[int, int]:
 
     there = nodes.select("u", "x", "w").mapInArrow(run, "u long, there long").groupBy("u").agg(F.sum("there").alias("there"))
     got = found.join(F.broadcast(there), "u", "right").select(F.coalesce("n", F.lit(0)).alias("n"), "there")
-    a, b = got.agg(F.sum(F.least("n", "there")), F.sum("there")).first()
-    return int(a or 0), int(b or 0)
+    level = sum((F.col("there") > x).cast("int") for x in (1, 10, 100))
+    whole = F.count(F.when(F.col("n") >= F.col("there"), 1))
+    levels = got.filter("there > 0").groupBy(level.alias("level")).agg(whole.alias("whole"), F.count("*").alias("all")).orderBy("level").collect()
+    return [(r["whole"], r["all"]) for r in levels]
 
 
 def near_duplicates(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", settings: Settings = Settings()) -> DataFrame:
@@ -410,12 +424,12 @@ def near_duplicates(df: DataFrame, id_col: str = "vec_id", vector_col: str = "em
         rest = both.join(inside.select(F.col("node").alias("a")), "a", "left_anti")
         weights = nodes.select(F.col("u").alias("b"), "w")
         counts = Written(rest.join(weights, "b").groupBy(F.col("a").alias("u")).agg(F.sum("w").alias("n")).unionByName(blocks), "nn-counts").df
-        got, there = audit(nodes, counts, s)
+        shares = audit(nodes, counts, s)
         turn += 1
-        if got >= s.recall * there:
+        if all(got >= s.recall * there for got, there in shares):
             break
         if turn > s.retries:
-            warnings.warn(f"embedding links: the audit finds {got} of {there} links of its sample after {turn} sets of cuts", stacklevel=2)
+            warnings.warn(f"embedding links: (vectors with all links, vectors) of the audit after {turn} sets of cuts, by number of links: {shares}", stacklevel=2)
             break
     rooted = named.join(root.withColumnRenamed("node", "u"), "u", "left").withColumn("root", F.coalesce("root", "u"))
     heads = rooted.groupBy("root").agg(F.min("first").alias("component"))

@@ -105,3 +105,19 @@ def test_ties_connect_what_all_pairs_connect():
 
     hit = np.argwhere(np.triu(sims >= s.threshold, 1))
     assert label([(a, b) for a, b in zip(i, j, strict=True) if sims[a, b] >= s.threshold]) == label(hit)
+
+
+def test_pairs_meet_as_often_in_large_tables():
+    s = Settings()
+    for n in (5e4, 1e6, 2e7):
+        bits = int(np.ceil(np.log2(n / s.group)))
+        together = (1 - np.arccos(s.threshold) / np.pi) ** bits
+        assert 1 - (1 - together) ** s.cuts(bits) >= s.met
+
+
+def test_audit_counts_vectors_not_links(spark):
+    """One large group is complete, a pair is missed: few links, but half of its kind of vectors."""
+    rows = [(k, [1.0, 0.0], 1) for k in range(40)] + [(100 + k, [0.0, 1.0], 1) for k in range(2)]
+    nodes = spark.createDataFrame(rows, "u long, x array<double>, w long")
+    found = spark.createDataFrame([(k, 39) for k in range(40)], "u long, n long")
+    assert nn_descent.audit(nodes, found, Settings()) == [(0, 2), (40, 40)]
