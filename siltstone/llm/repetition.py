@@ -15,6 +15,8 @@ from .common import rows_of, short_batches
 
 #: Words of a window whose second occurrence is a repeat.
 WINDOW = 8
+#: Words of the shortest repeat whose characters count as covered.
+SHORT = 3
 #: Bytes of text whose suffixes are sorted together (a longer text is sorted alone).
 BLOCK_BYTES = 1_500_000
 
@@ -24,15 +26,16 @@ class Limits:
     """A document passes with at least ``words`` words and at most these repeats.
 
     ``window_percent`` bounds the words in repeated windows. ``covered`` bounds
-    the fraction of characters of words under maximal repeats, and ``longest``
-    the longest repeat as a fraction of the document's words, once it has
-    ``longest_words``.
+    the fraction of characters of words under maximal repeats from ``SHORT``
+    words on, and ``longest`` the longest repeat as a fraction of the document's
+    words, once it has ``longest_words``. Both bind below the window's limit:
+    a passage that comes twice covers twice its length.
     """
 
     words: int = 20
     window_percent: int = 30
-    covered: float = 0.3
-    longest: float = 0.25
+    covered: float = 0.2
+    longest: float = 0.08
     longest_words: int = 50
 
 
@@ -175,7 +178,7 @@ def covered(starts: np.ndarray, lengths: np.ndarray, n: int) -> np.ndarray:
     return np.cumsum(delta)[:n] > 0
 
 
-def measure(texts: list[str], window: int = WINDOW) -> dict[str, np.ndarray]:
+def measure(texts: list[str], window: int = WINDOW, short: int = SHORT) -> dict[str, np.ndarray]:
     """Counts of each text of a block."""
     raw = [t.encode("utf-8", "surrogatepass") for t in texts]
     split = [r.split() for r in raw]  # bytes split at \x20 and \x09-\x0D, and nothing else
@@ -187,8 +190,10 @@ def measure(texts: list[str], window: int = WINDOW) -> dict[str, np.ndarray]:
     words = np.fromiter((put(w, len(number)) for s in split for w in s), dtype=np.int64, count=int(ends[-1]) if len(ends) else 0)
     size_of = np.fromiter((len(w) if w.isascii() else len(w.decode("utf-8", "surrogatepass")) for w in number), dtype=np.int64, count=len(number))
     sizes = size_of[words] if len(words) else np.zeros(0, dtype=np.int64)
-    longest = suffix_repeats(words, ends, window)
-    starts = np.flatnonzero(longest)
+    longest = suffix_repeats(words, ends, min(short, window))
+    any_ = np.flatnonzero(longest)
+    under = covered(any_, longest[any_], len(words))
+    starts = np.flatnonzero(longest >= window)
     inside = covered(starts, longest[starts], len(words))
 
     def per_doc(x: np.ndarray) -> np.ndarray:
@@ -203,7 +208,7 @@ def measure(texts: list[str], window: int = WINDOW) -> dict[str, np.ndarray]:
         "n_symbols": np.array([len(r) - len(r.translate(None, b"#*$%&|<>")) for r in raw], dtype=np.int64),
         "n_dup_lines": np.array([dup_lines(r) for r in raw], dtype=np.int64),
         "n_repeat_words": per_doc(inside),
-        "repeat_chars": per_doc(np.where(inside, sizes, 0)),
+        "repeat_chars": per_doc(np.where(under, sizes, 0)),
         "longest_repeat": top,
     }
 

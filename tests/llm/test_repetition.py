@@ -83,3 +83,15 @@ def test_a_long_repeat_is_rejected():
 def test_very_long_text():
     m = repetition.measure(["a b c d e f g h i j " * 60000])
     assert m["n_repeat_words"][0] == 600000 and m["longest_repeat"][0] == 600000 - 10
+
+
+def test_only_the_method_rejects(spark):
+    """Repeats shorter than a window, and long passages below the base limit."""
+    lines = "\n".join(f"one two three four five six seven new{k}" for k in range(40))
+    passage = " ".join(f"p{k}" for k in range(140))
+    rest = " ".join(f"u{k}" for k in range(720))
+    less = " ".join(f"p{k}" for k in range(90))
+    texts = [lines, f"{passage} {rest} {passage}", f"{less} {rest} ab cd {less}", rest]
+    got = repetition.quality(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("doc_id").collect()
+    assert [(r["base_failed"], r["kept"]) for r in got] == [(False, False)] * 3 + [(False, True)]
+    assert got[0]["n_repeat_words"] == 0
