@@ -202,7 +202,7 @@ def split_fixed_window(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def embed_chunks(spark: SparkSession, sf: str) -> DataFrame:
-    chunks = _split(_texts(spark, sf, "documents").filter("n_chars < 2000"), "doc_id", F.col("text"), splitters.split_text)
+    chunks = _split(_texts(spark, sf, "documents"), "doc_id", F.col("text"), splitters.split_text)
     return embedding.embed(chunks, embedding.create("hash:hash-64")).select("doc_id", "n", F.size("embedding").cast("long").alias("dim"))
 
 

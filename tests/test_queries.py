@@ -30,3 +30,9 @@ def test_scan_reads_only_what_is_asked(spark, sf, capsys):
     assert "c_acctbal" not in plan and "TakeOrderedAndProject" in plan
     registry.queries()["lookup_by_id"](spark, sf).explain("formatted")
     assert "EqualTo(doc_id,42)" in capsys.readouterr().out
+
+
+def test_all_documents_are_embedded(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").filter("length(trim(text)) > 0").select("doc_id").distinct()
+    embedded = registry.queries()["embed_chunks"](spark, sf).select("doc_id").distinct()
+    assert docs.join(embedded, "doc_id", "left_anti").count() == 0
