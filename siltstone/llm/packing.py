@@ -70,6 +70,12 @@ def best_fit(lengths: np.ndarray, window: int = WINDOW) -> tuple[np.ndarray, np.
     return sequence, offset
 
 
+def padding(used: np.ndarray, window: int = WINDOW) -> np.ndarray:
+    """Ids added to sequences of ``used`` ids: up to ``window``, and none to a power of two."""
+    used = np.asarray(used)
+    return np.where(used & (used - 1), window - used, 0)
+
+
 def pieces(docs: DataFrame, id_col: str, text_col: str, window: int, path: str, with_ids: bool) -> DataFrame:
     """(doc_id, start, length, ids_crc32, doc_tokens[, ids]): documents cut into full windows and a rest."""
 
@@ -107,11 +113,13 @@ def pack(
     A document is cut into full windows, each a sequence of its own, and a rest.
     Rests are dealt at random into groups of about ``group_docs``, each packed
     by one task: longest first, into the open window with the least room that
-    suffices. Only what describes a rest is shuffled. Even ids are full
-    windows', odd ones packed. Null and empty texts have the end id alone;
-    repeated rows and null ids are packed like others (what decides the group
-    is a hash of all that describes a rest and a row number within it); an
-    empty table gives no rows.
+    suffices; of equally long ones the earlier row goes first. Only what
+    describes a rest is shuffled. Even ids are full windows', odd ones packed.
+    A sequence is padded to ``window``, unless its ids are a power of two in
+    number (``padding``). Null and empty texts have the end id alone; a very
+    long text gives as many full windows as it fills; repeated rows and null
+    ids are packed like others (a hash of the row's position decides the
+    group); an empty table gives no rows; other columns are not read.
     """
     spark = docs.sparkSession
     short_batches(spark)

@@ -31,7 +31,9 @@ class Encoder:
     split's classes are certain (texts without characters beyond U+024F or
     control characters), each different piece goes to the tokenizer once and
     its ids are remembered; every other text goes to it whole. A text with such
-    a character has a piece with one, which is never remembered.
+    a character has a piece with one, which is never remembered. A text that
+    holds the string of an added token, such as an end of text, goes to the
+    tokenizer whole too, which gives that token's id for it.
     """
 
     def __init__(self, path: str):
@@ -39,10 +41,10 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.width = 2 if self.tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else 4
         self.dtype = np.dtype(f"<u{self.width}")
         spec = json.loads(self.tokenizer.to_str())
+        self.added = [t["content"] for t in spec["added_tokens"]]
         pre = spec["pre_tokenizer"] or {}
         self.by_piece = (
             spec["normalizer"] is None
@@ -63,6 +65,9 @@ class Encoder:
         self.begins[[i for t, i in vocab.items() if t.startswith("\u0120")]] = True
         self.known = _Known()
 
+    def _has_added(self, text: str) -> bool:
+        return any(a in text for a in self.added)
+
     def _whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, dtype=self.dtype).tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
 
@@ -75,10 +80,11 @@ class Encoder:
             (rows if spaced(p) else rest).append(p)
         out: dict[str, bytes] = {}
         parts = [rows[i : i + 256] for i in range(0, len(rows), 256)]
-        for part, e in zip(parts, self.tokenizer.encode_batch_fast(["".join(p) for p in parts], add_special_tokens=False)):
+        lines = ["".join(p) for p in parts]
+        for part, row, e in zip(parts, lines, self.tokenizer.encode_batch_fast(lines, add_special_tokens=False)):
             ids = np.array(e.ids, dtype=self.dtype)
             cut = (np.append(np.flatnonzero(self.begins[ids]), len(ids)) * self.width).tolist()
-            if len(cut) == len(part) + 1:
+            if len(cut) == len(part) + 1 and not self._has_added(row):
                 data = ids.tobytes()
                 out.update(zip(part, [data[a:b] for a, b in zip(cut, cut[1:])]))
             else:
@@ -104,14 +110,15 @@ class Encoder:
         get, lost = known.__getitem__, known.lost
         lost.clear()
         rows, seen = [], [0]
-        for t in texts:
-            rows.append(list(map(get, self.split(t))))
+        whole = [k for k, t in enumerate(texts) if self._has_added(t)]
+        apart = set(whole)
+        for k, t in enumerate(texts):
+            rows.append([] if k in apart else list(map(get, self.split(t))))
             seen.append(len(lost))
         new = self._new(list(set(lost)))
         odd = {p for p in new if self.odd(p)}
         if len(known) + len(new) <= MOST_PIECES:
             known.update((p, ids) for p, ids in new.items() if p not in odd)
-        whole = []
         for k, row in enumerate(rows):
             missing = lost[seen[k] : seen[k + 1]]
             if odd and not odd.isdisjoint(missing):

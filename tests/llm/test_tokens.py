@@ -9,7 +9,7 @@ from siltstone.llm import id_files, packing, tokens
 
 SCHEMA = "doc_id long, text string, start string, ids string, length string"
 ODD = [
-    "<|endoftext|> a", "héllo wörld 日本 \x1c x", "  a\n\n b 's it's we'll", "\t x\r\n", "½ 1² a1", "😀 ok", " ", " \n", "", "\x00", "a　b", "Ġ Ġa", "x\u0378y ʰ ǅ",
+    "<|endoftext|> a", "a <|endoftext|> b", "a<|endoftext|>", "x<|endoftext|><|endoftext|>y z", "in<|endoftext|>side", "<|endoftext| >", "<|endoftext|>", "héllo wörld 日本 \x1c x", "  a\n\n b 's it's we'll", "\t x\r\n", "½ 1² a1", "😀 ok", " ", " \n", "", "\x00", "a　b", "Ġ Ġa", "x\u0378y ʰ ǅ",
 ]
 
 
@@ -17,9 +17,7 @@ ODD = [
 def tokenizer():
     from tokenizers import Tokenizer
 
-    t = Tokenizer.from_file(tokens.default_path())
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(tokens.default_path())
 
 
 def ids_of(tokenizer, text):
@@ -133,5 +131,19 @@ def test_packing_keeps_every_id(tokenizer, spark, sf):
             assert offset == at
             at += length
         assert at <= 1024
-    used = sum(r["length"] for r in got)
-    assert used > 0.9 * 1024 * len(windows)
+    used = [sum(n for _, n in parts) for parts in windows.values()]
+    assert packing.padding(used).sum() < 0.05 * sum(used)
+
+
+def test_padding_is_none_at_a_power_of_two():
+    assert packing.padding([1, 2, 3, 512, 1000, 1024]).tolist() == [0, 0, 1021, 0, 24, 0]
+
+
+def test_very_long_texts(tokenizer, spark):
+    text = "Some rather ordinary wörds <|endoftext|> 12\n" * 20_000
+    df = spark.createDataFrame([(1, text, "", "", ""), (2, "short", "", "", "")], SCHEMA)
+    ids = ids_of(tokenizer, text)
+    got = {r["doc_id"]: r for r in id_files.read(spark, *id_files.write(df)).collect()}
+    assert (got[1]["n_tokens"], got[1]["ids_crc32"], got[2]["start"]) == (len(ids), zlib.crc32(np.array(ids, dtype="<u4").tobytes()), len(ids))
+    pieces = packing.pack(df, with_ids=True).filter("doc_id = 1").orderBy("start").collect()
+    assert [x for p in pieces for x in p["ids"]] == ids
