@@ -38,8 +38,8 @@ def path_of(url: Column) -> Column:
     return F.coalesce(F.regexp_extract(after_scheme(url), r"^[^/?#]*([^?#]*)", 1), F.lit(""))
 
 
-def rule_of(host: Column, path: Column, rules: Sequence[tuple[str, str, str]], of: Column | None = None) -> tuple[Column, Column]:
-    """(rule, verdict) of the longest rule that fits, or nulls."""
+def rule_of(host: Column, path: Column, rules: Sequence[tuple[str, str, str]]) -> tuple[Column, Column]:
+    """(rule, verdict) of the longest rule that fits, or nulls; of equally long ones the last in code point order."""
     rule, verdict = F.lit(None).cast("string"), F.lit(None).cast("string")
     for what, h, p in sorted(rules, key=lambda r: (len(r[1]) + len(r[2]), r[1] + r[2])):
         fits = ((host == h) | host.endswith(f".{h}")) & path.startswith(p)
@@ -48,8 +48,8 @@ def rule_of(host: Column, path: Column, rules: Sequence[tuple[str, str, str]], o
 
 
 def host_links(pages: DataFrame, url_col: str, html_col: str) -> DataFrame:
-    """(source, target, n): links of pages from one host to another."""
-    hrefs = F.regexp_extract_all(F.col(html_col), F.lit(r"""(?i)<a\s[^>]*?href\s*=\s*["']?\s*((?:https?:)?//[^"'\s>]*)"""), F.lit(1))
+    """(source, target, n): links of pages from one host to another. A tag ends at the next < at the latest."""
+    hrefs = F.regexp_extract_all(F.col(html_col), F.lit(r"""(?i)<a\s(?:[^<>]*?\s)?href\s*=\s*["']?\s*((?:https?:)?//[^"'\s>]*)"""), F.lit(1))
     links = pages.select(host_of(F.col(url_col)).alias("source"), F.explode(hrefs).alias("href"))
     target = host_of(F.when(F.col("href").startswith("//"), F.concat(F.lit("http:"), F.col("href"))).otherwise(F.col("href")))
     return (
@@ -73,9 +73,17 @@ def host_scores(
     Trust starts at hosts by their share of allowed pages and follows links;
     distrust starts by their share of blocked pages and follows links backwards,
     to those who link to bad hosts. Both run in one table, a row for each host
-    and kind, in ``rounds`` power iterations; a host without links keeps what it
-    starts with. Each round joins on the host and sums per target with partial
-    sums before the shuffle, and is written, so that plans stay short.
+    and kind, in ``rounds`` power iterations of
+
+        rank = seed + damping * (what flows in, by each linking host's share of its links).
+
+    That is personalised PageRank up to one factor a kind: its usual (1 -
+    damping) is left out, and returning the rank of hosts without onward links
+    to the seeds would multiply all ranks of a kind by the same number. So a
+    host without links keeps its seed, whatever other hosts link to. Each round
+    joins on the host and sums per target with partial sums before the shuffle,
+    and is written, so that plans stay short. Without any link no round is run,
+    as each would return the seeds.
     """
     host, path = host_of(F.col(url_col)), path_of(F.col(url_col))
     verdict = rule_of(host, path, rules)[1]
@@ -104,7 +112,7 @@ def host_scores(
         for _ in range(rounds):
             flow = edges.join(rank, ["host", "kind"]).groupBy(F.col("to").alias("host"), "kind").agg(F.sum(F.col("rank") * F.col("part")).alias("flow"))
             after = seeds.df.join(flow, ["host", "kind"], "left").select(
-                "host", "kind", ((1 - damping) * F.col("seed") + damping * F.coalesce("flow", F.lit(0.0))).alias("rank")
+                "host", "kind", (F.col("seed") + damping * F.coalesce("flow", F.lit(0.0))).alias("rank")
             )
             written = Written(after, "hosts-rank")
             if before:
@@ -127,8 +135,10 @@ def judge(
     Where a rule fits, its verdict holds; elsewhere a host is blocked if its
     distrust exceeds ``ratio`` times its trust. A null URL, or one without
     ://, has an empty host and path, fits no rule and is allowed unless seeds
-    say otherwise (an empty host has none). Repeated rows get equal verdicts;
-    null html has no links; columns of other names are not read.
+    say otherwise (an empty host has none). Repeated rows get equal verdicts
+    (and count as often as seeds); null and empty html has no links, html of
+    any length is searched whole; equal trust and distrust do not block; an
+    empty table gives no rows; columns of other names are not read.
     """
     scores = small(Written(host_scores(pages, rules, url_col=url_col, **settings), "hosts-scores").df, BROADCAST_HOSTS)
     rows = pages.select(F.col(id_col).alias("page_id"), host_of(F.col(url_col)).alias("host"), path_of(F.col(url_col)).alias("path"))

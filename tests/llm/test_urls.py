@@ -73,7 +73,7 @@ def brute():
             out[x] = out.get(x, 0) + n
         r = dict(start)
         for _ in range(urls.ROUNDS):
-            r = {h: 0.15 * start[h] + 0.85 * sum(r[x] * n / out[x] for (x, y), n in edges.items() if y == h) for h in hosts}
+            r = {h: start[h] + 0.85 * sum(r[x] * n / out[x] for (x, y), n in edges.items() if y == h) for h in hosts}
         ranks[kind] = r
     want = []
     for i, url, _ in PAGES:
