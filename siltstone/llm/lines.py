@@ -16,9 +16,13 @@ BLOCKS = "p|div|li|ul|ol|dl|dt|dd|h[1-6]|br|hr|tr|td|th|table|nav|article|sectio
 
 
 def html_lines(html: Column) -> Column:
-    """Visible text of a page, a line for each block element; blank lines go."""
-    bare = F.regexp_replace(html, r"(?is)<script\b.*?</script\s*>|<style\b.*?</style\s*>|<!--.*?-->", "")
-    text = F.regexp_replace(F.regexp_replace(bare, rf"(?i)</?(?:{BLOCKS})\b[^>]*>", "\n"), r"<[^>]*>", "")
+    """Visible text of a page, a line for each block element; blank lines go.
+
+    A script, style or comment that is not closed reaches to the end, and a tag
+    holds no other <, so every pattern reads a page of any length once.
+    """
+    bare = F.regexp_replace(html, r"(?is)<script\b.*?(?:</script\s*>|\z)|<style\b.*?(?:</style\s*>|\z)|<!--.*?(?:-->|\z)", "")
+    text = F.regexp_replace(F.regexp_replace(bare, rf"(?i)</?(?:{BLOCKS})\b[^<>]*>", "\n"), r"<[^<>]*>", "")
     return F.array_join(F.filter(F.transform(F.split(text, "\n", -1), strip), lambda x: x != ""), "\n")
 
 
@@ -64,8 +68,8 @@ def drop_boilerplate(
     A line (split at \\n, outer white space aside) goes if over ``ratio`` of its
     site's pages have it; sites of fewer than ``min_pages`` pages lose none.
     Blank lines are never counted or dropped. Null text stays null, with no
-    lines; a null site is a site of its own; repeated rows count as pages. The
-    input's columns are read only through ``site``, ``text`` and ``keep``, so
+    lines; a null site is a site of its own; repeated rows count as pages; a
+    page or line of any length is read whole. The input's columns are read only through ``site``, ``text`` and ``keep``, so
     any names may occur.
     """
     rows = df.select(site.alias("site"), text.alias("text"))

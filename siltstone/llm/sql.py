@@ -55,7 +55,7 @@ j AS (
           FROM rules WHERE (p.host = h OR ends_with(p.host, '.' || h)) AND starts_with(p.path, pre)) AS best
   FROM p),
 raw AS (
-  SELECT host AS a, unnest(regexp_extract_all(html, '(?i)<a\s[^>]*?href\s*=\s*["'']?\s*((?:https?:)?//[^"''\s>]*)', 1)) AS url FROM p),
+  SELECT host AS a, unnest(regexp_extract_all(html, '(?i)<a\s(?:[^<>]*?\s)?href\s*=\s*["'']?\s*((?:https?:)?//[^"''\s>]*)', 1)) AS url FROM p),
 far AS (SELECT a, CASE WHEN starts_with(url, '//') THEN 'http:' || url ELSE url END AS url FROM raw),
 links AS (SELECT a, b, count(*) AS n FROM (SELECT a, {HOST} AS b FROM far) WHERE a <> '' AND b <> '' AND a <> b GROUP BY a, b),
 hosts AS (
@@ -72,7 +72,7 @@ ranks(round, host, kind, score) AS (
   SELECT 0, host, kind, seed FROM seeds
   UNION ALL
   SELECT round + 1, host, kind, sum(score) FROM (
-    SELECT r.round, s.host, s.kind, 0.15::DOUBLE * s.seed AS score FROM ranks r JOIN seeds s ON r.host = s.host AND r.kind = s.kind
+    SELECT r.round, s.host, s.kind, s.seed AS score FROM ranks r JOIN seeds s ON r.host = s.host AND r.kind = s.kind
     UNION ALL
     SELECT r.round, e.goal, e.kind, 0.85::DOUBLE * r.score * e.part FROM ranks r JOIN edges e ON r.host = e.host AND r.kind = e.kind)
   WHERE round < 20 GROUP BY round, host, kind),
@@ -91,8 +91,8 @@ WITH p AS (
   SELECT page_id, {HOST} AS host,
          list_filter(list_transform(string_split(
            regexp_replace(regexp_replace(regexp_replace(html,
-             '(?is)<script\b.*?</script\s*>|<style\b.*?</style\s*>|<!--.*?-->', '', 'g'),
-             '(?i)</?(?:{_BLOCKS})\b[^>]*>', chr(10), 'g'), '<[^>]*>', '', 'g'),
+             '(?is)<script\b.*?(?:</script\s*>|\z)|<style\b.*?(?:</style\s*>|\z)|<!--.*?(?:-->|\z)', '', 'g'),
+             '(?i)</?(?:{_BLOCKS})\b[^<>]*>', chr(10), 'g'), '<[^<>]*>', '', 'g'),
            chr(10)), lambda x: regexp_replace(x, '{_SPACE}', '', 'g')), lambda x: x <> '') AS lines
   FROM pages),
 c AS (SELECT host, line, count(*) AS n FROM (SELECT host, unnest(list_distinct(lines)) AS line FROM p) GROUP BY host, line),

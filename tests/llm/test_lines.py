@@ -47,5 +47,13 @@ def test_empty_table(spark):
 
 def test_html_lines(spark):
     html = "<html><head><title>T</title><style>p{}</style><script>var a='<p>';</script></head><body><ul><li>one</li><li><b>t</b>wo</li></ul><!-- no --><p> x<br>y</p></body></html>"
-    got = spark.createDataFrame([(html,), (None,), ("",)], "html string").select(lines.html_lines(F.col("html"))).collect()
-    assert [r[0] for r in got] == ["T\none\ntwo\nx\ny", None, ""]
+    unclosed = ["a<p>b<script>c<p>d", "a<!-- b<p>c", "a <p <b>c</b>"]
+    got = spark.createDataFrame([(x,) for x in (html, None, "", *unclosed)], "html string").select(lines.html_lines(F.col("html"))).collect()
+    assert [r[0] for r in got] == ["T\none\ntwo\nx\ny", None, "", "a\nb", "a", "a <p c"]
+
+
+def test_unclosed_tags_are_read_once(spark):
+    n = 300_000
+    texts = ["<script" * n, "<!--" * n, "<p " * n, "<a " * n, "<" * n]
+    got = spark.createDataFrame([(x,) for x in texts], "html string").select(F.length(lines.html_lines(F.col("html")))).collect()
+    assert len(got) == len(texts)
