@@ -27,16 +27,15 @@ class Limits:
 
     ``window_percent`` bounds the words in repeated windows. ``covered`` bounds
     the fraction of characters of words under maximal repeats from ``SHORT``
-    words on, and ``longest`` the longest repeat as a fraction of the document's
-    words, once it has ``longest_words``. Both bind below the window's limit:
-    a passage that comes twice covers twice its length.
+    words on, and ``longest`` the longest repeat (of a window or more) as a
+    fraction of the document's words. Both bind below the window's limit: a
+    passage that comes twice covers twice its length.
     """
 
     words: int = 20
     window_percent: int = 30
     covered: float = 0.2
     longest: float = 0.08
-    longest_words: int = 50
 
 
 def suffix_repeats(words: np.ndarray, ends: np.ndarray, window: int = WINDOW) -> np.ndarray:
@@ -226,8 +225,8 @@ def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", kee
 
     ``kept`` is false for a document that fails the base rules, has over
     ``limits.covered`` of its characters under maximal repeats, or a repeat too
-    long for it. Null and empty texts have no words, so they fail. Each
-    document is judged on its own whole text, so repeated rows get equal rows
+    long for it. Null and empty texts have no words, so they fail; a text of
+    any length is sorted whole, alone in its block if it is long. Each document is judged on its own whole text, so repeated rows get equal rows
     and nothing is shuffled; only the named columns are read, and ``keep``
     carries what the caller needs.
     """
@@ -269,5 +268,5 @@ def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", kee
     c = F.col
     failed = (c("n_words") < limits.words) | (100 * c("n_repeat_words") > limits.window_percent * c("n_words"))
     spread = c("repeat_chars") > F.lit(limits.covered) * c("word_chars")
-    long_one = (c("longest_repeat") >= limits.longest_words) & (c("longest_repeat") > F.lit(limits.longest) * c("n_words"))
+    long_one = c("longest_repeat") > F.lit(limits.longest) * c("n_words")
     return rows.mapInArrow(run, types).withColumn("base_failed", failed).withColumn("kept", ~(failed | spread | long_one))
