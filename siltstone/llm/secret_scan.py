@@ -46,7 +46,7 @@ RULES = (
     Rule("slack", r"xox[abprs]-[A-Za-z0-9-]{10,}"),
     Rule("google", r"AIza[A-Za-z0-9_-]{35}"),
     Rule("stripe", r"[sr]k_live_[A-Za-z0-9]{16,}"),
-    Rule("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
+    Rule("jwt", r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
     Rule("url_login", r"[a-z][a-z0-9+.-]{1,20}://[^\s/:@]{1,64}:[^\s/:@]{6,64}@"),
 )
 
@@ -112,8 +112,9 @@ def scan(
     Documents are indexed in blocks, as segments of a search index are: each
     task holds the postings of one block at a time, so nothing is shuffled and
     memory is bounded by a block. A rule's candidates are then searched whole.
-    Null and empty texts have no spans; spans of one kind do not overlap, those
-    of different kinds may; repeated rows get equal spans; other columns are
+    Null and empty texts have no spans; a text longer than a block is one of
+    its own, and every rule reads it in time that grows with its length; spans
+    of one kind do not overlap, those of different kinds may; repeated rows get equal spans; other columns are
     not read.
     """
     short_batches(docs.sparkSession)

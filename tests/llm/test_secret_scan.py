@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 
 import pytest
 
@@ -26,14 +27,32 @@ TEXTS = [
 ]
 
 
+BASE = (  # as the query's contract gives them: kind, pattern, flags, group, its least length
+    ("assign", r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII | re.IGNORECASE, 2, 8),
+    ("access", r"AKIA[A-Z0-9]+", 0, 0, 16),
+    ("hex", r"[0-9a-f]+", 0, 0, 32),
+)
+
+
 def brute(text):
     spans = []
     for k, r in enumerate(RULES):
-        flags = re.ASCII | (re.IGNORECASE if r.fold else 0)
-        spans += [(m.start(), k, m.end()) for m in re.finditer(r.pattern, text or "", flags) if len(m[r.group]) >= r.least]
+        kind, pattern, flags, group, least = BASE[k] if k < len(BASE) else (r.kind, r.pattern, re.ASCII, r.group, r.least)
+        assert kind == r.kind
+        spans += [(m.start(), k, m.end()) for m in re.finditer(pattern, text or "", flags) if len(m[group]) >= least]
     return sorted(spans)
 
 
+LONG = ["eyJeyJeyJ_" * 200_000 + " .eyJ", "token" * 300_000, "token " * 300_000, "AKIA" * 300_000, "a://" * 300_000, "-----BEGIN " * 200_000 + "PRIVATE KEY", "ghp_" * 300_000, "xoxb-" * 200_000, "AIza" * 300_000, "sk_live_" * 200_000, "f" * 2_000_000]
+
+
+@pytest.mark.parametrize("k", range(len(LONG)))
+def test_long_adversarial_texts(k):
+    began = time.perf_counter()
+    secret_scan.scan_block([LONG[k], "token=abcdefgh"], RULES, secret_scan.Index(RULES))
+    assert time.perf_counter() - began < 20
+
+
 def test_against_brute_force(spark):
     rows = [(i, t, "clash", "clash") for i, t in enumerate(TEXTS)] + [(3, TEXTS[3], "", ""), (None, TEXTS[5], "", "")]
     got = secret_scan.digest(secret_scan.scan(spark.createDataFrame(rows, SCHEMA), block_chars=50)).collect()
