@@ -432,7 +432,8 @@ def near_duplicates(df: DataFrame, id_col: str = "vec_id", vector_col: str = "em
             warnings.warn(f"embedding links: (vectors with all links, vectors) of the audit after {turn} sets of cuts, by number of links: {shares}", stacklevel=2)
             break
     rooted = named.join(root.withColumnRenamed("node", "u"), "u", "left").withColumn("root", F.coalesce("root", "u"))
-    heads = rooted.groupBy("root").agg(F.min("first").alias("component"))
+    rooted = Written(rooted, "nn-rooted").df
+    heads = Written(rooted.groupBy("root").agg(F.min("first").alias("component")), "nn-heads").df
     labels = rooted.join(heads, "root").join(counts, "u", "left").select("vector", "component", (F.coalesce("n", F.lit(0)) + F.col("w") - 1).alias("n_links"))
     found = rows.filter(F.size("vector") == dim).join(labels, "vector")
     alone = rows.filter(F.col("vector").isNull() | (F.size("vector") != dim)).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))

@@ -7,12 +7,10 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from .common import Written, short_batches
+from .common import Written, short_batches, small
 from .graph import components
 
 SHINGLE, SEED, DISTANCE = 4, 42, 4
@@ -24,6 +22,8 @@ UNIT = 16_384
 LAYOUTS = ((6, 2), (7, 3), (8, 4))
 #: Fingerprints that agree on a key by chance, from which the next layout is used.
 BY_CHANCE = 32
+#: Keys of groups over UNIT, up to which their table is broadcast (24 bytes each).
+BROADCAST_KEYS = 100_000
 
 
 def fingerprint(text: str | None) -> int:
@@ -187,48 +187,27 @@ def links(unique: DataFrame, unit: int = UNIT) -> DataFrame:
     so all links lie within groups of fingerprints that agree on two blocks;
     with more fingerprints the layout takes longer keys, so that chance groups
     stay small. Within a group, distances to pivots discard pairs and survivors
-    are verified. A group of over ``unit`` is cut into blocks, and each pair of
-    blocks is a unit of its own: no task holds more, and no pair is missed.
+    are verified. Keys are counted first, with partial counts before the
+    shuffle. A group of over ``unit`` is cut into blocks before its rows are
+    dealt, and each pair of blocks is a unit of its own: no task holds more, and
+    no pair is missed.
     """
     n = unique.count()
     tables = masks(*layout(n))
     keyed = unique.select(
         "fp", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(m)) for m in tables])).alias("t", "key")
     )
-    sized = keyed.withColumn("n", F.count("*").over(Window.partitionBy("t", "key"))).filter("n > 1")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Links of groups up to ``unit``; rows of larger ones pass through, with their key and size."""
-        names = ["a", "b", "t", "key", "n"]
-
-        def links_of(found: pa.RecordBatch) -> pa.RecordBatch:
-            none = pa.nulls(found.num_rows, pa.int64())
-            return pa.RecordBatch.from_arrays([*found.columns, none, none, none], names)
-
-        groups = Groups("t", "key")
-        for batch in batches:
-            over = pa.array(np.asarray(batch.column("n")) > unit)
-            large = batch.filter(over)
-            if large.num_rows:
-                none = pa.nulls(large.num_rows, pa.int64())
-                yield pa.RecordBatch.from_arrays([large.column("fp"), none, large.column("t").cast(pa.int64()), large.column("key"), large.column("n")], names)
-                batch = batch.filter(pc.invert(over))
-            yield links_of(pairs(groups.push(batch)))
-        yield links_of(pairs(groups.rest()))
-
-    first = Written(sized.mapInArrow(run, "a long, b long, t long, key long, n long"), "simhash-links").df
-    found = first.filter("b is not null").select("a", "b")
-    large = first.filter("b is null")
-    if not large.limit(1).count():
-        return found
+    sizes = Written(keyed.groupBy("t", "key").agg(F.count("*").alias("n")).filter(F.col("n") > unit), "simhash-hot").df
+    hot = small(sizes, BROADCAST_KEYS)
     half = F.lit(unit // 2)
-    blocks = F.ceil(F.col("n") / half).cast("int")
-    own = F.pmod(F.xxhash64("a"), blocks).cast("int")
-    cut = large.select(
-        F.col("a").alias("fp"), "t", "key", own.alias("own"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other")
-    ).select("fp", F.xxhash64("t", "key").alias("key"), F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"))
-    dealt = cut.repartition("key", "x", "y").sortWithinPartitions("key", "x", "y")
-    return found.unionByName(dealt.mapInArrow(lambda b: linked(b, "key", "x", "y"), "a long, b long"))
+    blocks = F.coalesce(F.ceil(F.col("n") / half), F.lit(1)).cast("int")
+    own = F.pmod(F.xxhash64("fp"), blocks).cast("int")
+    cut = keyed.join(hot, ["t", "key"], "left").select(
+        "fp", "t", "key", own.alias("own"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other")
+    ).select("fp", "t", "key", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"))
+    units = ("t", "key", "x", "y")
+    dealt = cut.repartition(*units).sortWithinPartitions(*units)
+    return dealt.mapInArrow(lambda b: linked(b, *units), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -238,8 +217,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     the smallest id reachable by links; ``kept`` marks one row of each group:
     the one with that id and, among rows that repeat it, the smallest hash of
     the text (rows that repeat both are all marked). Null and empty texts have
-    fingerprint zero and are linked like others; null ids rank last; an empty
-    table gives no rows; other columns are not read.
+    fingerprint zero and are linked like others; a text of any length is
+    fingerprinted whole; null ids rank last; an empty table gives no rows; other
+    columns are not read.
     """
     rows = Written(fingerprints(docs, id_col, text_col), "simhash-rows").df
     best = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")
@@ -247,7 +227,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     root = components(links(unique.select("fp")))
     rooted = unique.join(root.select(F.col("node").alias("fp"), "root"), "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     rooted = Written(rooted, "simhash-rooted").df
-    heads = rooted.groupBy("root").agg(F.min(F.struct("first", "fp")).alias("head"))
+    heads = Written(rooted.groupBy("root").agg(F.min(F.struct("first", "fp")).alias("head")), "simhash-heads").df
     labels = rooted.join(heads, "root").select("fp", "head")
     h = F.col("head")
     kept = F.col("doc_id").eqNullSafe(h["first"]["doc_id"]) & (F.col("text_hash") == h["first"]["text_hash"]) & (F.col("fp") == h["fp"])
