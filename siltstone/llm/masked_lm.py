@@ -1,4 +1,13 @@
-"""LM scoring by masked pseudo-likelihood: a window network predicts each word from both sides."""
+"""LM scoring by masked pseudo-likelihood: a window network predicts each word from both sides.
+
+The probability of a word is that of its class, which the network gives from
+the words around it, times that of the word in its class. The most frequent
+words are classes of their own. Other words of the vocabulary fall into ranges
+of the alphabet, where they count by their frequency. All other words are one
+class, in which a word is spelled byte by byte. So every word has a
+probability, and those of one position sum to one (but for what spelling gives
+to words of the vocabulary).
+"""
 
 from __future__ import annotations
 
@@ -13,107 +22,149 @@ from pyspark.sql import functions as F
 
 from .common import Written, rows_of, short_batches
 
-EDGE = 0  # stands before the first and after the last word
-BLOCK_TEXTS = 64  # numbered and scored together
-FAN_IN = 256  # trained parameters added by one task
+BLOCK_CHARS = 200_000  # numbered together (a longer text alone)
+FAN_IN = 64  # trained parameters added by one task
+PARTS = 8  # of the embeddings, added apart
 
 
 @dataclass(frozen=True)
 class Settings:
-    """``words`` frequent words have numbers of their own, the others share ``buckets`` by hash.
-
-    Training makes ``rounds`` passes. Each takes every ``stride``-th word of
-    every document, beginning elsewhere each time, so that what is learnt from
-    grows with the corpus; workers start from the same parameters and their
-    results are averaged by the words they saw.
+    """The vocabulary has at most ``words`` words: all that occur more often than the first that is left out.
+
+    ``own`` words are classes of their own, ``ranges`` share the rest, and
+    there is a class for words outside. As context, ``inputs`` words have
+    embeddings of their own, others that of their class. Training reads every
+    word of every document in each of ``rounds`` rounds. A round deals
+    documents, by hash, to shards of about ``shard`` words; every shard starts
+    from the same parameters, and results are averaged, embeddings by how often
+    a shard read them. So what is learnt depends on the rows alone, not on how
+    they are stored or on the cluster.
     """
 
-    words: int = 159
-    buckets: int = 96
+    words: int = 131_072
+    own: int = 119
+    ranges: int = 120
+    inputs: int = 8_192
     side: int = 2
     width: int = 16
-    rounds: int = 2
-    stride: int = 6
-    batch: int = 2048
+    rounds: int = 1
+    shard: int = 4_000_000
+    batch: int = 4_096
     rate: float = 0.15
     seed: int = 11
 
     @property
     def classes(self) -> int:
-        return 1 + self.words + self.buckets
+        return self.own + self.ranges + 1
+
+    @property
+    def rows(self) -> int:
+        """Embeddings: words, classes, and what stands before the first and after the last word."""
+        return self.inputs + self.classes + 1
+
+
+_SPACE = np.zeros(256, dtype=bool)
+_SPACE[[0x20, *range(0x09, 0x0E)]] = True
+_BYTES = np.random.Generator(np.random.PCG64(3)).integers(0, 1 << 64, 256, dtype=np.uint64)
+_BASE = 0x9E3779B97F4A7C15
+_BACK = pow(_BASE, -1, 1 << 64)
 
 
 def split(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").lower().split()
 
 
-_SPACE = np.zeros(256, dtype=bool)
-_SPACE[[0x20, *range(0x09, 0x0E)]] = True
-_MASK = np.array([(1 << 8 * k) - 1 for k in range(9)], dtype=np.uint64)
+_powers: list[np.ndarray] = [np.ones(1, dtype=np.uint64), np.ones(1, dtype=np.uint64)]
+
 
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first powers of the base and of its inverse, modulo 2^64."""
+    if len(_powers[0]) < n:
+        size = 1 << (n - 1).bit_length()
+        for k, x in enumerate((_BASE, _BACK)):
+            step = np.full(size, x, dtype=np.uint64)
+            step[0] = 1
+            _powers[k] = np.cumprod(step, dtype=np.uint64)
+    return _powers[0], _powers[1]
 
-def word_hashes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-    """(a 64-bit hash of each word of all texts, words of each text), without a Python object per word.
 
-    The hash mixes a word's length, first and last eight bytes, ASCII letters lower-cased.
+def word_hashes(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, tuple[np.ndarray, np.ndarray]]:
+    """(a 64-bit hash of each word of all texts, words of each text, all bytes, (begins, ends)).
+
+    ASCII letters are lower-cased. The hash is a polynomial in all bytes of a
+    word: a difference of two running sums, moved to the same power.
     """
     parts = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
-    raw = b"\n".join(parts).lower()
-    buffer = np.frombuffer(b" " * 8 + raw + b" " * 9, dtype=np.uint8)
+    buffer = np.frombuffer(b" " + b"\n".join(parts).lower() + b" ", dtype=np.uint8)
     space = _SPACE[buffer]
     starts = np.flatnonzero(space[:-1] & ~space[1:]) + 1
     ends = np.flatnonzero(~space[:-1] & space[1:]) + 1
-    eight = np.ndarray((len(buffer) - 7,), dtype="<u8", buffer=buffer, strides=(1,))  # eight bytes from each place on
-    length = ends - starts
-    short = np.minimum(length, 8)
-    first = eight[starts] & _MASK[short]
-    last = (eight[ends - 8] >> (8 * (8 - short)).astype(np.uint64)) & _MASK[short]
-    h = first * np.uint64(0x9E3779B97F4A7C15) ^ (last + length.astype(np.uint64)) * np.uint64(0xC2B2AE3D27D4EB4F)
-    h ^= h >> np.uint64(29)
+    up, down = powers(len(buffer))
+    upto = np.zeros(len(buffer) + 1, dtype=np.uint64)
+    np.cumsum(_BYTES[buffer] * up[: len(buffer)], out=upto[1:])
+    h = (upto[ends] - upto[starts]) * down[starts]
+    h ^= h >> np.uint64(31)
     h *= np.uint64(0xBF58476D1CE4E5B9)
-    h ^= h >> np.uint64(32)
-    # A text's words end before the line feed that follows it.
+    h ^= h >> np.uint64(29)
     sizes = np.fromiter(map(len, parts), dtype=np.int64, count=len(parts)) + 1
-    upto = np.searchsorted(starts, 8 + np.cumsum(sizes))
-    return h, np.diff(upto, prepend=0)
-
-
-class Numbers:
-    """Numbers of words: frequent ones have their own, others a bucket's."""
-
-    def __init__(self, frequent: list[bytes], s: Settings):
-        h = word_hashes([w.decode("utf-8", "surrogatepass") for w in frequent])[0]
-        self.order = np.argsort(h)
-        self.known = h[self.order]
-        self.first, self.buckets, self.side = 1 + s.words, s.buckets, s.side
-
-    def of(self, h: np.ndarray) -> np.ndarray:
-        out = (self.first + (h % np.uint64(self.buckets)).astype(np.int32)).astype(np.int32)
-        if len(self.known):
-            at = np.minimum(np.searchsorted(self.known, h), len(self.known) - 1)
-            hit = self.known[at] == h
-            out[hit] = self.order[at[hit]] + 1
-        return out
-
-    def lay_out(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """(line, place, text, counts): all words in a row, EDGE between texts; where each word lies, and its text."""
-        h, counts = word_hashes(texts)
+    # A text's words end before the line feed that follows it.
+    last = np.searchsorted(starts, 1 + np.cumsum(sizes))
+    return h, np.diff(last, prepend=0), buffer, (starts, ends)
+
+
+class Vocabulary:
+    """Numbers and classes of words, and their log-probabilities within a class."""
+
+    def __init__(self, words: list[bytes], counts: np.ndarray, spelled: np.ndarray, s: Settings):
+        """``words`` by falling count; ``spelled``: how often a byte follows another in words outside, space at both ends."""
+        self.s = s
+        n = len(words)
+        counts = np.asarray(counts, dtype=np.float64)
+        kind = np.minimum(np.arange(n), s.own)
+        rest = np.arange(s.own, n)
+        if len(rest):  # ranges of the alphabet of about equal counts
+            rest = np.array(sorted(rest.tolist(), key=words.__getitem__))
+            before = np.cumsum(counts[rest]) - counts[rest]
+            kind[rest] = s.own + np.minimum((before * s.ranges / counts[rest].sum()).astype(int), s.ranges - 1)
+        total = np.bincount(kind, weights=counts, minlength=s.classes) if n else np.zeros(s.classes)
+        h = word_hashes([b"\n".join(words).decode("utf-8", "surrogatepass")])[0]
+        order = np.argsort(h)
+        self.known = h[order]
+        number = np.where(np.arange(n) < s.inputs, np.arange(n), s.inputs + kind)
+        self.number = number[order].astype(np.uint16)
+        self.inner = (np.log(counts) - np.log(total[kind]))[order] if n else np.zeros(0)
+        self.other, self.edge = s.inputs + s.classes - 1, s.inputs + s.classes
+        self.class_of = np.concatenate([kind[: s.inputs], np.zeros(max(0, s.inputs - n), dtype=int), np.arange(s.classes), [0]]).astype(np.int32)
+        smooth = spelled + 0.05
+        self.spelled = np.log(smooth / smooth.sum(axis=1, keepdims=True))
+
+    def of(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(numbers of all words, words of each text, log-probabilities of its words within their classes, summed)."""
+        h, counts, raw, (starts, ends) = word_hashes(texts)
+        number = np.full(len(h), self.other, dtype=np.uint16)
+        inner = np.zeros(len(h))
+        at = np.minimum(np.searchsorted(self.known, h), max(0, len(self.known) - 1))
+        hit = self.known[at] == h if len(self.known) else np.zeros(len(h), dtype=bool)
+        number[hit], inner[hit] = self.number[at[hit]], self.inner[at[hit]]
+        out = np.flatnonzero(~hit)
+        if len(out):
+            plain = np.where(_SPACE[raw], 0x20, raw)
+            upto = np.concatenate([[0], np.cumsum(self.spelled[plain[:-1], plain[1:]])])
+            inner[out] = upto[ends[out]] - upto[starts[out] - 1]
         text = np.repeat(np.arange(len(texts)), counts)
-        place = np.arange(len(h)) + self.side * text
-        line = np.zeros(len(h) + self.side * len(texts), dtype=np.int32)
-        line[place] = self.of(h)
-        return line, place, text, counts
+        return number, counts, np.bincount(text, weights=inner, minlength=len(texts))
 
 
 class Network:
-    """Position-weighted sum of the context's embeddings, tanh, softmax over all classes."""
+    """Position-weighted sum of the context's embeddings, tanh, softmax over classes."""
 
     def __init__(self, s: Settings, flat: np.ndarray | None = None):
         self.s = s
-        self.shapes = ((s.classes, s.width), (2 * s.side, s.width), (s.width, s.classes), (s.classes,))
+        self.shapes = ((s.rows, s.width), (2 * s.side, s.width), (s.width, s.classes), (s.classes,))
         if flat is None:
             rng = np.random.Generator(np.random.PCG64(s.seed))
-            flat = np.concatenate([(rng.standard_normal(int(np.prod(x))) * (0.1 if i != 1 else 0.02) + (i == 1)).astype(np.float32) * (i != 3) for i, x in enumerate(self.shapes)])
+            draws = [rng.standard_normal(shape) for shape in self.shapes]
+            flat = np.concatenate([(0.1 * draws[0]).ravel(), (1 + 0.02 * draws[1]).ravel(), (0.1 * draws[2]).ravel(), np.zeros(s.classes)])
         self.flat = flat.astype(np.float32).copy()
         self.parts, at = [], 0
         for shape in self.shapes:
@@ -121,43 +172,69 @@ class Network:
             self.parts.append(self.flat[at : at + size].reshape(shape))
             at += size
         self.power = [np.full(x.shape, 1e-3, dtype=np.float32) for x in self.parts]
-
-    def forward(self, context: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(embedded, hidden, log-probabilities) of a batch of contexts."""
-        e, p, u, b = self.parts
-        embedded = e[context]
-        hidden = np.tanh(np.einsum("nkd,kd->nd", embedded, p))
-        z = hidden @ u
+        self.read = np.zeros(s.rows)
+        self.room = [np.empty((0, s.classes), dtype=np.float32)] * 2
+
+    def hidden(self, context: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
+        e, p = self.parts[:2]
+        embedded = [e[context[:, k]] for k in range(context.shape[1])]
+        total = embedded[0] * p[0]
+        for x, w in zip(embedded[1:], p[1:], strict=True):
+            total += x * w
+        return embedded, np.tanh(total, out=total)
+
+    def forward(self, context: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(exp of each class's score, their sum) of a batch of contexts."""
+        return self._scores(self.hidden(context)[1])[1:]
+
+    def _scores(self, hidden: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        u, b = self.parts[2:]
+        n = len(hidden)
+        if n > len(self.room[0]):  # kept between calls: new memory costs more than what is computed in it
+            self.room = [np.empty((n, self.s.classes), dtype=np.float32) for _ in range(2)]
+        z = np.matmul(hidden, u, out=self.room[0][:n])
         z += b
-        z -= z.max(axis=1, keepdims=True)
-        z -= np.log(np.exp(z).sum(axis=1, keepdims=True))
-        return embedded, hidden, z
+        if float((np.abs(u).sum(axis=0) + np.abs(b)).max()) > 60:  # else no score can leave the range of exp
+            z -= z.max(axis=1, keepdims=True)
+        x = np.exp(z, out=self.room[1][:n])
+        return z, x, x @ np.ones(x.shape[1], dtype=np.float32)
+
+    def log_probabilities(self, context: np.ndarray, target: np.ndarray) -> np.ndarray:
+        z, _, total = self._scores(self.hidden(context)[1])
+        return z[np.arange(len(target)), target] - np.log(total)
 
     def step(self, context: np.ndarray, target: np.ndarray) -> None:
         """One step of Adagrad on a batch."""
-        e, p, u, b = self.parts
-        embedded, hidden, logp = self.forward(context)
-        g = np.exp(logp)
-        g[np.arange(len(target)), target] -= 1
-        g /= len(target)
+        e, p, u, _ = self.parts
+        embedded, hidden = self.hidden(context)
+        _, g, total = self._scores(hidden)
+        g *= (1 / (len(target) * total))[:, None]
+        g[np.arange(len(target)), target] -= 1 / len(target)
         du, db = hidden.T @ g, g.sum(axis=0)
-        dh = (g @ u.T) * (1 - hidden**2)
-        dp = np.einsum("nkd,nd->kd", embedded, dh)
-        de = np.zeros_like(e)
-        for k in range(context.shape[1]):
-            onehot = context[:, k]
-            order = np.argsort(onehot, kind="stable")
-            seen, first = np.unique(onehot[order], return_index=True)
-            de[seen] += np.add.reduceat((dh * p[k])[order], first, axis=0)
-        for x, d, v in zip(self.parts, (de, dp, du, db), self.power, strict=True):
+        dh = g @ u.T
+        dh *= 1 - hidden * hidden
+        dp = np.stack([(x * dh).sum(axis=0) for x in embedded])
+        rows = context.T.ravel()
+        order = np.argsort(rows, kind="stable")
+        change = np.flatnonzero(np.diff(rows[order], prepend=-1))
+        seen = rows[order[change]]
+        de = np.add.reduceat(np.concatenate([dh * w for w in p])[order], change, axis=0)
+        self.read[seen] += np.diff(np.append(change, len(rows)))
+        v = self.power[0][seen] + de * de
+        self.power[0][seen] = v
+        e[seen] -= self.s.rate * de / np.sqrt(v)
+        for x, d, v in zip(self.parts[1:], (dp, du, db), self.power[1:], strict=True):
             v += d * d
             x -= self.s.rate * d / np.sqrt(v)
 
 
-def windows(ids: np.ndarray, at: np.ndarray, side: int) -> np.ndarray:
-    """Numbers around each position of ``at``, without its own, in a text padded with EDGE."""
-    padded = np.pad(ids, side)  # EDGE is zero
-    return padded[at[:, None] + np.array([k for k in range(2 * side + 1) if k != side])]
+def windows(numbers: np.ndarray, counts: np.ndarray, s: Settings) -> np.ndarray:
+    """Numbers around each word of texts in a row, without its own."""
+    text = np.repeat(np.arange(len(counts)), counts)
+    place = np.arange(len(numbers)) + s.side * (text + 1)
+    line = np.full(len(numbers) + s.side * (len(counts) + 1), s.inputs + s.classes, dtype=np.uint16)
+    line[place] = numbers
+    return np.stack([line[place + k] for k in range(-s.side, s.side + 1) if k], axis=1)
 
 
 def count_words(docs: DataFrame) -> DataFrame:
@@ -181,73 +258,150 @@ def count_words(docs: DataFrame) -> DataFrame:
     return docs.select("text").mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def train(docs: DataFrame, s: Settings) -> tuple[list[bytes], np.ndarray]:
-    """(frequent words, parameters). The driver holds ``words`` words and a few copies of the parameters."""
-    top = count_words(docs).orderBy(F.col("n").desc(), "word").limit(s.words).collect()
-    frequent = [bytes(r["word"]) for r in top]
+def follow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(pair, n): how often a byte follows another in words, a space before and after each."""
+    total = np.zeros(1 << 16)
+    for batch in batches:
+        words, n = batch.column("word").to_pylist(), np.asarray(batch.column("n"), dtype=np.float64)
+        raw = np.frombuffer(b" " + b" ".join(words) + b" ", dtype=np.uint8).astype(np.int64)
+        sizes = np.fromiter(map(len, words), dtype=np.int64, count=len(words)) + 1
+        pair = (raw[:-1] << 8 | raw[1:])[: int(sizes.sum())]
+        total += np.bincount(pair, weights=np.repeat(n, sizes), minlength=1 << 16)
+    at = np.flatnonzero(total)
+    yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["pair", "n"])
+
+
+def learn_vocabulary(docs: DataFrame, s: Settings) -> tuple[Vocabulary, int]:
+    """(vocabulary, words of all documents). The driver holds the vocabulary and counts by frequency."""
+    counts = Written(count_words(docs), "lm-counts")
+    by_count = counts.df.groupBy("n").agg(F.count("*").alias("words")).orderBy(F.desc("n")).collect()
+    total, held, least = sum(r["n"] * r["words"] for r in by_count), 0, 1 << 62
+    for r in by_count:
+        held += r["words"]
+        if held > s.words:
+            break
+        least = r["n"]
+    top = counts.df.filter(F.col("n") >= least).orderBy(F.desc("n"), "word").collect()
+    spelled = np.zeros((256, 256))
+    for r in counts.df.filter(F.col("n") < least).mapInArrow(follow, "pair long, n double").groupBy("pair").agg(F.sum("n").alias("n")).collect():
+        spelled[r["pair"] >> 8, r["pair"] & 255] = r["n"]
+    counts.drop()
+    return Vocabulary([bytes(r["word"]) for r in top], np.array([r["n"] for r in top]), spelled, s), total
+
+
+def numbered(docs: DataFrame, vocabulary: Vocabulary) -> DataFrame:
+    """(doc_id, key, numbers, inner): each text's words as two bytes each, and what they have within their classes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = [t or "" for t in batch.column("text").to_pylist()]
+            place = np.cumsum([len(t) for t in texts]) // BLOCK_CHARS
+            edge = [*np.flatnonzero(np.diff(place, prepend=-1)).tolist(), len(texts)]
+            for i, j in zip(edge, edge[1:]):
+                number, n, inner = vocabulary.of(texts[i:j])
+                cut = (2 * np.concatenate([[0], np.cumsum(n)])).tolist()
+                data = number.astype("<u2").tobytes()
+                part = batch.slice(i, j - i).select(["doc_id", "key"])
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array([data[a:b] for a, b in zip(cut, cut[1:])], pa.binary()), pa.array(inner)], ["doc_id", "key", "numbers", "inner"])
+
+    return docs.withColumn("key", F.xxhash64("doc_id", "text")).mapInArrow(run, "doc_id long, key long, numbers binary, inner double")
+
+
+class Shard:
+    """Trains on documents as they come; the same documents in the same order give the same parameters."""
+
+    def __init__(self, s: Settings, flat: np.ndarray, class_of: np.ndarray, seed: int):
+        self.net, self.class_of, self.held, self.size, self.seen = Network(s, flat), class_of, [], 0, 0
+        self.rng = np.random.Generator(np.random.PCG64(seed))
+
+    def add(self, numbers: np.ndarray) -> None:
+        self.held.append(numbers)
+        self.size += len(numbers)
+        if self.size >= 16 * self.net.s.batch:
+            self.learn()
+
+    def learn(self) -> None:
+        if not self.size:
+            return
+        s, numbers = self.net.s, np.concatenate(self.held)
+        context = windows(numbers, np.array([len(x) for x in self.held]), s)
+        target, mixed = self.class_of[numbers], self.rng.permutation(len(numbers))
+        for i in range(0, len(mixed), s.batch):
+            at = mixed[i : i + s.batch]
+            self.net.step(context[at], target[at])
+        self.seen += self.size
+        self.held, self.size = [], 0
+
+    def sums(self) -> list[bytes]:
+        """Parameters times the words they were read for, and these counts: embeddings in parts, then the rest."""
+        self.learn()
+        net, read = self.net, self.net.read
+        rows = np.concatenate([net.parts[0] * read[:, None], read[:, None]], axis=1)
+        rest = np.concatenate([*(x.ravel() for x in net.parts[1:]), [1.0]]) * self.seen
+        return [x.tobytes() for x in (*np.array_split(rows, PARTS), rest)]
+
+
+def averaged(data: list[bytes], flat: np.ndarray, s: Settings) -> np.ndarray:
+    """Parameters from the added sums; those that no word has read stay."""
+    net = Network(s, flat)
+    rows = np.concatenate([np.frombuffer(x) for x in data[:-1]]).reshape(s.rows, s.width + 1)
+    seen = rows[:, -1] > 0
+    net.parts[0][seen] = (rows[seen, :-1] / rows[seen, -1:]).astype(np.float32)
+    rest = np.frombuffer(data[-1])
+    if rest[-1]:
+        net.flat[s.rows * s.width :] = (rest[:-1] / rest[-1]).astype(np.float32)
+    return net.flat
+
+
+def train(rows: DataFrame, class_of: np.ndarray, total: int, s: Settings) -> np.ndarray:
+    """Parameters of a network trained on all numbered documents."""
     flat = Network(s).flat
+    shards = max(1, -(-total // s.shard))
     for turn in range(s.rounds):
         now = flat.tobytes()
 
         def run(batches: Iterator[pa.RecordBatch], now: bytes = now, turn: int = turn) -> Iterator[pa.RecordBatch]:
-            from pyspark import TaskContext
-
-            net, numbers = Network(s, np.frombuffer(now, dtype=np.float32)), Numbers(frequent, s)
-            held_c: list[np.ndarray] = []
-            held_t: list[np.ndarray] = []
-            held = seen = 0
-            for (texts,) in rows_of(batches, "text"):
-                for k in range(0, len(texts), BLOCK_TEXTS):
-                    line, place, text, counts = numbers.lay_out(texts[k : k + BLOCK_TEXTS])
-                    if not len(place):
-                        continue
-                    first = np.cumsum(counts) - counts
-                    # Where a text begins depends on its number of words and the turn.
-                    begin = counts + turn * (s.stride // s.rounds or 1)
-                    at = place[(np.arange(len(place)) - first[text] + begin[text]) % s.stride == 0]
-                    held_c.append(windows(line, at, s.side))
-                    held_t.append(line[at])
-                    held += len(at)
-                    if held >= 8 * s.batch:
-                        c, t = np.concatenate(held_c), np.concatenate(held_t)
-                        mixed = np.random.Generator(np.random.PCG64(seen)).permutation(len(t))
-                        for i in range(0, len(t), s.batch):
-                            net.step(c[mixed[i : i + s.batch]], t[mixed[i : i + s.batch]])
-                        seen += held
-                        held_c, held_t, held = [], [], 0
-            if held:
-                c, t = np.concatenate(held_c), np.concatenate(held_t)
-                for i in range(0, len(t), s.batch):
-                    net.step(c[i : i + s.batch], t[i : i + s.batch])
-                seen += held
-            if seen:
-                part = TaskContext.get().partitionId()
-                yield pa.RecordBatch.from_pydict({"part": [part], "n": [seen], "flat": [(net.flat.astype(np.float64) * seen).tobytes()]})
+            def out() -> pa.RecordBatch:
+                data = own.sums()
+                return pa.RecordBatch.from_arrays([pa.array([at] * len(data)), pa.array(range(len(data)), pa.int64()), pa.array(data, pa.binary())], ["shard", "part", "data"])
+
+            own, at = None, -1
+            for shard, numbers in rows_of(batches, "shard", "numbers"):
+                for k, data in zip(shard, numbers, strict=True):
+                    if k != at:
+                        if own:
+                            yield out()
+                        own, at = Shard(s, np.frombuffer(now, dtype=np.float32), class_of, 1000 * turn + k), k
+                    own.add(np.frombuffer(data, dtype="<u2"))
+            if own:
+                yield out()
 
         def add(table: pa.Table) -> pa.Table:
-            table = table.sort_by("part")
-            total = sum(np.frombuffer(x.as_py()) for x in table.column("flat"))
-            return pa.table({"part": [table.column("part")[0].as_py() // FAN_IN], "n": [sum(table.column("n").to_pylist())], "flat": [total.tobytes()]})
-
-        kind = "part long, n long, flat binary"
-        sums = docs.select("text").mapInArrow(run, kind)
-        for _ in range(2):  # a task adds FAN_IN results at most; the driver gets one for FAN_IN² tasks
-            sums = sums.groupBy(F.floor(F.col("part") / FAN_IN)).applyInArrow(add, kind)
-        rows = sorted(sums.collect(), key=lambda r: r["part"])
-        seen = sum(r["n"] for r in rows)
-        if seen:
-            flat = (sum(np.frombuffer(r["flat"]) for r in rows) / seen).astype(np.float32)
-    return frequent, flat
-
-
-def log_probabilities(texts: list[str | None], net: Network, numbers: Numbers) -> tuple[np.ndarray, np.ndarray]:
-    """(words, summed conditional log-probability) of each text."""
-    line, place, of, counts = numbers.lay_out(texts)
-    total = np.zeros(len(texts))
-    for i in range(0, len(place), 4096):
-        part = place[i : i + 4096]
-        logp = net.forward(windows(line, part, net.s.side))[2]
-        total += np.bincount(of[i : i + 4096], weights=logp[np.arange(len(part)), line[part]], minlength=len(texts))
+            table = table.sort_by("shard")
+            total = sum(np.frombuffer(x.as_py()) for x in table.column("data"))
+            return pa.table({"shard": [table.column("shard")[0].as_py() // FAN_IN], "part": table.column("part")[:1], "data": [total.tobytes()]})
+
+        kind = "shard long, part long, data binary"
+        dealt = rows.withColumn("shard", F.pmod(F.xxhash64("key", F.lit(turn)), F.lit(shards)))
+        sums = dealt.repartition(shards, "shard").sortWithinPartitions("shard", "key").select("shard", "numbers").mapInArrow(run, kind)
+        left = shards
+        while left > 1:
+            sums = sums.groupBy("part", F.floor(F.col("shard") / FAN_IN)).applyInArrow(add, kind)
+            left = -(-left // FAN_IN)
+        found = sorted((r["part"], bytes(r["data"])) for r in sums.collect())
+        if found:
+            flat = averaged([x for _, x in found], flat, s)
+    return flat
+
+
+def score_rows(numbers: list[bytes], net: Network, class_of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(words, summed conditional log-probability of their classes) of each text."""
+    counts = np.array([len(x) // 2 for x in numbers])
+    all_, total = np.frombuffer(b"".join(numbers), dtype="<u2"), np.zeros(len(numbers))
+    context, of = windows(all_, counts, net.s), np.repeat(np.arange(len(counts)), counts)
+    for i in range(0, len(all_), 2048):
+        part = slice(i, i + 2048)
+        total += np.bincount(of[part], weights=net.log_probabilities(context[part], class_of[all_[part]]), minlength=len(numbers))
     return counts, total
 
 
@@ -256,24 +410,24 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", setti
 
     The network learns from all documents, then every word of every text is
     predicted from the words on both sides. Null and empty texts have no words,
-    likelihood 0 and a null mean; repeated rows get equal scores and weigh as
-    often as they occur; an empty table gives no rows; other columns are not
-    read.
+    likelihood 0 and a null mean; a text of any length is scored whole;
+    repeated rows get equal scores and weigh as often as they occur; words that
+    tie at the vocabulary's edge are all left out of it; an empty table gives
+    no rows; other columns are not read.
     """
     short_batches(docs.sparkSession)
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    frequent, flat = train(docs, settings)
-    trained = flat.tobytes()
+    vocabulary, total = learn_vocabulary(docs, settings)
+    class_of = vocabulary.class_of
+    rows = Written(numbered(docs, vocabulary), "lm-numbers").df
+    trained = train(rows, class_of, total, settings).tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        net, numbers = Network(settings, np.frombuffer(trained, dtype=np.float32)), Numbers(frequent, settings)
+        net = Network(settings, np.frombuffer(trained, dtype=np.float32))
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            texts = batch.column("text").to_pylist()
-            for i in range(0, len(texts), BLOCK_TEXTS):
-                n, total = log_probabilities(texts[i : i + BLOCK_TEXTS], net, numbers)
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(i, BLOCK_TEXTS), pa.array(n), pa.array(total)], ["doc_id", "n_words", "log_likelihood"])
-
-    scored = docs.mapInArrow(run, "doc_id long, n_words long, log_likelihood double")
+            if batch.num_rows:
+                n, total = score_rows(batch.column("numbers").to_pylist(), net, class_of)
+                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n), pa.array(total + np.asarray(batch.column("inner")))], ["doc_id", "n_words", "log_likelihood"])
+
+    scored = rows.select("doc_id", "numbers", "inner").mapInArrow(run, "doc_id long, n_words long, log_likelihood double")
     return scored.withColumn("mean_log_likelihood", F.when(F.col("n_words") > 0, F.col("log_likelihood") / F.col("n_words")))
