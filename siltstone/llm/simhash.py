@@ -149,7 +149,7 @@ class Groups:
 
     def push(self, batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
         """The groups that end before the batch's last one."""
-        part = np.stack([batch.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in (*self.keys, "fp")])
+        part = np.stack([batch.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in (*self.keys, "node")])
         rows = np.concatenate([self.held, part], axis=1)
         change = np.flatnonzero(self._new(rows)) + 1
         cut = change[-1] if len(change) else 0
@@ -180,36 +180,58 @@ def linked(batches: Iterator[pa.RecordBatch], *keys: str) -> Iterator[pa.RecordB
     yield pairs(groups.rest())
 
 
+def in_units(keyed: DataFrame, node: str, keys: tuple[str, ...], unit: int) -> tuple[DataFrame, tuple[str, ...]]:
+    """(rows of ``keyed`` dealt and sorted by units, the units' columns).
+
+    Keys are counted first, with partial counts before the shuffle. A group of
+    over ``unit`` is cut into blocks before its rows are dealt, and each pair of
+    blocks is a unit of its own: no task holds more, and no pair is missed.
+    """
+    sizes = Written(keyed.groupBy(*keys).agg(F.count("*").alias("n")).filter(F.col("n") > unit), "simhash-hot").df
+    blocks = F.coalesce(F.ceil(F.col("n") / F.lit(unit // 2)), F.lit(1)).cast("int")
+    own = F.pmod(F.xxhash64(node), blocks).cast("int")
+    cut = keyed.join(small(sizes, BROADCAST_KEYS), list(keys), "left").select(
+        *keyed.columns, own.alias("own"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other")
+    )
+    units = (*keys, "x", "y")
+    dealt = cut.select(*keyed.columns, F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"))
+    return dealt.repartition(*units).sortWithinPartitions(*units), units
+
+
 def links(unique: DataFrame, unit: int = UNIT) -> DataFrame:
-    """(a, b): links of distinct fingerprints (``fp``) that connect all within DISTANCE bits.
+    """(a, b): links of distinct fingerprints (``node``) that connect all within DISTANCE bits.
 
     Fingerprints that differ in at most four bits agree on two of six blocks,
     so all links lie within groups of fingerprints that agree on two blocks;
     with more fingerprints the layout takes longer keys, so that chance groups
     stay small. Within a group, distances to pivots discard pairs and survivors
-    are verified. Keys are counted first, with partial counts before the
-    shuffle. A group of over ``unit`` is cut into blocks before its rows are
-    dealt, and each pair of blocks is a unit of its own: no task holds more, and
-    no pair is missed.
+    are verified.
     """
-    n = unique.count()
-    tables = masks(*layout(n))
+    tables = masks(*layout(unique.count()))
     keyed = unique.select(
-        "fp", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(m)) for m in tables])).alias("t", "key")
+        "node", F.posexplode(F.array(*[F.col("node").bitwiseAND(F.lit(m)) for m in tables])).alias("t", "key")
     )
-    sizes = Written(keyed.groupBy("t", "key").agg(F.count("*").alias("n")).filter(F.col("n") > unit), "simhash-hot").df
-    hot = small(sizes, BROADCAST_KEYS)
-    half = F.lit(unit // 2)
-    blocks = F.coalesce(F.ceil(F.col("n") / half), F.lit(1)).cast("int")
-    own = F.pmod(F.xxhash64("fp"), blocks).cast("int")
-    cut = keyed.join(hot, ["t", "key"], "left").select(
-        "fp", "t", "key", own.alias("own"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other")
-    ).select("fp", "t", "key", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"))
-    units = ("t", "key", "x", "y")
-    dealt = cut.repartition(*units).sortWithinPartitions(*units)
+    dealt, units = in_units(keyed, "node", ("t", "key"), unit)
     return dealt.mapInArrow(lambda b: linked(b, *units), "a long, b long")
 
 
+def grouped(rows: DataFrame, found: DataFrame) -> DataFrame:
+    """(node, doc_id, text_hash, head, kept) for rows (node, doc_id, text_hash): the first row of each group of linked nodes.
+
+    ``found`` takes the distinct nodes' table and gives their links.
+    """
+    root = components(found)
+    best = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash", "node")
+    firsts = rows.groupBy("node").agg(F.min(best).alias("first"))
+    rooted = firsts.join(root, "node", "left").select("node", "first", F.coalesce("root", "node").alias("root"))
+    rooted = Written(rooted, "simhash-rooted").df
+    heads = Written(rooted.groupBy("root").agg(F.min("first").alias("head")), "simhash-heads").df
+    labels = rooted.join(heads, "root").select("node", "head")
+    h = F.col("head")
+    kept = F.col("doc_id").eqNullSafe(h["doc_id"]) & (F.col("text_hash") == h["text_hash"]) & (F.col("node") == h["node"])
+    return rows.join(labels, "node").withColumn("kept", kept)
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, fingerprint, component_id, kept, text_hash) for every row of ``docs``.
 
@@ -221,20 +243,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     fingerprinted whole; null ids rank last; an empty table gives no rows; other
     columns are not read.
     """
-    rows = Written(fingerprints(docs, id_col, text_col), "simhash-rows").df
-    best = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")
-    unique = Written(rows.groupBy("fp").agg(F.min(best).alias("first")), "simhash-unique").df
-    root = components(links(unique.select("fp")))
-    rooted = unique.join(root.select(F.col("node").alias("fp"), "root"), "fp", "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
-    rooted = Written(rooted, "simhash-rooted").df
-    heads = Written(rooted.groupBy("root").agg(F.min(F.struct("first", "fp")).alias("head")), "simhash-heads").df
-    labels = rooted.join(heads, "root").select("fp", "head")
-    h = F.col("head")
-    kept = F.col("doc_id").eqNullSafe(h["first"]["doc_id"]) & (F.col("text_hash") == h["first"]["text_hash"]) & (F.col("fp") == h["fp"])
-    return rows.join(labels, "fp").select(
+    rows = Written(fingerprints(docs, id_col, text_col).withColumnRenamed("fp", "node"), "simhash-rows").df
+    unique = Written(rows.select("node").distinct(), "simhash-unique").df
+    return grouped(rows, links(unique)).select(
         "doc_id",
-        F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
-        h["first"]["doc_id"].alias("component_id"),
-        kept.alias("kept"),
+        F.lower(F.lpad(F.hex("node"), 16, "0")).alias("fingerprint"),
+        F.col("head")["doc_id"].alias("component_id"),
+        "kept",
         "text_hash",
     )

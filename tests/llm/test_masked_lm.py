@@ -7,7 +7,7 @@ import re
 import numpy as np
 import pytest
 
-from siltstone.llm import masked_lm
+from siltstone.llm import masked_lm, words
 from siltstone.llm.masked_lm import Network, Settings, Vocabulary
 
 SCHEMA = "doc_id long, text string, n_words string, word string, key string, numbers string"
@@ -67,12 +67,12 @@ def test_windows_hide_the_word_itself():
 
 def test_words_are_told_apart():
     texts = ["One two\tTHREE\x0bfour  ", None, "", " \n", "a", "ab abcdefgh abcdefghi Abcdefghi xabcdefgh abcdefgXabcdefgh abcdefgYabcdefgh é É e e", "w" * 30 + " x"]
-    h, counts, _, _ = masked_lm.word_hashes(texts)
-    words = [w for t in texts for w in words_of(t)]
+    h, counts, _, _ = words.word_hashes(texts)
+    found = [w for t in texts for w in words_of(t)]
     assert counts.tolist() == [len(words_of(t)) for t in texts]
-    assert len(h) == len(words) and len(set(h.tolist())) == len(set(words))
+    assert len(h) == len(found) and len(set(h.tolist())) == len(set(found))
     by: dict = {}
-    assert all(by.setdefault(w, x) == x for w, x in zip(words, h.tolist(), strict=True))
+    assert all(by.setdefault(w, x) == x for w, x in zip(found, h.tolist(), strict=True))
 
 
 def plain_vocabulary(texts, s):

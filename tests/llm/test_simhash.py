@@ -84,7 +84,7 @@ def test_links_lose_nothing(spark, unit):
         chain.append(chain[-1] ^ 1 << rng.randrange(64))
     fps = sorted(set(fps + chain))
     signed = [f - (1 << 64) if f >> 63 else f for f in fps]
-    found = simhash.links(spark.createDataFrame([(f,) for f in signed], "fp long"), unit)
+    found = simhash.links(spark.createDataFrame([(f,) for f in signed], "node long"), unit)
     for a, b in found.collect():
         assert ((a ^ b) & ((1 << 64) - 1)).bit_count() <= 4
     got = {r["node"]: r["root"] for r in graph.components(found).collect()}
