@@ -62,18 +62,20 @@ def drop_boilerplate(
     keep: Column,
     ratio: float = RATIO,
     min_pages: int = MIN_PAGES,
+    counted: DataFrame | None = None,
 ) -> DataFrame:
     """(keep, site, text, n_lines, n_dropped) for every row of ``df``.
 
     A line (split at \\n, outer white space aside) goes if over ``ratio`` of its
     site's pages have it; sites of fewer than ``min_pages`` pages lose none.
-    Blank lines are never counted or dropped. Null text stays null, with no
+    Pages are the rows of ``counted`` (site, text), if given, such as one for
+    each group of copies; else all rows are. Blank lines are never counted or dropped. Null text stays null, with no
     lines; a null site is a site of its own; repeated rows count as pages; a
     page or line of any length is read whole. The input's columns are read only through ``site``, ``text`` and ``keep``, so
     any names may occur.
     """
-    rows = df.select(site.alias("site"), text.alias("text"))
-    found = Written(boilerplate(rows, ratio, min_pages), "lines-boilerplate").df.select(F.col("site").alias("b_site"), "lines")
+    pages = counted if counted is not None else df.select(site.alias("site"), text.alias("text"))
+    found = Written(boilerplate(pages, ratio, min_pages), "lines-boilerplate").df.select(F.col("site").alias("b_site"), "lines")
     n = found.agg(F.coalesce(F.sum(F.size("lines")), F.lit(0))).first()[0]
     found = F.broadcast(found) if n <= BROADCAST_LINES else found
     rows = df.select(keep.alias("keep"), site.alias("site"), text.alias("text"))
