@@ -7,10 +7,10 @@ from siltstone.llm import lines
 SCHEMA = "doc_id long, text string, source string, lines string, site string, n_lines long"
 
 
-def brute(rows, ratio=lines.RATIO, least=lines.MIN_PAGES):
+def brute(rows, ratio=lines.RATIO, least=lines.MIN_PAGES, counted=None):
     ws = " \t\n\v\f\r"
     pages, seen = {}, {}
-    for _, text, site in rows:
+    for _, text, site in counted or rows:
         pages[site] = pages.get(site, 0) + 1
         for line in {x.strip(ws) for x in (text or "").split("\n")} - {""}:
             seen[site, line] = seen.get((site, line), 0) + 1
@@ -20,7 +20,7 @@ def brute(rows, ratio=lines.RATIO, least=lines.MIN_PAGES):
             out.append((i, site, None, 0, 0))
             continue
         all_ = text.split("\n")
-        kept = [x for x in all_ if pages[site] < least or not x.strip(ws) or seen[site, x.strip(ws)] <= ratio * pages[site]]
+        kept = [x for x in all_ if pages.get(site, 0) < least or not x.strip(ws) or seen.get((site, x.strip(ws)), 0) <= ratio * pages[site]]
         out.append((i, site, "\n".join(kept), len(all_), len(all_) - len(kept)))
     return out
 
