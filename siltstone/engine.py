@@ -104,7 +104,11 @@ class Engine:
         """
         vid = self.ensure_version(library, version)
         old = self.store.read("pages")
-        came = pages.select("url", "title", "content", F.col("depth").cast("int").alias("depth")).dropDuplicates(["url"])
+        came = pages.select("url", "title", "content", F.col("depth").cast("int").alias("depth"))
+        if pages_failed := came.filter(F.col("content").isNull()).count():
+            self.manager.bus.emit("JOB_PROGRESS", {"library": library.lower(), "version": version, "pages_failed": pages_failed})
+        # Of several contents of one URL the shallowest counts, then the first in order.
+        came = came.filter(F.col("content").isNotNull()).groupBy("url").agg(F.min(F.struct("depth", "content", "title")).alias("p")).select("url", "p.title", "p.content", "p.depth")
         known = old.filter(F.col("version_id") == vid).select("id", "url")
         fresh = catalog.assign_ids(came.join(known, "url", "left_anti").select("url"), old, "id", ["url"]).select("id", "url")
         ids = known.join(came.select("url"), "url", "left_semi").select("id", "url").unionByName(fresh)

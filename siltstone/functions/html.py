@@ -14,10 +14,11 @@ from pyspark.sql import functions as F
 from .urls import SKIP
 
 LINKS = "array<struct<url:string,text:string,is_internal:boolean>>"
-PAGE = "struct<title:string,content:string,excerpt:string,author:string,published_time:string>"
+PAGE = "struct<title:string,content:string,excerpt:string,author:string,published_time:string,error:string>"
 #: Where main text is looked for, in this order, and what never belongs to it.
 MAIN = ("main", "article", "[role=main]", ".content", ".documentation", ".docs", "#content", "#main")
 NOISE = {"script", "style", "noscript", "template", "nav", "header", "footer", "aside", "form", "svg", "iframe", "button"}
+DEPTH = 512
 VOID = set("area base br col embed hr img input link meta source track wbr".split())
 CLOSES = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 BLOCK = set("p div section article main ul ol li table tr pre blockquote h1 h2 h3 h4 h5 h6 dl dt dd figure hr br body html".split())
@@ -63,19 +64,27 @@ class _Tree(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.root = Node("#root")
         self.open = [self.root]
+        self.beyond: dict[str, int] = {}  # open elements deeper than DEPTH
 
     def handle_starttag(self, tag, attrs):
         while len(self.open) > 1 and self.open[-1].tag in CLOSES.get(tag, ()):
             self.open.pop()
         node = Node(tag, {k: v or "" for k, v in attrs})
         self.open[-1].kids.append(node)
-        if tag not in VOID:
+        if tag in VOID:
+            return
+        if len(self.open) < DEPTH:
             self.open.append(node)
+        else:  # what it holds becomes its sibling, as in browsers
+            self.beyond[tag] = self.beyond.get(tag, 0) + 1
 
     def handle_startendtag(self, tag, attrs):
         self.open[-1].kids.append(Node(tag, {k: v or "" for k, v in attrs}))
 
     def handle_endtag(self, tag):
+        if self.beyond.get(tag):
+            self.beyond[tag] -= 1
+            return
         for i in range(len(self.open) - 1, 0, -1):
             if self.open[i].tag == tag:
                 del self.open[i:]
@@ -87,7 +96,7 @@ class _Tree(HTMLParser):
 
 def parse(html: str | None) -> Node:
     tree = _Tree()
-    tree.feed(html or "")
+    tree.feed((html or "").replace("\0", ""))
     tree.close()
     return tree.root
 
@@ -154,49 +163,62 @@ def to_markdown(node: Node) -> str:
     """Markdown of a tree, without navigation, headers, footers, scripts and styles."""
 
     code: list[str] = []  # keeps its white space
+    flatten = lambda parts: re.sub(r"\s+", " ", "".join(parts))
 
-    def inline(kids) -> str:
-        return re.sub(r"\s+", " ", "".join(render(k, True) for k in kids))
-
-    def render(x: Node | str, flat: bool = False) -> str:
+    def render(x: Node | str, flat: bool = False):
+        """Gives each part it needs rendered, with its ``flat``, takes its text, and returns its own."""
         if isinstance(x, str):
             return re.sub(r"\s+", " ", x)
         t = x.tag
         if t in NOISE or t in ("title", "head"):
             return ""
-        if re.fullmatch("h[1-6]", t):
-            return f"\n\n{'#' * int(t[1])} {inline(x.kids).strip()}\n\n"
         if t == "pre":
             code.append(x.text().strip("\n"))
             return f"\n\n```\n\0{len(code) - 1}\0\n```\n\n"
         if t == "code":
             return f"`{x.text()}`"
-        if t in ("b", "strong", "em", "i"):
-            inner = "".join(render(k, flat) for k in x.kids)
-            mark = "**" if t in ("b", "strong") else "*"
-            if "\n\n" in inner or not inner.strip():
-                return inner
-            return f"{mark}{inner.strip()}{mark}"
-        if t == "a":
-            text = inline(x.kids).strip()
-            return f"[{text}]({x.attrs['href']})" if text and x.attrs.get("href") else text
         if t == "br":
             return "\n"
         if t == "hr":
             return "\n\n---\n\n"
         if t in ("ul", "ol"):
-            items = [k for k in x.kids if isinstance(k, Node) and k.tag == "li"]
-            rows = [f"{f'{i}.' if t == 'ol' else '-'} {''.join(render(k) for k in li.kids).strip()}" for i, li in enumerate(items, 1)]
+            rows = []
+            for i, li in enumerate((k for k in x.kids if isinstance(k, Node) and k.tag == "li"), 1):
+                parts = []
+                for k in li.kids:
+                    parts.append((yield k, False))
+                rows.append(f"{f'{i}.' if t == 'ol' else '-'} {''.join(parts).strip()}")
             return "\n\n" + "\n".join(rows) + "\n\n"
+        heading = re.fullmatch("h[1-6]", t)
+        mark = {"b": "**", "strong": "**", "em": "*", "i": "*"}.get(t)
+        parts = []
+        for k in x.kids:
+            parts.append((yield k, True if heading or t in ("a", "td", "th") else flat if mark else False))
+        inner = "".join(parts)
+        if heading:
+            return f"\n\n{'#' * int(t[1])} {flatten(parts).strip()}\n\n"
+        if mark:
+            return inner if "\n\n" in inner or not inner.strip() else f"{mark}{inner.strip()}{mark}"
+        if t == "a":
+            text = flatten(parts).strip()
+            return f"[{text}]({x.attrs['href']})" if text and x.attrs.get("href") else text
         if t == "blockquote":
-            body = "".join(render(k) for k in x.kids).strip()
-            return "\n\n" + "\n".join(f"> {y}" for y in body.split("\n")) + "\n\n"
+            return "\n\n" + "\n".join(f"> {y}" for y in inner.strip().split("\n")) + "\n\n"
         if t in ("td", "th"):
-            return inline(x.kids).strip() + " | "
-        inner = "".join(render(k) for k in x.kids)
+            return flatten(parts).strip() + " | "
         return f"\n\n{inner}\n\n" if t in BLOCK and not flat else inner
 
-    text = render(node)
+    # A stack of what waits for a part, so that no page is too deep for the interpreter's.
+    stack, text = [render(node)], None
+    while stack:
+        try:
+            wanted = stack[-1].send(text)
+        except StopIteration as done:
+            stack.pop()
+            text = done.value
+        else:
+            stack.append(render(*wanted))
+            text = None
     text = re.sub(r"[ \t]+\n", "\n", re.sub(r"\n[ \t]+", "\n", text))
     text = re.sub(r"\n{3,}", "\n\n", text).strip()
     return re.sub("\0(\\d+)\0", lambda m: code[int(m[1])], text)
@@ -220,26 +242,45 @@ def convert(html: str | None) -> dict:
     }
 
 
+def attempted(f, *args):
+    """(result, error): a page that cannot be read fails alone, not its whole batch."""
+    try:
+        return f(*args), None
+    except Exception as error:
+        return None, f"{type(error).__name__}: {error}"
+
+
 def links_column(html: Column, base: Column) -> Column:
     @F.pandas_udf(LINKS)
     def found(pages: pd.Series, urls: pd.Series) -> pd.Series:
-        return pd.Series([links(h, u or "") for h, u in zip(pages, urls, strict=True)], dtype=object)
+        return pd.Series([attempted(links, h, u or "")[0] or [] for h, u in zip(pages, urls, strict=True)], dtype=object)
 
     return found(html, base)
 
 
 def markdown_column(html: Column) -> Column:
+    """What ``convert`` gives, and ``error``: null, or why there is nothing else."""
+
     @F.pandas_udf(PAGE)
     def page(pages: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([convert(h) for h in pages], columns=["title", "content", "excerpt", "author", "published_time"])
+        found = [attempted(convert, h) for h in pages]
+        return pd.DataFrame([(x or {}) | {"error": e} for x, e in found], columns=["title", "content", "excerpt", "author", "published_time", "error"])
 
     return page(html)
 
 
+def title_column(html: Column) -> Column:
+    @F.pandas_udf("string")
+    def text(pages: pd.Series) -> pd.Series:
+        return pd.Series([attempted(title, h)[0] for h in pages], dtype=object)
+
+    return text(html)
+
+
 def main_text_column(html: Column) -> Column:
     @F.pandas_udf("string")
     def text(pages: pd.Series) -> pd.Series:
-        return pages.map(main_text)
+        return pd.Series([attempted(main_text, h)[0] for h in pages], dtype=object)
 
     return text(html)
 

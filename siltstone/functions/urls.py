@@ -2,9 +2,8 @@
 
 from __future__ import annotations
 
-import re
-
-from pyspark.sql import Column
+from pyspark.errors import IllegalArgumentException
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 #: Beginnings of references that lead to no page.
@@ -30,12 +29,16 @@ def resolve_rooted(base: Column, href: Column) -> Column:
 
 
 def valid_patterns(patterns: list[str]) -> list[str]:
-    """Patterns that compile; others are dropped."""
+    """Patterns that compile; others are dropped. The JVM decides, which will run them."""
+    spark = SparkSession.getActiveSession()
+    if spark is None:
+        raise RuntimeError("patterns are checked by the JVM of an active session")
+    compile_ = spark.sparkContext._jvm.java.util.regex.Pattern.compile
     out = []
     for p in patterns:
         try:
-            re.compile(p)
-        except re.error:
+            compile_(p)
+        except IllegalArgumentException:
             continue
         out.append(p)
     return out

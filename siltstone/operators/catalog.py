@@ -99,6 +99,11 @@ def delete_cascade(tables: Sequence[tuple[str, DataFrame, str, str | None]], roo
     return out
 
 
+def delete_children(table: DataFrame, ref: str, parent) -> DataFrame:
+    """``table`` without the rows that refer to ``parent``; rows that refer to none stay."""
+    return table.filter(~F.col(ref).eqNullSafe(F.lit(parent)))
+
+
 def duplicates(table: DataFrame, *keys: str) -> DataFrame:
     return table.groupBy(*keys).count().filter("count > 1")
 

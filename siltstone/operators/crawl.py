@@ -30,10 +30,10 @@ class CrawlOptions:
 
 
 def process(pages: DataFrame) -> DataFrame:
-    """Pages (url, html, …) with Markdown, title and links."""
+    """Pages (url, html, …) with Markdown, title and links. A page that cannot be read has ``error`` and no content."""
     page = html.markdown_column(F.col("html"))
     return pages.withColumn("page", page).select(
-        "*", F.col("page.title").alias("title"), F.col("page.content").alias("content"), html.links_column(F.col("html"), F.col("url")).alias("links")
+        "*", F.col("page.title").alias("title"), F.col("page.content").alias("content"), F.col("page.error").alias("error"), html.links_column(F.col("html"), F.col("url")).alias("links")
     ).drop("page")
 
 

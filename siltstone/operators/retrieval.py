@@ -33,16 +33,13 @@ def query_terms(query: str) -> list[str]:
 
 
 def knn(embeddings: DataFrame, query: Sequence[float], k: int, id_col: str = "vec_id", vector_col: str = "embedding", metric: str = "l2") -> DataFrame:
-    """(doc_id, distance), the k nearest. The query is a constant, so nothing but the top-k is exchanged.
+    """(doc_id, distance), the k nearest, ties by id. The query is a constant, so nothing but the top-k is exchanged.
 
     Filter ``embeddings`` by library before, so that a small library gets k hits.
     """
     q = vectors.literal(list(query))
     v = F.col(vector_col)
-    if metric == "l2":
-        d = F.round(vectors.l2_distance(v, q), 6)
-    else:
-        d = F.round(1 - vectors.cosine(v, q), 6)
+    d = vectors.l2_distance(v, q) if metric == "l2" else 1 - vectors.cosine(v, q)
     return (
         embeddings.select(F.col(id_col).cast("long").alias("doc_id"), d.alias("distance"))
         .filter(F.col("distance").isNotNull())
@@ -96,7 +93,7 @@ def bm25(docs: DataFrame, terms: Sequence[str], id_col: str = "doc_id", text_col
         raw = F.log((F.col("s")["n"] - df + 0.5) / (df + 0.5))
         idf = F.when(raw <= 0, F.lit(LEAST_IDF)).otherwise(raw)
         score = score + idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("dl") / F.col("s")["avgdl"]))
-    return scored.select("doc_id", *also, F.round(score, 9).alias("score"))
+    return scored.select("doc_id", *also, score.alias("score"))
 
 
 def ranked(hits: DataFrame, order: Sequence[Column | str], k: int) -> DataFrame:
@@ -111,7 +108,7 @@ def fuse(legs: Sequence[tuple[DataFrame, float]], k: int = 60, limit: int | None
     for leg, weight in legs:
         part = leg.select("doc_id", (F.lit(float(weight)) / (F.lit(float(k)) + F.col("rank"))).alias("part"))
         union = part if union is None else union.unionByName(part)
-    out = union.groupBy("doc_id").agg(F.round(F.sum("part"), 9).alias("score"))
+    out = union.groupBy("doc_id").agg(F.sum("part").alias("score"))
     return out if limit is None else out.orderBy(F.desc("score"), "doc_id").limit(limit)
 
 
@@ -125,11 +122,18 @@ def full_text(docs: DataFrame, query: str, k: int, where: Column | None = None,
 
 
 def hybrid(docs: DataFrame, embeddings: DataFrame, query: str, query_vector: Sequence[float] | None, options: SearchOptions = SearchOptions(), where: Column | None = None, also: Sequence[str] = ()) -> DataFrame:
-    """(doc_id, score): both legs fused; the text leg alone if there is no query vector."""
+    """(doc_id, score): both legs fused; the text leg alone if there is no query vector.
+
+    ``where``, over ``also`` columns of ``docs``, holds for both legs: vectors
+    are sought among those of the documents it keeps, before the top-k.
+    """
     k = options.limit * options.overfetch
     words = full_text(docs, query, k, where, also=also)
     if query_vector is None:
         return words.select("doc_id", "score").orderBy(F.desc("score"), "doc_id").limit(options.limit)
+    if where is not None:
+        mine = docs.filter(where).select(F.col("doc_id").alias("vec_id"))
+        embeddings = embeddings.join(mine, "vec_id", "left_semi")
     near = ranked(knn(embeddings, query_vector, k), ("distance", "doc_id"), k)
     return fuse([(near, options.vector_weight), (words, options.text_weight)], options.k, options.limit)
 

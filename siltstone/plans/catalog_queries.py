@@ -33,8 +33,8 @@ def page_by_url(spark: SparkSession, sf: str) -> DataFrame:
 
 def exists_ci(spark: SparkSession, sf: str) -> DataFrame:
     n = load(spark, sf, "nation")
-    found = catalog.by_name(n, "n_name", "Nation_3").agg((F.count("*") > 0).alias("found"))
-    return found.select("found", F.lit(False).alias("missing"))
+    row = (catalog.exists(n, "n_name", "Nation_3"), catalog.exists(n, "n_name", "Nowhere"))
+    return spark.createDataFrame([row], "found boolean, missing boolean")
 
 
 def children_ordered(spark: SparkSession, sf: str) -> DataFrame:
@@ -90,7 +90,7 @@ def cascade_delete(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def delete_by_parent(spark: SparkSession, sf: str) -> DataFrame:
-    return load(spark, sf, "documents").filter("source != 'src4'").select("doc_id", "source")
+    return catalog.delete_children(load(spark, sf, "documents").select("doc_id", "source"), "source", "src4")
 
 
 def upsert_pages(spark: SparkSession, sf: str) -> DataFrame:
@@ -146,8 +146,9 @@ def sentinel_version(spark: SparkSession, sf: str) -> DataFrame:
 def update_status(spark: SparkSession, sf: str) -> DataFrame:
     e = load(spark, sf, "events")
     status = F.when(F.col("event_type") == "error", "failed").when(F.col("event_type") == "purchase", "completed").otherwise("running")
-    last = e.groupBy("user_id").agg(F.max_by(status, F.struct("ts", "event_id")).alias("status"))
-    return last.select("user_id", F.when(F.col("user_id") == 7, "cancelled").otherwise(F.col("status")).alias("status"))
+    last = e.groupBy(F.col("user_id").alias("id")).agg(F.max_by(status, F.struct("ts", "event_id")).alias("status"), F.max("ts").cast("timestamp").alias("updated_at"))
+    changed = catalog.set_status(last.withColumn("error_message", F.lit(None).cast("string")), 7, "cancelled", "stopped")
+    return changed.select(F.col("id").alias("user_id"), "status", "error_message")
 
 
 def scan_pages(spark: SparkSession, sf: str) -> DataFrame:
@@ -191,7 +192,8 @@ SQL = {
     "migrations_pending": "WITH a(v) AS (VALUES (1), (2)), k(v) AS (VALUES (1), (2), (3), (4)) SELECT v::BIGINT AS version, (SELECT coalesce(max(v), 0) FROM a)::BIGINT AS after FROM k WHERE v > (SELECT coalesce(max(v), 0) FROM a)",
     "status_map": "SELECT * FROM (VALUES ('queued', 'queued'), ('running', 'running'), ('cancelling', 'running'), ('completed', 'completed'), ('failed', 'failed'), ('cancelled', 'cancelled'), ('unknown', 'not_indexed')) t(job, version)",
     "sentinel_version": "SELECT doc_id, CASE WHEN lang = 'en' THEN '' ELSE lang END AS version FROM documents",
-    "update_status": """SELECT user_id, CASE WHEN user_id = 7 THEN 'cancelled' ELSE arg_max(CASE event_type WHEN 'error' THEN 'failed' WHEN 'purchase' THEN 'completed' ELSE 'running' END, struct_pack(ts := ts, id := event_id)) END AS status
+    "update_status": """SELECT user_id, CASE WHEN user_id = 7 THEN 'cancelled' ELSE arg_max(CASE event_type WHEN 'error' THEN 'failed' WHEN 'purchase' THEN 'completed' ELSE 'running' END, struct_pack(ts := ts, id := event_id)) END AS status,
+        CASE WHEN user_id = 7 THEN 'stopped' END AS error_message
       FROM events GROUP BY user_id""",
     "scan_pages": "SELECT page_id, url, 'text/html' AS content_type FROM pages",
 }

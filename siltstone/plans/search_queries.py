@@ -27,7 +27,13 @@ def query_vector(spark: SparkSession, sf: str, vec_id: int = 7) -> list[float]:
 
 
 def _knn(spark: SparkSession, sf: str, metric: str) -> DataFrame:
-    return retrieval.knn(load(spark, sf, "embeddings"), query_vector(spark, sf), 30, metric=metric)
+    return _shown(retrieval.knn(load(spark, sf, "embeddings"), query_vector(spark, sf), 30, metric=metric))
+
+
+def _shown(hits: DataFrame) -> DataFrame:
+    """Hits are ordered by exact values; only what is shown is rounded."""
+    places = {"distance": 6, "score": 9}
+    return hits.select(*[F.round(c, places[c]).alias(c) if c in places else c for c in hits.columns])
 
 
 def knn_l2(spark: SparkSession, sf: str) -> DataFrame:
@@ -39,11 +45,11 @@ def knn_cosine(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def bm25_search(spark: SparkSession, sf: str) -> DataFrame:
-    return retrieval.full_text(_texts(spark, sf, "documents"), QUERY, 3 * LIMIT)
+    return _shown(retrieval.full_text(_texts(spark, sf, "documents"), QUERY, 3 * LIMIT))
 
 
 def fts_only_search(spark: SparkSession, sf: str) -> DataFrame:
-    return retrieval.full_text(_texts(spark, sf, "documents"), QUERY, LIMIT, F.col("source") == "src1", also=("source",))
+    return _shown(retrieval.full_text(_texts(spark, sf, "documents"), QUERY, LIMIT, F.col("source") == "src1", also=("source",)))
 
 
 def fts_store_search(spark: SparkSession, sf: str) -> DataFrame:
@@ -53,7 +59,7 @@ def fts_store_search(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def search_all_versions(spark: SparkSession, sf: str) -> DataFrame:
-    return retrieval.full_text(_texts(spark, sf, "documents"), QUERY, LIMIT, F.col("source") == "src3", also=("source",))
+    return _shown(retrieval.full_text(_texts(spark, sf, "documents"), QUERY, LIMIT, F.col("source") == "src3", also=("source",)))
 
 
 def rrf_fusion(spark: SparkSession, sf: str) -> DataFrame:
@@ -61,11 +67,17 @@ def rrf_fusion(spark: SparkSession, sf: str) -> DataFrame:
     legs = [
         retrieval.ranked(retrieval.knn(e, query_vector(spark, sf, i), 30), ("distance", "doc_id"), 30) for i in (7, 11)
     ]
-    return retrieval.fuse([(legs[0], 0.5), (legs[1], 0.5)], 60, LIMIT)
+    return _shown(retrieval.fuse([(legs[0], 0.5), (legs[1], 0.5)], 60, LIMIT))
 
 
 def hybrid_search(spark: SparkSession, sf: str) -> DataFrame:
-    return retrieval.hybrid(_texts(spark, sf, "documents"), load(spark, sf, "embeddings"), QUERY, query_vector(spark, sf))
+    return _shown(retrieval.hybrid(_texts(spark, sf, "documents"), load(spark, sf, "embeddings"), QUERY, query_vector(spark, sf)))
+
+
+def hybrid_scoped(spark: SparkSession, sf: str) -> DataFrame:
+    """Both legs within one source."""
+    docs, e = _texts(spark, sf, "documents"), load(spark, sf, "embeddings")
+    return _shown(retrieval.hybrid(docs, e, QUERY, query_vector(spark, sf), where=F.col("source") == "src1", also=("source",)))
 
 
 def hydrate_chain(spark: SparkSession, sf: str) -> DataFrame:
@@ -74,7 +86,6 @@ def hydrate_chain(spark: SparkSession, sf: str) -> DataFrame:
         orders.join(customer, orders["o_custkey"] == customer["c_custkey"])
         .join(nation, F.col("c_nationkey") == F.col("n_nationkey"))
         .join(region, F.col("n_regionkey") == F.col("r_regionkey"))
-        .filter(F.col("o_orderkey") <= 500)
         .select("o_orderkey", "c_name", "n_name", "r_name", "o_totalprice")
     )
 
@@ -98,7 +109,7 @@ def search_latest_version(spark: SparkSession, sf: str) -> DataFrame:
     docs = _texts(spark, sf, "documents")
     newest = catalog.latest(docs.select("source", "lang", "doc_id"), "source", "doc_id", "lang").select("source", "lang")
     hits = retrieval.bm25(docs, TERMS, also=("source", "lang"))
-    return retrieval.ranked(hits.join(newest, ["source", "lang"], "left_semi").select("doc_id", "score"), (F.desc("score"), "doc_id"), LIMIT)
+    return _shown(retrieval.ranked(hits.join(newest, ["source", "lang"], "left_semi").select("doc_id", "score"), (F.desc("score"), "doc_id"), LIMIT))
 
 
 def fts_query_clean(spark: SparkSession, sf: str) -> DataFrame:
@@ -131,12 +142,11 @@ def blob_len_filter(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def zip_positional(spark: SparkSession, sf: str) -> DataFrame:
-    """Chunks and vectors of one parent paired by position, as far as both reach."""
-    d = _texts(spark, sf, "documents").groupBy("source").agg(F.sort_array(F.collect_list("doc_id")).alias("chunks"))
-    e = load(spark, sf, "embeddings").groupBy(F.concat(F.lit("src"), F.pmod("label", F.lit(20))).alias("source")).agg(F.sort_array(F.collect_list("vec_id")).alias("vectors"))
-    both = d.join(e, "source").withColumn("n", F.least(F.size("chunks"), F.size("vectors")))
-    pairs = F.arrays_zip(F.slice("chunks", F.lit(1), F.col("n")).alias("doc_id"), F.slice("vectors", F.lit(1), F.col("n")).alias("vec_id"))
-    return both.select("source", F.posexplode(pairs).alias("pos", "pair")).select("source", F.col("pos").cast("long").alias("pos"), "pair.doc_id", "pair.vec_id")
+    """Chunks and vectors of one parent paired by position, as far as both reach: places in a sort, no list of a parent."""
+    place = lambda key: (F.row_number().over(Window.partitionBy("source").orderBy(key)) - 1).cast("long").alias("pos")
+    d = load(spark, sf, "documents").select("source", "doc_id", place("doc_id"))
+    e = load(spark, sf, "embeddings").select(F.concat(F.lit("src"), F.pmod("label", F.lit(20))).alias("source"), "vec_id")
+    return d.join(e.select("source", "vec_id", place("vec_id")), ["source", "pos"]).select("source", "pos", "doc_id", "vec_id")
 
 
 def _names() -> dict:
@@ -156,13 +166,14 @@ hits AS (
   SELECT doc_id, round(sum(times * idf * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))), 9) AS score
   FROM tf JOIN idf USING (term), s GROUP BY doc_id HAVING sum(tf) > 0)"""
 
-_DIST = "round(list_distance(embedding::DOUBLE[], (SELECT embedding FROM embeddings WHERE vec_id = {i})::DOUBLE[]), 6)"
+_DIST = "list_distance(embedding::DOUBLE[], (SELECT embedding FROM embeddings WHERE vec_id = {i})::DOUBLE[])"
+_COSINE = "1 - list_cosine_similarity(embedding::DOUBLE[], (SELECT embedding FROM embeddings WHERE vec_id = 7)::DOUBLE[])"
 _NEAR = "SELECT vec_id AS doc_id, row_number() OVER (ORDER BY {d}, vec_id) AS rank FROM embeddings QUALIFY rank <= 30"
 _TOP = "SELECT doc_id, score, row_number() OVER (ORDER BY score DESC, doc_id)::BIGINT AS rank FROM hits JOIN t USING (doc_id) WHERE {w} QUALIFY rank <= {k}"
 
 SQL = {
-    "knn_l2": f"SELECT vec_id AS doc_id, {_DIST.format(i=7)} AS distance FROM embeddings ORDER BY distance, doc_id LIMIT 30",
-    "knn_cosine": "SELECT vec_id AS doc_id, round(1 - list_cosine_similarity(embedding::DOUBLE[], (SELECT embedding FROM embeddings WHERE vec_id = 7)::DOUBLE[]), 6) AS distance FROM embeddings ORDER BY distance, doc_id LIMIT 30",
+    "knn_l2": f"SELECT vec_id AS doc_id, round({_DIST.format(i=7)}, 6) AS distance FROM embeddings ORDER BY {_DIST.format(i=7)}, doc_id LIMIT 30",
+    "knn_cosine": f"SELECT vec_id AS doc_id, round({_COSINE}, 6) AS distance FROM embeddings ORDER BY {_COSINE}, doc_id LIMIT 30",
     "bm25_search": f"WITH {_BM25} {_TOP.format(w='true', k=30)}",
     "fts_only_search": f"WITH {_BM25} " + _TOP.format(w="source = 'src1'", k=10),
     "fts_store_search": f"WITH {_BM25}, r AS (" + _TOP.format(w="source = 'src1' AND lang = 'en'", k=10) + ") SELECT doc_id, source, lang FROM r JOIN t USING (doc_id)",
@@ -173,8 +184,12 @@ SQL = {
     "hybrid_search": f"""WITH {_BM25}, a AS ({_NEAR.format(d=_DIST.format(i=7))}), b AS ({_TOP.format(w='true', k=30)})
       SELECT doc_id, round(sum(0.5::DOUBLE / (60 + rank)), 9) AS score FROM (SELECT doc_id, rank FROM a UNION ALL SELECT doc_id, rank FROM b) GROUP BY doc_id
       ORDER BY score DESC, doc_id LIMIT 10""",
+    "hybrid_scoped": f"""WITH {_BM25}, a AS ({_NEAR.format(d=_DIST.format(i=7)).replace("FROM embeddings QUALIFY", "FROM embeddings WHERE vec_id IN (SELECT doc_id FROM documents WHERE source = 'src1') QUALIFY")}),
+      b AS ({_TOP.format(w="source = 'src1'", k=30)})
+      SELECT doc_id, round(sum(0.5::DOUBLE / (60 + rank)), 9) AS score FROM (SELECT doc_id, rank FROM a UNION ALL SELECT doc_id, rank FROM b) GROUP BY doc_id
+      ORDER BY score DESC, doc_id LIMIT 10""",
     "hydrate_chain": """SELECT o_orderkey, c_name, n_name, r_name, o_totalprice FROM orders JOIN customer ON o_custkey = c_custkey
-      JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey WHERE o_orderkey <= 500""",
+      JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey""",
     "search_hydrated": """WITH h AS (SELECT o_orderkey, o_custkey, row_number() OVER (ORDER BY o_totalprice DESC, o_orderkey)::BIGINT AS rank FROM orders QUALIFY rank <= 10)
       SELECT rank, o_orderkey, c_name, n_name, r_name FROM h JOIN customer ON o_custkey = c_custkey
       JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey""",
@@ -189,7 +204,10 @@ SQL = {
     "vector_pad": """SELECT vec_id, len(v)::BIGINT AS dim, round(list_sum(v), 4) AS total, v[96] AS last
       FROM (SELECT vec_id, list_resize(embedding::DOUBLE[], 96, 0.0::DOUBLE) AS v FROM embeddings)""",
     "blob_len_filter": "SELECT vec_id FROM embeddings WHERE embedding IS NOT NULL AND len(embedding) * 4 = 256 ORDER BY vec_id LIMIT 100",
-    "f16_roundtrip": "SELECT vec_id, (2 * len(embedding))::BIGINT AS bytes, true AS close FROM embeddings",
+    # Half precision keeps eleven bits of a number: the nearest multiple of 2^(exponent - 10).
+    "f16_roundtrip": """WITH x AS (SELECT vec_id, unnest(embedding)::DOUBLE AS x FROM embeddings),
+      s AS (SELECT vec_id, x, CASE WHEN x = 0 THEN 1.0::DOUBLE ELSE pow(2.0::DOUBLE, greatest(floor(log2(abs(x))), -14) - 10) END AS step FROM x)
+      SELECT vec_id, (2 * count(*))::BIGINT AS bytes, max(abs(x - round(x / step) * step)) < 1e-3 AS close FROM s GROUP BY vec_id""",
     "zip_positional": """WITH d AS (SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1 AS pos FROM documents),
       e AS (SELECT 'src' || (label % 20) AS source, vec_id, row_number() OVER (PARTITION BY label % 20 ORDER BY vec_id) - 1 AS pos FROM embeddings)
       SELECT source, pos::BIGINT AS pos, doc_id, vec_id FROM d JOIN e USING (source, pos)""",

@@ -47,7 +47,7 @@ def batch_tokens(spark: SparkSession, sf: str) -> DataFrame:
 
 def text_lengths(spark: SparkSession, sf: str) -> DataFrame:
     t = F.col("text")
-    return _texts(spark, sf, "documents").select("doc_id", text.char_length(t).alias("chars"), text.byte_length(t).alias("bytes"), text.char_length(text.trim_all(t)).alias("trimmed"), F.lower(F.substring(t, 1, 20)).alias("start"))
+    return _texts(spark, sf, "documents").select("doc_id", text.char_length(t).alias("chars"), text.byte_length(t).alias("bytes"), text.char_length(text.trim_all(t)).alias("trimmed"), F.md5(F.lower(t)).alias("lower"))
 
 
 def preview(spark: SparkSession, sf: str) -> DataFrame:
@@ -88,15 +88,7 @@ def json_path(spark: SparkSession, sf: str) -> DataFrame:
 
 def parse_model_spec(spark: SparkSession, sf: str) -> DataFrame:
     specs = ["OpenAI:text-embedding-3-large", "google", "openai", "text-embedding-004", "google:embedding-001"]
-    rows = spark.createDataFrame([(s,) for s in specs], "spec string")
-    prefix, model = F.lower(F.split_part("spec", F.lit(":"), F.lit(1))), F.split_part("spec", F.lit(":"), F.lit(2))
-    default = F.when(prefix == "google", "text-embedding-004").otherwise("text-embedding-3-small")
-    known = prefix.isin("openai", "google")
-    return rows.select(
-        "spec",
-        F.when(F.col("spec").contains(":") | known, prefix).otherwise("openai").alias("provider"),
-        F.when(F.col("spec").contains(":"), model).when(known, default).otherwise(F.col("spec")).alias("model"),
-    )
+    return spark.createDataFrame([(s, *embedding.parse_model(s)) for s in specs], "spec string, provider string, model string")
 
 
 def url_resolve_rooted(spark: SparkSession, sf: str) -> DataFrame:
@@ -110,7 +102,8 @@ def extract_links(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def links_dedup(spark: SparkSession, sf: str) -> DataFrame:
-    return _texts(spark, sf, "pages").select("page_id", F.posexplode(F.array_distinct(html.hrefs_expr(F.col("html")))).alias("pos", "href")).select("page_id", F.col("pos").cast("long").alias("pos"), "href")
+    found = html.links_column(F.col("html"), F.lit(""))  # without a base, references stay as they are
+    return _texts(spark, sf, "pages").select("page_id", F.posexplode(found).alias("pos", "link")).select("page_id", F.col("pos").cast("long").alias("pos"), F.col("link.url").alias("href"))
 
 
 def links_skip(spark: SparkSession, sf: str) -> DataFrame:
@@ -137,12 +130,12 @@ def crawl_frontier(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def extract_title(spark: SparkSession, sf: str) -> DataFrame:
-    return _texts(spark, sf, "pages").select("page_id", html.title_expr(F.col("html")).alias("title"))
+    return _texts(spark, sf, "pages").select("page_id", html.title_column(F.col("html")).alias("title"))
 
 
 def extract_description(spark: SparkSession, sf: str) -> DataFrame:
-    made = F.concat(F.lit('<meta name="description" content="'), html.title_expr(F.col("html")), F.lit('">'), F.col("html"))
-    return _texts(spark, sf, "pages").select("page_id", html.description_expr(made).alias("description"))
+    """What pages say of themselves; a page without such a tag gives an empty text."""
+    return _texts(spark, sf, "pages").select("page_id", html.description_expr(F.col("html")).alias("description"))
 
 
 def html_to_markdown(spark: SparkSession, sf: str) -> DataFrame:
@@ -211,6 +204,7 @@ QUERIES = {k: f for k, f in list(globals().items()) if callable(f) and getattr(f
 _CJK = r"[\x{4e00}-\x{9fff}\x{3040}-\x{309f}\x{30a0}-\x{30ff}\x{ac00}-\x{d7af}]"
 _EST = f"(greatest(1, (length(text) - length(regexp_replace(text, '{_CJK}', '', 'g'))) + greatest(1, length(regexp_replace(text, '{_CJK}', '', 'g')) // 4)) + 5)::BIGINT"
 _HREFS = """regexp_extract_all(html, '<a href="([^"]*)"', 1)"""
+_HOST = "lower(regexp_extract({}, '://([^/?#:]*)', 1))"
 _ORIGIN = "regexp_extract(url, '^[a-z]+://[^/?#]+')"
 _TARGET = f"CASE WHEN regexp_matches(href, '^https?://') THEN href WHEN starts_with(href, '/') THEN {_ORIGIN} || href ELSE href END"
 _TITLE = r"regexp_replace(regexp_extract(html, '(?is)<title>(.*?)</title>', 1), '^\s+|\s+$', '', 'g')"
@@ -221,7 +215,7 @@ _LINES = f"l AS (SELECT unnest(range(len({_MD}))) AS n, unnest({_MD}) AS line),
 SQL = {
     "estimate_tokens": f"SELECT doc_id, {_EST} AS tokens FROM documents",
     "batch_tokens": f"SELECT source, sum({_EST})::BIGINT AS tokens FROM documents GROUP BY source",
-    "text_lengths": r"SELECT doc_id, length(text)::BIGINT AS chars, strlen(text)::BIGINT AS bytes, length(regexp_replace(text, '^\s+|\s+$', '', 'g'))::BIGINT AS trimmed, lower(substr(text, 1, 20)) AS start FROM documents",
+    "text_lengths": r"SELECT doc_id, length(text)::BIGINT AS chars, strlen(text)::BIGINT AS bytes, length(regexp_replace(text, '^\s+|\s+$', '', 'g'))::BIGINT AS trimmed, md5(lower(text)) AS lower FROM documents",
     "preview": """SELECT doc_id, CASE WHEN length(text) > 200 THEN substr(text, 1, 200) || '...' ELSE text END AS p200,
       replace(replace(replace(CASE WHEN length(text) > 300 THEN substr(text, 1, 300) || '...' ELSE text END, '&', '&amp;'), '<', '&lt;'), '>', '&gt;') AS p300 FROM documents""",
     "newline_collapse": r"SELECT doc_id, regexp_replace(regexp_replace(chr(10) || chr(10) || replace(text, chr(10), repeat(chr(10), 5)) || chr(10), '\n{4,}', repeat(chr(10), 3), 'g'), '^\s+|\s+$', '', 'g') AS text FROM documents",
@@ -238,9 +232,9 @@ SQL = {
       ('text-embedding-004', 'openai', 'text-embedding-004'), ('google:embedding-001', 'google', 'embedding-001')) t(spec, provider, model)""",
     "url_resolve_rooted": f"SELECT page_id, pos::BIGINT AS pos, {_TARGET} AS target FROM (SELECT page_id, url, unnest(range(len({_HREFS}))) AS pos, unnest({_HREFS}) AS href FROM pages)",
     "extract_links": f"""WITH l AS (SELECT page_id, url, href, pos FROM (SELECT page_id, url, unnest(range(len({_HREFS}))) AS pos, unnest({_HREFS}) AS href FROM pages)),
-      t AS (SELECT page_id, {_TARGET} AS target, min(pos) AS pos FROM l WHERE NOT {_NOWHERE} GROUP BY page_id, target),
-      g AS (SELECT page_id, count(*) AS n, arg_min(target, pos) AS f FROM t GROUP BY page_id)
-      SELECT page_id, coalesce(n, 0)::BIGINT AS links, coalesce(n, 0)::BIGINT AS internal, f AS first FROM pages LEFT JOIN g USING (page_id)""",
+      t AS (SELECT page_id, url, {_TARGET} AS target, min(pos) AS pos FROM l WHERE NOT {_NOWHERE} GROUP BY page_id, url, target),
+      g AS (SELECT page_id, count(*) AS n, count(*) FILTER ({_HOST.format('target')} = {_HOST.format('url')}) AS own, arg_min(target, pos) AS f FROM t GROUP BY page_id)
+      SELECT page_id, coalesce(n, 0)::BIGINT AS links, coalesce(own, 0)::BIGINT AS internal, f AS first FROM pages LEFT JOIN g USING (page_id)""",
     "links_dedup": f"""WITH l AS (SELECT page_id, href, min(pos) AS p FROM (SELECT page_id, unnest(range(len({_HREFS}))) AS pos, unnest({_HREFS}) AS href FROM pages) GROUP BY page_id, href)
       SELECT page_id, (row_number() OVER (PARTITION BY page_id ORDER BY p) - 1)::BIGINT AS pos, href FROM l""",
     "links_skip": f"""SELECT page_id, count(*) FILTER (NOT {_NOWHERE})::BIGINT AS kept, count(*) FILTER ({_NOWHERE})::BIGINT AS skipped
@@ -249,8 +243,8 @@ SQL = {
     "filter_links": f"""SELECT page_id, len(k)::BIGINT AS n, array_to_string(k, ' ') AS links FROM (SELECT page_id, list_filter({_HREFS}, lambda u: NOT regexp_matches(u, '^/the') AND regexp_matches(u, '(?:^/[a-m])|(?:e$)')) AS k FROM pages)""",
     "crawl_frontier": f"""WITH l AS (SELECT {_TARGET} AS u FROM (SELECT url, unnest({_HREFS}) AS href FROM pages))
       SELECT DISTINCT u AS url FROM l WHERE u NOT IN (SELECT u FROM l WHERE length(u) % 3 = 0) AND u NOT IN (SELECT url FROM pages)""",
-    "extract_title": f"SELECT page_id, {_TITLE} AS title FROM pages",
-    "extract_description": f"""SELECT page_id, regexp_extract('<meta name="description" content="' || {_TITLE} || '">' || html, '(?is)<meta name="description" content="([^"]*)"', 1) AS description FROM pages""",
+    "extract_title": f"""SELECT page_id, replace(replace(replace(replace(replace({_TITLE}, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&amp;', '&') AS title FROM pages""",
+    "extract_description": """SELECT page_id, regexp_extract(html, '(?is)<meta name="description" content="([^"]*)"', 1) AS description FROM pages""",
     "split_fixed_window": """WITH w AS (SELECT doc_id, text, unnest(range(greatest(ceil((length(text) - 200) / 1300.0), 1)::BIGINT)) AS n FROM documents)
       SELECT doc_id, n, length(substr(text, n * 1300 + 1, 1500))::BIGINT AS chars, md5(substr(text, n * 1300 + 1, 1500)) AS md5 FROM w""",
 }

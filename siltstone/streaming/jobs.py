@@ -21,7 +21,7 @@ NEXT = {
 
 
 class Bus:
-    """Publish to all who subscribed before; a subscriber keeps the last ``capacity`` events."""
+    """Publish to all who subscribed before. A subscriber that lags keeps the last ``capacity`` events and is told how many it lost."""
 
     def __init__(self, capacity: int = 256):
         self.capacity, self._all, self._lock = capacity, [], threading.Lock()
@@ -38,6 +38,10 @@ class Bus:
     def emit(self, kind: str, payload: dict) -> None:
         with self._lock:
             for q in self._all:
+                if len(q) == self.capacity:  # the two oldest make room, for the new event and the note
+                    first, _ = q.popleft(), q.popleft()
+                    lost = 1 + (first["payload"]["events"] if first["type"] == "LAGGED" else 1)
+                    q.appendleft({"type": "LAGGED", "payload": {"events": lost}})
                 q.append({"type": kind, "payload": payload})
 
 

@@ -134,7 +134,9 @@ def test_bus_keeps_the_last_events():
     q = bus.subscribe()
     for i in range(3):
         bus.emit("X", {"i": i})
-    assert [e["payload"]["i"] for e in q] == [1, 2]
+    assert list(q) == [{"type": "LAGGED", "payload": {"events": 2}}, {"type": "X", "payload": {"i": 2}}]
+    bus.emit("X", {"i": 3})
+    assert [e["payload"] for e in q] == [{"events": 3}, {"i": 3}]
 
 
 def test_shown():
