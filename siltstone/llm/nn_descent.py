@@ -25,8 +25,8 @@ class Settings:
     when a round adds under ``still`` of the entries near the threshold, or
     after ``rounds``. If the audit of ``audit`` vectors against all finds that
     less than ``recall`` of those with few, or with many, links have all of
-    them, refining goes on from another set of cuts,
-    up to ``retries`` times.
+    them, by two deviations of so many draws, refining goes on from another set
+    of cuts, up to ``retries`` times.
     """
 
     threshold: float = 0.95
@@ -53,6 +53,10 @@ class Settings:
         """Entries from here on link in double precision too."""
         return self.threshold + 0.02
 
+    def enough(self, whole: int, there: int) -> bool:
+        lost = (1 - self.recall) * there
+        return there - whole <= lost + 2 * np.sqrt(lost)
+
     def cuts(self, bits: int) -> int:
         """A cut of ``bits`` signs keeps a pair together if no direction parts it."""
         together = (1 - np.arccos(self.threshold) / np.pi) ** bits
@@ -163,14 +167,15 @@ def cut_at_random(nodes: DataFrame, n: int, s: Settings, turn: int) -> DataFrame
     seed, tables = s.seed + 1000 * turn, s.cuts(bits)
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        planes = None
         for batch in batches:
             if not batch.num_rows:
                 continue
             x = from_bytes(batch.column("q"))
-            rng = np.random.Generator(np.random.PCG64(seed))
+            if planes is None:
+                planes = np.random.Generator(np.random.PCG64(seed)).standard_normal((tables, x.shape[1], bits)).astype(np.float32)
             for t in range(tables):
-                planes = rng.standard_normal((x.shape[1], bits))
-                code = ((x @ planes > 0) @ (1 << np.arange(bits))).astype(np.int64) + (t << 40) if bits else np.full(len(x), t << 40)
+                code = ((x @ planes[t] > 0) @ (1 << np.arange(bits))).astype(np.int64) + (t << 40)
                 yield pa.RecordBatch.from_arrays([pa.array(code), batch.column("u"), batch.column("q")], ["cell", "u", "q"])
 
     cells = nodes.mapInArrow(keyed, "cell long, u long, q binary")
@@ -426,7 +431,7 @@ def near_duplicates(df: DataFrame, id_col: str = "vec_id", vector_col: str = "em
         counts = Written(rest.join(weights, "b").groupBy(F.col("a").alias("u")).agg(F.sum("w").alias("n")).unionByName(blocks), "nn-counts").df
         shares = audit(nodes, counts, s)
         turn += 1
-        if all(got >= s.recall * there for got, there in shares):
+        if all(s.enough(got, there) for got, there in shares):
             break
         if turn > s.retries:
             warnings.warn(f"embedding links: (vectors with all links, vectors) of the audit after {turn} sets of cuts, by number of links: {shares}", stacklevel=2)

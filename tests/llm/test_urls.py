@@ -1,7 +1,10 @@
 """URL rules and host PageRank against plain Python."""
 
+import random
+import re
 from urllib.parse import urlsplit
 
+import numpy as np
 import pytest
 
 from siltstone.llm import urls
@@ -95,5 +98,70 @@ def test_against_brute_force(spark):
     assert verdicts[6] == "allow"
 
 
+def linked_pages(hosts=2_000, pages=5_000, links=20, seed=3):
+    """Pages of many hosts: a tenth of all links lead to one host, a third of the hosts have no pages."""
+    rng = random.Random(seed)
+    name = lambda k: f"h{k}.{rng_tld(k)}"
+    rows = []
+    for i in range(pages):
+        k = int(rng.random() ** 3 * hosts * 2 / 3)  # a few hosts have most pages
+        to = [0 if rng.random() < 0.1 else rng.randrange(hosts) for _ in range(links)]
+        rows.append((i, f"http://{name(k)}/{rng.choice(['en', 'de', 'es', 'fr'])}/{i}", a(*(f"https://{name(t)}/x" for t in to))))
+    return rows
+
+
+def rng_tld(k):
+    return ("com", "net", "org", "info")[k % 4]
+
+
+def test_a_linked_graph_against_power_iteration(spark):
+    rows = linked_pages()
+    host = lambda u: u.split("//")[1].split("/")[0]
+    names = sorted({host(u) for _, u, _ in rows} | {host(x) for _, _, h in rows for x in re.findall('href="([^"]*)"', h)})
+    at = {h: i for i, h in enumerate(names)}
+    flow = np.zeros((len(names), len(names)))
+    seed = {"trust": np.zeros(len(names)), "distrust": np.zeros(len(names))}
+    for _, u, h in rows:
+        path = "/" + u.split("/", 3)[3]
+        ending = host(u).rsplit(".", 1)[1]
+        if (ending, path[:4]) in {("com", "/en/"), ("org", "/es/")}:
+            seed["distrust"][at[host(u)]] += 1
+        if (ending, path[:4]) == ("net", "/de/"):
+            seed["trust"][at[host(u)]] += 1
+        for x in re.findall('href="([^"]*)"', h):
+            if host(x) != host(u):
+                flow[at[host(u)], at[host(x)]] += 1
+    assert (flow > 0).sum() > 50_000
+    want = {}
+    for kind, m in (("trust", flow), ("distrust", flow.T)):
+        out = m.sum(axis=1, keepdims=True)
+        step = np.divide(m, out, out=np.zeros_like(m), where=out > 0)
+        rank = v = seed[kind] / seed[kind].sum()
+        for _ in range(urls.ROUNDS):
+            rank = v + urls.DAMPING * rank @ step
+        want[kind] = rank
+    got = urls.host_scores(make(spark, rows)).collect()
+    assert len(got) == len(names)
+    for r in got:
+        assert (r["trust"], r["distrust"]) == pytest.approx((want["trust"][at[r["host"]]], want["distrust"][at[r["host"]]]), rel=1e-9)
+
+
+def test_ranks_of_unlinked_hosts_do_not_depend_on_links(spark):
+    alone = [(1, "http://a.net/de/1", ""), (2, "http://b.com/en/1", None), (3, "http://b.com/fr/1", "")]
+    more = [*alone, (4, "http://c.info/", a("http://d.info/"))]
+    of = lambda rows: {r["host"]: (r["trust"], r["distrust"]) for r in urls.host_scores(make(spark, rows)).collect()}
+    assert of(alone).items() <= of(more).items()
+
+
+def test_equal_rules_and_long_pages(spark):
+    rules = (("block", "x.com", "/ab"), ("allow", "x.com", "/a"), ("allow", "com", "/abc.."))
+    rows = [(1, "http://x.com/abc..", "<a " * 200_000 + a("http://y.com/") + "z" * 1_000_000), (2, "http://x.com/ab", "<a href=" * 100_000)]
+    got = {r["page_id"]: (r["rule"], r["verdict"]) for r in urls.judge(make(spark, rows), rules=rules).collect()}
+    assert got == {1: ("com/abc..", "allow"), 2: ("x.com/ab", "block")}
+    tied = (("block", "x.com", "/b"), ("allow", "x.com", "/a"), ("allow", "m.x.com", ""))
+    rows = [(1, "http://m.x.com/b", ""), (2, "http://m.x.com/a", "")]
+    assert {r["page_id"]: r["rule"] for r in urls.judge(make(spark, rows), rules=tied).collect()} == {1: "x.com/b", 2: "x.com/a"}
+
+
 def test_empty_table(spark):
     assert urls.judge(make(spark, [])).count() == 0
