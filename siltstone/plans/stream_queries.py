@@ -11,6 +11,7 @@ from ..functions import text
 from ..operators import embedding
 from ..session import load, spread
 from ..streaming import events
+from . import markup_sql
 
 #: The job status that each event type of the fixture stands for.
 STATUS = {"click": "queued", "view": "running", "purchase": "completed", "signup": "cancelled", "error": "failed"}
@@ -78,12 +79,13 @@ def events_session(spark: SparkSession, sf: str) -> DataFrame:
 
 def progress_throttle(spark: SparkSession, sf: str) -> DataFrame:
     rows = load(spark, sf, "events").select("user_id", "event_id", (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("at"))
-    return events.throttle(rows, "user_id", "at", 5, 7200.0)
+    return events.throttle(rows, "user_id", "at", 5, 7200.0).select("user_id", "at")
 
 
 def rate_limit_sim(spark: SparkSession, sf: str) -> DataFrame:
     rows = _texts(spark, sf, "documents").select("source", (F.col("doc_id") * 0.05).alias("at"), text.estimate_tokens(F.col("text")).alias("tokens"))
-    return embedding.simulate_limits(rows, "source", "at", "tokens", 60, 20_000, 0.1)
+    out = embedding.simulate_limits(rows, "source", "at", "tokens", 60, 20_000, 0.1)
+    return out.select("key", F.round("at", 2).alias("at"), "tokens", F.round("waited", 3).alias("waited"))
 
 
 def index_pages(spark: SparkSession, sf: str) -> DataFrame:
@@ -96,7 +98,7 @@ QUERIES = {k: f for k, f in list(globals().items()) if callable(f) and getattr(f
 _STATUS = "CASE event_type " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in STATUS.items()) + " END"
 _FINAL = f"SELECT user_id, arg_max({_STATUS}, struct_pack(ts := ts, id := event_id)) AS state FROM events GROUP BY user_id"
 
-SQL = {
+SQL = markup_sql.STREAMS | {
     "event_json": """SELECT event_id, to_json({type: k, payload: {type: v, payload: {id: user_id, name: event_type}}})::VARCHAR AS json FROM (
       SELECT *, CASE event_type WHEN 'click' THEN 'JOB_STATUS_CHANGE' WHEN 'view' THEN 'JOB_PROGRESS' ELSE 'LIBRARY_CHANGE' END AS k,
         CASE event_type WHEN 'click' THEN 'JobStatusChange' WHEN 'view' THEN 'JobProgress' ELSE 'LibraryChange' END AS v FROM events)""",

@@ -9,6 +9,7 @@ from pyspark.sql.window import Window
 from ..functions import html, splitters, text, urls
 from ..operators import crawl, embedding
 from ..session import load, spread
+from . import markup_sql
 
 MARKDOWN = "# One\nintro\n## Two\ntext\n### Three\n#### \n##Tight\n####### seven\nplain # text\n## Again"
 CODE = [
@@ -158,7 +159,7 @@ def crawl_bfs(spark: SparkSession, sf: str) -> DataFrame:
 
 def _split(df: DataFrame, key: str, column, split, **options) -> DataFrame:
     chunks = splitters.chunks(column, split, **options)
-    return df.select(key, F.posexplode(chunks).alias("n", "c")).select(key, F.col("n").cast("long").alias("n"), "c.content", "c.level", "c.path", "c.types")
+    return df.select(key, F.posexplode(chunks).alias("n", "c")).select(key, F.col("n").cast("long").alias("n"), "c.content", "c.level", F.array_join("c.path", " > ").alias("path"), F.array_join("c.types", ",").alias("types"))
 
 
 def split_markdown(spark: SparkSession, sf: str) -> DataFrame:
@@ -212,7 +213,7 @@ _NOWHERE = r"(regexp_replace(href, '^\s+|\s+$', '', 'g') = '' OR regexp_matches(
 _MD = "string_split(" + " || chr(10) || ".join(f"'{x}'" for x in MARKDOWN.split("\n")) + ", chr(10))"
 _LINES = f"l AS (SELECT unnest(range(len({_MD}))) AS n, unnest({_MD}) AS line), h AS (SELECT n::BIGINT AS n, length(regexp_extract(line, '^(#{{1,6}})([^#].*)?$', 1))::BIGINT AS level, regexp_replace(regexp_extract(line, '^#{{1,6}}([^#].*)?$', 1), '^\\s+|\\s+$', '', 'g') AS title FROM l)"
 
-SQL = {
+SQL = markup_sql.texts(SITE) | {
     "estimate_tokens": f"SELECT doc_id, {_EST} AS tokens FROM documents",
     "batch_tokens": f"SELECT source, sum({_EST})::BIGINT AS tokens FROM documents GROUP BY source",
     "text_lengths": r"SELECT doc_id, length(text)::BIGINT AS chars, strlen(text)::BIGINT AS bytes, length(regexp_replace(text, '^\s+|\s+$', '', 'g'))::BIGINT AS trimmed, md5(lower(text)) AS lower FROM documents",
