@@ -83,13 +83,24 @@ STREAMS = {
 }
 
 
-def texts(site: list[tuple[str, str]]) -> dict[str, str]:
-    rows = ", ".join("('" + "', '".join(x.replace("'", "''") for x in row) + "')" for row in site)
+def values(rows: list[tuple[str, str]]) -> str:
+    return ", ".join("('" + "', '".join(x.replace("'", "''") for x in row) + "')" for row in rows)
+
+
+def texts(site: list[tuple[str, str]], code: list[tuple[str, str]]) -> dict[str, str]:
     return {
+        # In these programs every line that begins with a letter begins a block.
+        "split_code": rf"""WITH code(language, code) AS (VALUES {values(code)}),
+          l AS (SELECT language, unnest(range(len(string_split(code, chr(10))))) AS k, unnest(string_split(code, chr(10))) AS line FROM code),
+          g AS (SELECT *, sum(regexp_matches(line, '^[a-z]')::INT) OVER (PARTITION BY language ORDER BY k) AS g FROM l),
+          b AS (SELECT language, g, string_agg(line, chr(10) ORDER BY k) AS block FROM g GROUP BY language, g),
+          n AS (SELECT *, regexp_extract(block, '^(?:export )?(?:fn|struct|impl|def|class|function|const|func|type)\s+(?:\([^)]*\)\s*)?(\w+)', 1) AS name FROM b)
+          SELECT language, (g - 1)::BIGINT AS n, regexp_replace(block, '^\n+|\n+$', '', 'g') AS content,
+            CASE WHEN name = '' THEN 0 WHEN starts_with(block, 'func (') THEN 2 ELSE 1 END AS level, CASE WHEN name = '' THEN 'module' ELSE name END AS path, 'code,' || language AS types FROM n""",
         "main_text": rf"""SELECT page_id, {stripped(rf"regexp_replace(regexp_replace({unescaped(f"regexp_replace({ARTICLE}, '<[^>]*>', '', 'g')")}, '[ \t\r\f\v]+', ' ', 'g'), '\n\s*\n+', {NL2}, 'g')")} AS text FROM pages""",
         "html_to_markdown": f"WITH {PAGE} SELECT page_id, title, content, excerpt FROM md",
         "process_pages": f"WITH {PAGE} SELECT page_id, url, title, content, len(list_distinct(list_filter({HREFS}, lambda href: NOT {NOWHERE})))::BIGINT AS n_links FROM md",
-        "crawl_bfs": rf"""WITH RECURSIVE s(url, html) AS (VALUES {rows}),
+        "crawl_bfs": rf"""WITH RECURSIVE s(url, html) AS (VALUES {values(site)}),
           link AS (SELECT url AS a, CASE WHEN starts_with(href, '/') THEN 'https://s.test' || href ELSE href END AS b FROM (SELECT url, unnest(regexp_extract_all(html, 'href=''([^'']*)''', 1)) AS href FROM s)),
           r(url, depth) AS (SELECT 'https://s.test/', 0 UNION SELECT b, depth + 1 FROM r JOIN link ON a = url WHERE depth < 2 AND starts_with(b, 'https://s.test/')),
           p AS (SELECT url, html, min(depth) AS depth FROM r JOIN s USING (url) GROUP BY url, html),

@@ -213,7 +213,7 @@ _NOWHERE = r"(regexp_replace(href, '^\s+|\s+$', '', 'g') = '' OR regexp_matches(
 _MD = "string_split(" + " || chr(10) || ".join(f"'{x}'" for x in MARKDOWN.split("\n")) + ", chr(10))"
 _LINES = f"l AS (SELECT unnest(range(len({_MD}))) AS n, unnest({_MD}) AS line), h AS (SELECT n::BIGINT AS n, length(regexp_extract(line, '^(#{{1,6}})([^#].*)?$', 1))::BIGINT AS level, regexp_replace(regexp_extract(line, '^#{{1,6}}([^#].*)?$', 1), '^\\s+|\\s+$', '', 'g') AS title FROM l)"
 
-SQL = markup_sql.texts(SITE) | {
+SQL = markup_sql.texts(SITE, CODE) | {
     "estimate_tokens": f"SELECT doc_id, {_EST} AS tokens FROM documents",
     "batch_tokens": f"SELECT source, sum({_EST})::BIGINT AS tokens FROM documents GROUP BY source",
     "text_lengths": r"SELECT doc_id, length(text)::BIGINT AS chars, strlen(text)::BIGINT AS bytes, length(regexp_replace(text, '^\s+|\s+$', '', 'g'))::BIGINT AS trimmed, md5(lower(text)) AS lower FROM documents",
