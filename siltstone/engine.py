@@ -9,16 +9,17 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .config import Config
-from .functions import html, splitters
-from .operators import catalog, crawl, embedding, retrieval
-from .sources.warehouse import Warehouse
+from .functions import analyzer, html, splitters
+from .operators import catalog, crawl, embedding, index, retrieval
+from .session import written
+from .sources.warehouse import ALL, Warehouse
 from .streaming.jobs import Job, Manager
 
 
-def index_rows(pages: DataFrame, embedder: embedding.Embedder, keys: Sequence[str] = ("page_id",), markdown: str | None = None) -> DataFrame:
+def index_rows(pages: DataFrame, embedder: embedding.Embedder, keys: Sequence[str] = ("page_id",), markdown: str | None = None, split: dict | None = None) -> DataFrame:
     """Chunks of pages (keys, html or Markdown): content, sort_order, level, path, types, embedding."""
     text = F.col(markdown) if markdown else html.markdown_column(F.col("html"))["content"]
-    chunks = pages.select(*keys, F.posexplode(splitters.chunks(text, splitters.split_markdown)).alias("sort_order", "c"))
+    chunks = pages.select(*keys, F.posexplode(splitters.chunks(text, splitters.split_markdown, **(split or {}))).alias("sort_order", "c"))
     return embedding.embed(chunks.select(*keys, "sort_order", "c.content", "c.level", "c.path", "c.types"), embedder)
 
 
@@ -30,10 +31,18 @@ class Engine:
         self.embedder = embedder or embedding.HashingEmbedder()
         self.manager = Manager(self._work, 1, on_status=self._follow)  # one writer
         self._sources: dict[str, tuple[DataFrame, crawl.CrawlOptions]] = {}
+        self.split: dict[str, int] = {}
+        self.search_options, self.crawl_options = retrieval.SearchOptions(), crawl.CrawlOptions()
 
     @classmethod
     def from_config(cls, spark: SparkSession, config: Config, send=None) -> Engine:
-        return cls(spark, config.store.path, embedding.create(config.embedding.model, send))
+        """An engine whose splitter, search and crawl take the configuration's settings where a call gives none."""
+        self = cls(spark, config.store.path, embedding.create(config.embedding.model, send))
+        self.split = {"limit": config.splitter.chunk_size, "overlap": config.splitter.chunk_overlap}
+        s, c = config.search, config.scraper
+        self.search_options = retrieval.SearchOptions(s.limit, s.vector_weight, s.text_weight, s.rrf_k, s.overfetch)
+        self.crawl_options = crawl.CrawlOptions(c.max_pages, c.max_depth, c.include, c.exclude)
+        return self
 
     def sql(self, query: str) -> DataFrame:
         """Spark SQL over the catalog's tables."""
@@ -47,11 +56,7 @@ class Engine:
         """Find or create a library and a version; the version's id."""
         libraries = self.store.read("libraries")
         found = catalog.by_name(libraries, "name", library).select("id").first()
-        if found is None:
-            lib = self.store.next_id("libraries")
-            self.store.append("libraries", self.spark.createDataFrame([(lib, library.lower())], "id long, name string").withColumn("created_at", F.current_timestamp()))
-        else:
-            lib = found[0]
+        lib = found[0] if found else self.store.next_id("libraries")
         versions = self.store.read("versions")
         there = catalog.by_name(versions, "name", version, library_id=lib).select("id").first()
         if there:
@@ -59,7 +64,10 @@ class Engine:
         number = self.store.next_id("versions")
         row = self.spark.createDataFrame([(number, lib, version, "not_indexed", url)], "id long, library_id long, name string, status string, source_url string")
         empty = [F.lit(None).alias(c) for c in versions.columns if c not in row.columns and c != "created_at"]
-        self.store.append("versions", row.select("*", *empty, F.current_timestamp().alias("created_at")))
+        new = {"versions": {ALL: row.select("*", *empty, F.current_timestamp().alias("created_at"))}}
+        if not found:
+            new = {"libraries": {ALL: self.spark.createDataFrame([(lib, library.lower())], "id long, name string").withColumn("created_at", F.current_timestamp())}} | new
+        self.store.change(new, append=True)
         return number
 
     def set_status(self, version_id: int, status: str, error: str | None = None) -> None:
@@ -75,19 +83,21 @@ class Engine:
 
     def remove(self, library: str, version: str | None = None) -> bool:
         """Delete a library, or one of its versions, with all that hangs on it; whether it was there."""
-        lib, ver, pages, docs = (self.store.read(t) for t in ("libraries", "versions", "pages", "documents"))
+        lib, ver = self.store.read("libraries"), self.store.read("versions")
         row = catalog.by_name(lib, "name", library).select("id").first()
         if row is None:
             return False
-        if version is None:
-            left = catalog.delete_cascade([("libraries", lib, "id", None), ("versions", ver, "id", "library_id"), ("pages", pages, "id", "version_id"), ("documents", docs, "id", "page_id")], F.col("id") == row[0])
+        mine = F.col("library_id") == row[0]
+        new = {}
+        if version is not None:
+            mine = mine & (F.lower("name") == ("" if version == "_default_" else version).lower())
         else:
-            name = "" if version == "_default_" else version
-            mine = (F.col("library_id") == row[0]) & (F.lower("name") == name.lower())
-            if ver.filter(mine).isEmpty():
-                return False
-            left = catalog.delete_cascade([("versions", ver, "id", None), ("pages", pages, "id", "version_id"), ("documents", docs, "id", "page_id")], mine)
-        self.store.replace_all(left)
+            new["libraries"] = {ALL: lib.filter(F.col("id") != row[0])}
+        gone = [r[0] for r in ver.filter(mine).select("id").collect()]  # a library's versions
+        if version is not None and not gone:
+            return False
+        new["versions"] = {ALL: ver.filter(~mine)}
+        self.store.change(new | {t: dict.fromkeys(gone) for t in ("pages", "documents", "postings", "text_stats")})
         self.manager.bus.emit("LIBRARY_CHANGE", {"library": library.lower()})
         return True
 
@@ -103,35 +113,48 @@ class Engine:
         indexing twice is the same as once.
         """
         vid = self.ensure_version(library, version)
-        old = self.store.read("pages")
-        came = pages.select("url", "title", "content", F.col("depth").cast("int").alias("depth"))
-        if pages_failed := came.filter(F.col("content").isNull()).count():
-            self.manager.bus.emit("JOB_PROGRESS", {"library": library.lower(), "version": version, "pages_failed": pages_failed})
+        old, docs = self.store.read("pages", vid), self.store.read("documents", vid)
+        head = {c: F.col(c) if c in pages.columns else F.lit(None).cast("string") for c in ("etag", "last_modified", "content_type")}
+        came = pages.select("url", "title", "content", F.col("depth").cast("int").alias("depth"), *[v.alias(c) for c, v in head.items()])
+        if failed := came.filter(F.col("content").isNull()).count():
+            self.manager.bus.emit("JOB_PROGRESS", {"library": library.lower(), "version": version, "pages_failed": failed})
         # Of several contents of one URL the shallowest counts, then the first in order.
-        came = came.filter(F.col("content").isNotNull()).groupBy("url").agg(F.min(F.struct("depth", "content", "title")).alias("p")).select("url", "p.title", "p.content", "p.depth")
-        known = old.filter(F.col("version_id") == vid).select("id", "url")
-        fresh = catalog.assign_ids(came.join(known, "url", "left_anti").select("url"), old, "id", ["url"]).select("id", "url")
+        row = F.min(F.struct("depth", "content", "title", *head)).alias("p")
+        came = came.filter(F.col("content").isNotNull()).groupBy("url").agg(row).select("url", "p.*")
+        known = old.select("id", "url")
+        fresh = catalog.assign_ids(came.join(known, "url", "left_anti").select("url"), self.store.next_id("pages") - 1, "id", ["url"]).select("id", "url")
         ids = known.join(came.select("url"), "url", "left_semi").select("id", "url").unionByName(fresh)
         named = came.join(ids, "url")
         now = F.current_timestamp()
         new = named.select(
-            "id", F.lit(vid).alias("version_id"), "url", "title", F.lit(None).cast("string").alias("etag"), F.lit(None).cast("string").alias("last_modified"),
-            F.lit("text/html").alias("content_type"), "depth", now.alias("created_at"), now.alias("updated_at"),
+            "id", F.lit(vid).alias("version_id"), "url", "title", "etag", "last_modified", F.coalesce("content_type", F.lit("text/html")).alias("content_type"),
+            "depth", now.alias("created_at"), now.alias("updated_at"),
         )
-        chunks = index_rows(named.withColumnRenamed("id", "page_id"), self.embedder, ("page_id",), "content")
-        docs = self.store.read("documents")
+        chunks = index_rows(named.withColumnRenamed("id", "page_id"), self.embedder, ("page_id",), "content", self.split)
         kept = docs.join(ids.select(F.col("id").alias("page_id")), "page_id", "left_anti").select(*docs.columns)
         made = chunks.select(
             "page_id", "content", F.struct("level", "path", "types").alias("metadata"), F.col("sort_order").cast("int").alias("sort_order"),
             F.col("embedding").cast("array<float>").alias("embedding"), now.alias("created_at"),
         )
-        made = catalog.assign_ids(made, docs, "id", ["page_id", "sort_order"]).select(*docs.columns)
-        self.store.replace_all({"pages": catalog.upsert(old, new, ["version_id", "url"], ["id", "created_at"]), "documents": kept.unionByName(made)})
+        made = catalog.assign_ids(made, self.store.next_id("documents") - 1, "id", ["page_id", "sort_order"]).select(*docs.columns)
+        all_pages, all_docs = written(catalog.upsert(old, new, ["version_id", "url"], ["id", "created_at"]), "index-pages"), written(kept.unionByName(made), "index-documents")
+        self.store.change({"pages": {vid: all_pages}, "documents": {vid: all_docs}} | self._postings(vid, library, version, all_pages, all_docs))
         return vid
 
-    def scrape(self, library: str, version: str, source: DataFrame, start: str, options: crawl.CrawlOptions = crawl.CrawlOptions()) -> Job:
+    def _postings(self, vid: int, library: str, version: str, pages: DataFrame, docs: DataFrame) -> dict:
+        """Terms of a version's documents with their page's title, URL and path, and what BM25 needs of their lengths."""
+        page = pages.select(F.col("id").alias("page_id"), "title", "url")
+        whole = F.concat_ws(" ", "content", "title", "url", F.lit(f"{library.lower()}/{version}"))
+        tokens = docs.join(page, "page_id").select(F.col("id").alias("doc_id"), analyzer.stemmed_tokens(whole).alias("tokens"))
+        rows = written(tokens.withColumn("dl", F.size("tokens").cast("long")), "index-tokens")
+        terms = rows.select("doc_id", "dl", F.explode("tokens").alias("term")).groupBy("term", "doc_id", "dl").agg(F.count("*").alias("tf"))
+        # Sorted by term, so a search skips what it does not ask for.
+        ordered = terms.repartitionByRange("term", "doc_id").sortWithinPartitions("term", "doc_id")
+        return {"postings": {vid: ordered}, "text_stats": {vid: rows.agg(F.count("*").alias("documents"), F.coalesce(F.sum("dl"), F.lit(0)).alias("length"))}}
+
+    def scrape(self, library: str, version: str, source: DataFrame, start: str, options: crawl.CrawlOptions | None = None) -> Job:
         """Enqueue a crawl of a page source (url, html) and the indexing of what it finds."""
-        self._sources[f"{library.lower()}\0{version}\0{start}"] = (source, options)
+        self._sources[f"{library.lower()}\0{version}\0{start}"] = (source, options or self.crawl_options)
         return self.manager.enqueue(library, version, start)
 
     def _work(self, job: Job) -> None:
@@ -154,27 +177,40 @@ class Engine:
 
     # Search
 
-    def _scope(self, library: str, version: str | None) -> DataFrame:
-        """Documents of a library (or version) with page, version and library names."""
-        lib, ver, pages, docs = (self.store.read(t) for t in ("libraries", "versions", "pages", "documents"))
+    def _scope(self, library: str, version: str | None) -> tuple[DataFrame, list[int]]:
+        """(documents of a library or version with page, version and library names, ids of its versions)."""
+        lib, ver = self.store.read("libraries"), self.store.read("versions")
         lib = catalog.by_name(lib, "name", library).select(F.col("id").alias("library_id"), F.col("name").alias("library"))
-        ver = ver.select(F.col("id").alias("version_id"), "library_id", F.col("name").alias("version"))
+        ver = ver.select(F.col("id").alias("version_id"), "library_id", F.col("name").alias("version")).join(lib, "library_id")
         if version is not None:
             ver = ver.filter(F.lower("version") == version.lower())
-        pages = pages.select(F.col("id").alias("page_id"), "version_id", "url", "title")
-        return docs.join(pages, "page_id").join(ver, "version_id").join(lib, "library_id")
-
-    def search(self, library: str, query: str, version: str | None = None, options: retrieval.SearchOptions = retrieval.SearchOptions()) -> DataFrame:
+        parts = [r[0] for r in ver.select("version_id").collect()]  # a library's versions
+        there = parts or [0]
+        pages = self.store.read("pages", *there).select(F.col("id").alias("page_id"), "version_id", "url", "title")
+        return self.store.read("documents", *there).join(pages, "page_id").join(ver, "version_id"), parts
+
+    def _text_hits(self, query: str, parts: list[int]) -> DataFrame:
+        """(doc_id, score) of documents of some versions, from the postings of the query's terms alone."""
+        terms = analyzer.analyze(query)
+        times = {t: terms.count(t) for t in terms}
+        asked = F.col("term").isin(list(times)) if times else F.lit(False)
+        sums = self.store.read("text_stats").agg(F.sum("documents").alias("n"), F.sum("length").alias("length")).first()
+        counts = self.store.read("postings").filter(asked).groupBy("term").agg(F.count("*").alias("n")).collect()  # a row per term
+        df = {r["term"]: r["n"] for r in counts}
+        return index.scores(self.store.read("postings", *(parts or [0])).filter(asked), times, df, sums["n"] or 0, sums["length"] or 0)
+
+    def search(self, library: str, query: str, version: str | None = None, options: retrieval.SearchOptions | None = None) -> DataFrame:
         """(rank, score, library, version, url, title, content): hybrid, or full text without an embedder.
 
-        Full-text statistics are of all documents; hits are of the library.
+        Full text is stemmed, over content, title, URL and path, and read from
+        the postings that indexing maintains. Its statistics are of all
+        documents; hits are of the library.
         The nearest vectors are sought within the library.
         """
-        docs, scope = self.store.read("documents"), self._scope(library, version)
-        mine = scope.select(F.col("id").alias("doc_id"))
+        options = options or self.search_options
+        scope, parts = self._scope(library, version)
         k = options.limit * options.overfetch
-        hits = retrieval.bm25(docs, retrieval.query_terms(query), "id", "content").join(mine, "doc_id", "left_semi")
-        words = retrieval.ranked(hits, (F.desc("score"), "doc_id"), k)
+        words = retrieval.ranked(self._text_hits(query, parts), (F.desc("score"), "doc_id"), k)
         if self.embedder.is_available():
             vector = self.embedder.embed_batch([query])[0]
             near = retrieval.ranked(retrieval.knn(scope, vector, k, "id"), ("distance", "doc_id"), k)

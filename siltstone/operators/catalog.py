@@ -71,14 +71,14 @@ def find_or_create(table: DataFrame, wanted: DataFrame, name: str, key: str) ->
     return table.select(key, name).unionByName(assign_ids(missing, table, key, [name]).select(key, name))
 
 
-def assign_ids(new: DataFrame, old: DataFrame, key: str, order: Sequence[str]) -> DataFrame:
-    """New rows numbered after the largest id, in ``order``.
+def assign_ids(new: DataFrame, old: DataFrame | int, key: str, order: Sequence[str]) -> DataFrame:
+    """New rows numbered after the largest id of ``old`` (or that number), in ``order``.
 
     Rows are dealt by ranges of the order, sorted, and written with their place
     in their range; a count per range then gives the number before it. So no
     task sees all rows, and ranges are drawn once.
     """
-    top = old.agg(F.coalesce(F.max(key), F.lit(0)).cast("long")).scalar()
+    top = F.lit(old) if isinstance(old, int) else old.agg(F.coalesce(F.max(key), F.lit(0)).cast("long")).scalar()
     dealt = new.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_m", F.monotonically_increasing_id())
     placed = written(dealt, "ids").withColumns({"_part": F.shiftrightunsigned("_m", 33), "_place": F.col("_m").bitwiseAND(F.lit((1 << 33) - 1))})
     sizes = placed.groupBy("_part").agg(F.count("*").alias("_n"))

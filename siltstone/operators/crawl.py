@@ -50,7 +50,9 @@ def crawl_page(pages: DataFrame, url: str) -> DataFrame:
     return process(pages.select("url", "html").filter(F.col("url") == url)).select("url", F.lit(0).alias("depth"), "title", "content", F.col("links.url").alias("links"))
 
 
-LEVEL = "url string, depth int, title string, content string, links array<string>"
+#: What a fetched page may carry besides; null where a source has none.
+HEADERS = ("etag", "last_modified", "content_type")
+LEVEL = "url string, depth int, title string, content string, links array<string>, " + ", ".join(f"{c} string" for c in HEADERS)
 
 
 def levels(pages: DataFrame, start: str, options: CrawlOptions = CrawlOptions(), cancelled: Callable[[], bool] = lambda: False) -> Iterator[tuple[DataFrame, int]]:
@@ -63,14 +65,15 @@ def levels(pages: DataFrame, start: str, options: CrawlOptions = CrawlOptions(),
     spark = pages.sparkSession
     root = f"{shared_root(spark)}/siltstone/crawl-{uuid.uuid4().hex}"
     home = spark.range(1).select(urls.host(F.lit(start)).alias("h")).first()[0]
+    source = pages.select("url", "html", *[F.col(c) if c in pages.columns else F.lit(None).cast("string").alias(c) for c in HEADERS])
     wanted = urls.wanted(F.col("url"), home, list(options.include), list(options.exclude))
     now = seen = spark.createDataFrame([(start,)], "url string")
     left = options.max_pages
     for depth in range(options.max_depth + 1):
         if left <= 0 or cancelled():
             return
-        level = process(pages.select("url", "html").join(now, "url", "left_semi").orderBy("url").limit(left))
-        level.select("url", F.lit(depth).alias("depth"), "title", "content", F.col("links.url").alias("links")).write.parquet(f"{root}/{depth}")
+        level = process(source.join(now, "url", "left_semi").orderBy("url").limit(left))
+        level.select("url", F.lit(depth).alias("depth"), "title", "content", F.col("links.url").alias("links"), *HEADERS).write.parquet(f"{root}/{depth}")
         done = spark.read.schema(LEVEL).parquet(f"{root}/{depth}")
         n = done.count()
         yield done, n
@@ -89,7 +92,7 @@ def crawl(
     on_level: Callable[[int, int], None] | None = None,
     cancelled: Callable[[], bool] = lambda: False,
 ) -> DataFrame:
-    """(url, depth, title, content) of pages reachable from ``start``, by depth, then URL.
+    """(url, depth, title, content, ``HEADERS``) of pages reachable from ``start``, by depth, then URL.
 
     ``pages`` (url, html) is any source of fetched pages. ``max_pages`` counts
     pages that exist; a page at ``max_depth`` is kept, its links are not

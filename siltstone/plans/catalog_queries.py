@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from ..operators import catalog
 from ..session import load
+from ..sources import warehouse
 
 #: A small catalog of schema versions, applied and known.
 APPLIED, KNOWN = (1, 2), (1, 2, 3, 4)
@@ -127,10 +128,8 @@ def constraint_check(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def migrations_pending(spark: SparkSession, sf: str) -> DataFrame:
-    applied = spark.createDataFrame([(v,) for v in APPLIED], "version long")
-    known = spark.createDataFrame([(v,) for v in KNOWN], "version long")
-    now = applied.agg(F.coalesce(F.max("version"), F.lit(0)).cast("long")).scalar()
-    return known.filter(F.col("version") > now).select("version", now.alias("after"))
+    rows = [(v, max(APPLIED)) for v in warehouse.pending(list(KNOWN), max(APPLIED))]
+    return spark.createDataFrame(rows, "version long, after long")
 
 
 def status_map(spark: SparkSession, sf: str) -> DataFrame:

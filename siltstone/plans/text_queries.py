@@ -154,7 +154,7 @@ def process_pages(spark: SparkSession, sf: str) -> DataFrame:
 
 def crawl_bfs(spark: SparkSession, sf: str) -> DataFrame:
     pages = spark.createDataFrame(SITE, "url string, html string")
-    return crawl.crawl(pages, "https://s.test/", crawl.CrawlOptions(max_depth=2))
+    return crawl.crawl(pages, "https://s.test/", crawl.CrawlOptions(max_depth=2)).select("url", "depth", "title", "content")
 
 
 def _split(df: DataFrame, key: str, column, split, **options) -> DataFrame:

@@ -12,6 +12,7 @@ from siltstone.operators import embedding
 from siltstone.plans.text_queries import SITE
 from siltstone.session import load
 from siltstone.sources import pages
+from siltstone.sources.warehouse import ConstraintError
 from siltstone.streaming import events
 from siltstone.streaming.jobs import Bus, Manager
 
@@ -43,6 +44,38 @@ def test_scrape_search_list_remove(spark, engine):
         engine.search_latest("mylib", "x")
 
 
+def test_a_change_writes_its_version_only(spark, engine):
+    page = lambda url, text: spark.createDataFrame([(url, "T", text, 0, "e1")], "url string, title string, content string, depth int, etag string")
+    one, two = engine.index("lib", "1", page("u", "alpha beta")), engine.index("lib", "2", page("u", "gamma"))
+    files = lambda v: sorted(f for t in ("pages", "documents", "postings") for f in engine.store.read(t, v).inputFiles())
+    before = files(one)
+    engine.index("lib", "2", page("v", "delta deltas"))
+    assert files(one) == before and engine.store.read("pages").count() == 3
+    assert {r["etag"] for r in engine.store.read("pages").collect()} == {"e1"}
+    assert [r["url"] for r in engine.search("lib", "deltas", "2").collect()][0] == "v"
+    assert sorted(r[0] for r in engine.store.read("documents").select("id").collect()) == [1, 2, 3]
+    assert engine.remove("lib", "2") and files(one) == before and engine.store.parts("postings") == [str(one)]
+    assert two not in [r[0] for r in engine.store.read("versions").select("id").collect()]
+
+
+def test_changes_are_checked_and_switch_together(spark, engine):
+    vid = engine.index("lib", "1", spark.createDataFrame([("u", "T", "alpha", 0)], "url string, title string, content string, depth int"))
+    pages, docs = engine.store.read("pages", vid), engine.store.read("documents", vid)
+    with pytest.raises(ConstraintError, match="repeats"):
+        engine.store.change({"documents": {vid: docs.limit(0)}, "pages": {vid: pages.unionByName(pages)}})
+    with pytest.raises(ConstraintError, match="without a row"):
+        engine.store.change({"pages": {vid: pages.limit(0)}, "documents": {vid: docs}})
+    with pytest.raises(ConstraintError):
+        engine.store.append("libraries", engine.store.read("libraries"))
+    assert engine.store.read("pages").count() == 1 and engine.store.read("documents").count() == 1
+
+
+def test_orphans_are_dropped(spark, engine):
+    vid = engine.index("lib", "1", spark.createDataFrame([("u", "T", "alpha", 0)], "url string, title string, content string, depth int"))
+    engine.store.replace("versions", engine.store.read("versions").limit(0))
+    assert engine.store.drop_orphans() == [str(vid)] and engine.store.read("documents").count() == 0
+
+
 def test_search_without_an_embedder(spark, tmp_path):
     engine = Engine(spark, f"file://{tmp_path}/w", embedding.NoEmbedder())
     engine.index("lib", "", spark.createDataFrame([("u", "T", "alpha beta", 0), ("v", "V", "gamma", 0)], "url string, title string, content string, depth int"))
@@ -69,7 +102,8 @@ def test_config(spark, tmp_path):
     (tmp_path / "c.toml").write_text(f'[store]\npath = "file://{tmp_path}/w"\n[embedding]\nmodel = "hash:hash-16"\n[scraper]\nexclude = ["x"]\n')
     c = config.from_file(str(tmp_path / "c.toml"))
     assert (c.splitter.chunk_size, c.scraper.exclude, c.embedding.max_rpm) == (1500, ("x",), 1800)
-    assert Engine.from_config(spark, c).embedder.dimension == 16
+    e = Engine.from_config(spark, c)
+    assert e.embedder.dimension == 16 and e.crawl_options.exclude == ("x",) and e.split == {"limit": 1500, "overlap": 200}
     with pytest.raises(ValueError):
         config.merged(c, {"nothing": 1})
 
