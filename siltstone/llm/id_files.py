@@ -28,20 +28,27 @@ from .tokens import default_path, encoder
 
 MAGIC = b"SLTIDS01"
 DICTIONARY = "dictionary.zdict"
-#: The dictionary: its size, and the documents it is trained on (the first in a seeded order).
-DICTIONARY_BYTES, SAMPLE_DOCS, SAMPLE_PIECE = 65_536, 1_000, 8_192
+#: The dictionary: its size, and what it is trained on: the first documents in a seeded order, and of
+#: each as many pieces at most, evenly spread over the whole of a longer one.
+DICTIONARY_BYTES, SAMPLE_DOCS, SAMPLE_PIECE, SAMPLE_PIECES = 65_536, 1_000, 8_192, 8
+#: zstandard's least size of a dictionary, with room for the segments it picks.
+LEAST_BYTES = 1_024
 LEVEL = 3
 END = 0
 
 
 def train(samples: list[bytes], size: int = DICTIONARY_BYTES) -> bytes:
-    """A dictionary from serialized ids; too few samples serve as raw content."""
+    """A dictionary from serialized ids, of a tenth of them at most; empty where zstandard finds too little to learn from."""
     import zstandard
 
     pieces = [s[i : i + SAMPLE_PIECE] for s in samples for i in range(0, len(s), SAMPLE_PIECE)]
-    if sum(map(len, pieces)) >= 10 * size:
+    size = min(size, sum(map(len, pieces)) // 10)
+    if size < LEAST_BYTES:
+        return b""
+    try:
         return zstandard.train_dictionary(size, pieces, k=256, d=8, level=LEVEL).as_bytes()
-    return b"".join(pieces)[-size:]
+    except zstandard.ZstdError:
+        return b""
 
 
 def codec(dictionary: bytes):
@@ -131,8 +138,16 @@ class Reader:
         self.file.close()
 
 
+def spread(data: bytes) -> bytes:
+    """Pieces that are evenly spread over ``data``; all of it, if it is short."""
+    n = -(-len(data) // SAMPLE_PIECE)
+    if n <= SAMPLE_PIECES:
+        return data
+    return b"".join(data[(k := i * n // SAMPLE_PIECES) * SAMPLE_PIECE : (k + 1) * SAMPLE_PIECE] for i in range(SAMPLE_PIECES))
+
+
 def sample(docs: DataFrame, path: str, n: int = SAMPLE_DOCS) -> list[bytes]:
-    """Serialized ids of the first ``n`` documents in a seeded order of ids."""
+    """Serialized ids of the first ``n`` documents in a seeded order of ids: pieces of each, so that no text is too long for the driver."""
     drawn = docs.select("doc_id", "text", F.xxhash64(F.lit("dictionary"), "doc_id").alias("drawn"))
     last = drawn.select("drawn").orderBy("drawn").limit(n).agg(F.max("drawn")).first()[0]
     if last is None:
@@ -141,7 +156,7 @@ def sample(docs: DataFrame, path: str, n: int = SAMPLE_DOCS) -> list[bytes]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(path)
         for (texts,) in rows_of(batches, "text"):
-            yield pa.RecordBatch.from_arrays([pa.array(own.encode([t or "" for t in texts]), pa.binary())], ["ids"])
+            yield pa.RecordBatch.from_arrays([pa.array([spread(x) for x in own.encode([t or "" for t in texts])], pa.binary())], ["ids"])
 
     found = drawn.filter(F.col("drawn") <= last).orderBy("drawn").limit(n).select("text").mapInArrow(run, "ids binary")
     return sorted(bytes(r[0]) for r in found.collect())
@@ -155,7 +170,7 @@ def write(docs: DataFrame, folder: str | None = None, id_col: str = "doc_id", te
     only frames are dealt by ranges of the id and sorted; they are written in
     between, so a lost executor does not encode again. Null ids come first;
     rows that repeat an id are ordered by a hash of the text. Null and empty
-    texts have the end id alone. A file is written under a draft name and
+    texts have the end id alone; a text of any length is one frame. A file is written under a draft name and
     renamed, so a task that runs twice leaves one file.
     """
     spark = docs.sparkSession

@@ -132,8 +132,9 @@ def mix(
 
     ``taken`` is the number of words that the mix takes from the row, repeats
     counted; over a source it sums to the rounded target. ``copies`` is that in
-    whole documents, the one at the stop rounded to the nearer. Null text has
-    no words and takes none; rows that repeat an id share its drawing and, at
+    whole documents, the one at the stop rounded to the nearer. Null and empty
+    texts have no words and take none; a text of any length counts whole;
+    sources of equal cap/weight are taken in code point order; rows that repeat an id share its drawing and, at
     the stop, divide it in proportion; a null source is a source of its own;
     an empty table gives an empty mix. Only the named columns are read, so
     others may have any name; ``keep`` carries what the caller needs.

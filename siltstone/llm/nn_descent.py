@@ -382,7 +382,8 @@ def near_duplicates(df: DataFrame, id_col: str = "vec_id", vector_col: str = "em
     place for still join components (``ties``). A recall that the audit still
     finds too low in the end is given as a warning. Vectors that are null, zero, or hold null or non-finite
     components link with nothing, as do vectors of another length than most.
-    Null ids rank last; rows that repeat an id count as rows of their own but
+    Of equally near vectors a list keeps those of the smaller number, and ties at
+    its end are found by enlarging. Null ids rank last; rows that repeat an id count as rows of their own but
     share its component; an empty table gives no rows; other columns are not
     read.
     """

@@ -81,6 +81,16 @@ def test_dictionary_helps_short_documents(spark, sf):
     assert sum(len(with_it.compress(x)) for x in short) < sum(len(without.compress(x)) for x in short)
 
 
+def test_few_samples_train_less_or_nothing():
+    assert id_files.train([]) == id_files.train([b"abc"]) == b""
+    rng = np.random.Generator(np.random.PCG64(1))
+    words = [rng.integers(0, 256, 24, dtype=np.uint8).tobytes() for _ in range(200)]
+    texts = [b"".join(words[k] for k in rng.integers(0, 200, 40)) for _ in range(60)]
+    assert 256 <= len(id_files.train(texts)) <= sum(map(len, texts)) // 10
+    long_one = bytes(range(256)) * 4096
+    assert len(id_files.spread(long_one)) == id_files.SAMPLE_PIECE * id_files.SAMPLE_PIECES and id_files.spread(b"ab") == b"ab"
+
+
 def test_empty_table(spark):
     df = spark.createDataFrame([], SCHEMA)
     assert id_files.read(spark, *id_files.write(df)).count() == 0
