@@ -250,10 +250,16 @@ def attempted(f, *args):
         return None, f"{type(error).__name__}: {error}"
 
 
-def links_column(html: Column, base: Column) -> Column:
+#: What the wider extraction leaves out: references within the page, and scripts.
+FEWER = r"^(#|javascript:)"
+
+
+def links_column(html: Column, base: Column, skip: str = SKIP) -> Column:
+    """Links of pages; with ``FEWER`` for ``skip`` also those to mail, telephones and data."""
+
     @F.pandas_udf(LINKS)
     def found(pages: pd.Series, urls: pd.Series) -> pd.Series:
-        return pd.Series([attempted(links, h, u or "")[0] or [] for h, u in zip(pages, urls, strict=True)], dtype=object)
+        return pd.Series([attempted(links, h, u or "", skip)[0] or [] for h, u in zip(pages, urls, strict=True)], dtype=object)
 
     return found(html, base)
 

@@ -7,7 +7,7 @@ from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 SIZE, OVERLAP, SLACK = 1500, 200, 200
@@ -226,11 +226,20 @@ def split_code(code: str | None, language: str = "", limit: int = SIZE) -> list[
     return out
 
 
-def chunks(column: Column, split: Callable[..., list[Chunk]], **options) -> Column:
-    """A splitter as a column of chunk arrays; ``posexplode`` gives a row for each."""
+def register(spark: SparkSession) -> None:
+    """Make the splitters SQL functions of a session: ``SELECT posexplode(split_text(text))``."""
+    for name, split in (("split_markdown", split_markdown), ("split_text", split_text), ("split_separators", split_separators), ("split_code", split_code)):
+        spark.udf.register(name, splitter(split))
 
+
+def splitter(split: Callable[..., list[Chunk]], **options):
     @F.pandas_udf(CHUNK)
-    def splitter(texts: pd.Series) -> pd.Series:
+    def run(texts: pd.Series) -> pd.Series:
         return texts.map(lambda t: [vars(c) for c in split(t, **options)])
 
-    return splitter(column)
+    return run
+
+
+def chunks(column: Column, split: Callable[..., list[Chunk]], **options) -> Column:
+    """A splitter as a column of chunk arrays; ``posexplode`` gives a row for each."""
+    return splitter(split, **options)(column)

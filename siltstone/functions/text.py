@@ -63,6 +63,16 @@ def heading_title(line: Column) -> Column:
     return trim_all(F.regexp_extract(line, r"^#{1,6}([^#].*)?$", 1))
 
 
+def percent(share: Column) -> Column:
+    """A share as a percentage with one place."""
+    return F.format_string("%.1f%%", share * 100)
+
+
+def timestamp_or(value: Column, default: Column) -> Column:
+    """A text as a timestamp, ``default`` where it is none."""
+    return F.coalesce(F.try_to_timestamp(value), default)
+
+
 def count_of(s: Column, mark: str) -> Column:
     return (F.length(s) - F.length(F.replace(s, F.lit(mark), F.lit("")))).cast("long")
 

@@ -136,6 +136,8 @@ def embed(chunks: DataFrame, embedder: Embedder, text_col: str = "content") -> D
     """``chunks`` with an ``embedding``; null without an embedder. Runs in Arrow batches on executors."""
     if not embedder.is_available():
         return chunks.withColumn("embedding", F.lit(None).cast("array<float>"))
+    if isinstance(embedder, EmbeddingQueue):  # one limiter for all requests
+        chunks = chunks.coalesce(1)
 
     @F.pandas_udf("array<float>")
     def vectors(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -197,12 +199,33 @@ class RateLimiter:
 
 @dataclass
 class EmbeddingQueue:
-    """One request at a time behind a limiter: for embedders that must not be called from many executors."""
+    """An embedder with one request at a time behind a limiter: ``embed`` runs it in one task."""
 
     embedder: Embedder
     limiter: RateLimiter = field(default_factory=RateLimiter)
     lock: threading.Lock = field(default_factory=threading.Lock)
 
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in vars(self).items() if k != "lock"}  # a lock stays where it is
+
+    def __setstate__(self, state: dict) -> None:
+        vars(self).update(state, lock=threading.Lock())
+
+    @property
+    def name(self) -> str:
+        return self.embedder.name
+
+    @property
+    def dimension(self) -> int:
+        return self.embedder.dimension
+
+    @property
+    def batch(self) -> int:
+        return self.embedder.batch
+
+    def embed_batch(self, texts: Sequence[str]) -> list[list[float]]:
+        return self.embed(texts)
+
     def is_available(self) -> bool:
         return self.embedder.is_available()
 

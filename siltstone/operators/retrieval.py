@@ -150,6 +150,17 @@ def hydrate(hits: DataFrame, *parents: tuple[DataFrame, str, str]) -> DataFrame:
     return out
 
 
+def as_json(rank: Column, title: Column, score: Column, body: Column) -> Column:
+    """A result as a JSON object."""
+    return F.to_json(F.struct(rank.alias("rank"), F.coalesce(title, F.lit("")).alias("title"), text.percent(score).alias("score"), text.preview(body, 300).alias("content")))
+
+
+def as_line(rank: Column, title: Column, score: Column, body: Column) -> Column:
+    """A result as lines for a terminal: its place, score and title, then the beginning of its text, line feeds as spaces."""
+    start = F.regexp_replace(text.preview(body, 200), "\n", " ")
+    return F.concat(rank.cast("string"), F.lit(". ["), F.format_string("%.3f", score), F.lit("] "), F.coalesce(title, F.lit("N/A")), F.lit("\n   "), start)
+
+
 def formatted(rank: Column, title: Column, score: Column, body: Column) -> Column:
     """A result as a Markdown block."""
     return F.concat(

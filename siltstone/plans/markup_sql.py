@@ -116,5 +116,6 @@ def texts(site: list[tuple[str, str]], code: list[tuple[str, str]]) -> dict[str,
           {packed(f"(r.held + 1 + strlen(p.part) + 1 > {SIZE} OR r.lines >= 100)")}
           SELECT doc_id, g::BIGINT AS n, content, 0 AS level, 'module' AS path, 'code,go' AS types FROM packed""",
         "split_text": f"WITH RECURSIVE {WINDOWS} SELECT doc_id, n, content, 0 AS level, '' AS path, 'text' AS types FROM pieces",
+        "split_in_sql": f"WITH RECURSIVE {WINDOWS} SELECT doc_id, n, content, 0 AS level, '' AS path, 'text' AS types FROM pieces",
         "embed_chunks": f"WITH RECURSIVE {WINDOWS} SELECT doc_id, n, 64::BIGINT AS dim FROM pieces",
     }

@@ -98,10 +98,22 @@ def search_hydrated(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def format_results(spark: SparkSession, sf: str) -> DataFrame:
+    return _formatted(spark, sf, retrieval.formatted)
+
+
+def _formatted(spark: SparkSession, sf: str, form) -> DataFrame:
     docs = _texts(spark, sf, "documents")
     hits = retrieval.full_text(docs, QUERY, LIMIT)
     rows = docs.select("doc_id", "source", "text").join(F.broadcast(hits), "doc_id")  # ten hits
-    return rows.select("rank", retrieval.formatted(F.col("rank"), F.col("source"), F.round("score", 3), F.col("text")).alias("block"))
+    return rows.select("rank", form(F.col("rank"), F.col("source"), F.round("score", 3), F.col("text")).alias("block"))
+
+
+def format_json(spark: SparkSession, sf: str) -> DataFrame:
+    return _formatted(spark, sf, retrieval.as_json)
+
+
+def format_lines(spark: SparkSession, sf: str) -> DataFrame:
+    return _formatted(spark, sf, retrieval.as_line)
 
 
 def search_latest_version(spark: SparkSession, sf: str) -> DataFrame:
@@ -196,6 +208,12 @@ SQL = {
     "format_results": f"""WITH {_BM25}, r AS ({_TOP.format(w='true', k=10)})
       SELECT rank, '## ' || rank || '. ' || coalesce(source, 'N/A') || chr(10) || 'score: ' || printf('%.3f', round(score, 3)) || chr(10) || chr(10) ||
         CASE WHEN length(text) > 200 THEN substr(text, 1, 200) || '...' ELSE text END AS block FROM r JOIN t USING (doc_id)""",
+    "format_json": f"""WITH {_BM25}, r AS ({_TOP.format(w='true', k=10)})
+      SELECT rank, to_json({{rank: rank, title: coalesce(source, ''), score: printf('%.1f%%', round(score, 3) * 100), content: CASE WHEN length(text) > 300 THEN substr(text, 1, 300) || '...' ELSE text END}})::VARCHAR AS block
+      FROM r JOIN t USING (doc_id)""",
+    "format_lines": f"""WITH {_BM25}, r AS ({_TOP.format(w='true', k=10)})
+      SELECT rank, rank || '. [' || printf('%.3f', round(score, 3)) || '] ' || coalesce(source, 'N/A') || chr(10) || '   ' ||
+        replace(CASE WHEN length(text) > 200 THEN substr(text, 1, 200) || '...' ELSE text END, chr(10), ' ') AS block FROM r JOIN t USING (doc_id)""",
     "search_latest_version": f"""WITH {_BM25}, v AS (SELECT source, arg_max(lang, doc_id) AS lang FROM documents GROUP BY source)
       SELECT doc_id, score, row_number() OVER (ORDER BY score DESC, doc_id)::BIGINT AS rank
       FROM hits JOIN t USING (doc_id) JOIN v USING (source, lang) QUALIFY rank <= 10""",

@@ -102,6 +102,28 @@ def extract_links(spark: SparkSession, sf: str) -> DataFrame:
     return p.select("page_id", F.size("l").cast("long").alias("links"), F.size(F.filter("l", lambda x: x["is_internal"])).cast("long").alias("internal"), F.element_at("l", 1)["url"].alias("first"))
 
 
+def extract_links_fewer_skips(spark: SparkSession, sf: str) -> DataFrame:
+    """The wider extraction, over pages that also link to mail, a telephone and a place within."""
+    more = F.concat("html", F.lit('<a href="mailto:a@b.c">m</a><a href="tel:1">t</a><a href="#x">x</a><a href="javascript:void(0)">j</a>'))
+    p = _texts(spark, sf, "pages").select("page_id", html.links_column(more, F.col("url"), html.FEWER).alias("l"))
+    return p.select("page_id", F.size("l").cast("long").alias("links"), F.element_at("l", -1)["url"].alias("last"))
+
+
+def split_in_sql(spark: SparkSession, sf: str) -> DataFrame:
+    splitters.register(spark)
+    _texts(spark, sf, "documents").createOrReplaceTempView("texts_to_split")
+    return spark.sql(
+        "SELECT doc_id, CAST(n AS BIGINT) AS n, c.content, c.level, array_join(c.path, ' > ') AS path, array_join(c.types, ',') AS types "
+        "FROM (SELECT doc_id, posexplode(split_text(text)) AS (n, c) FROM texts_to_split)"
+    )
+
+
+def parse_timestamps(spark: SparkSession, sf: str) -> DataFrame:
+    """Every third text is none; it takes the default."""
+    e = load(spark, sf, "events").withColumn("said", F.when(F.col("event_id") % 3 == 0, F.lit("soon")).otherwise(F.date_format("ts", "yyyy-MM-dd HH:mm:ss")))
+    return e.select("event_id", text.timestamp_or(F.col("said"), F.lit("2000-01-01 00:00:00").cast("timestamp")).cast("timestamp_ntz").alias("at"))
+
+
 def links_dedup(spark: SparkSession, sf: str) -> DataFrame:
     found = html.links_column(F.col("html"), F.lit(""))  # without a base, references stay as they are
     return _texts(spark, sf, "pages").select("page_id", F.posexplode(found).alias("pos", "link")).select("page_id", F.col("pos").cast("long").alias("pos"), F.col("link.url").alias("href"))
@@ -236,6 +258,9 @@ SQL = markup_sql.texts(SITE, CODE) | {
       t AS (SELECT page_id, url, {_TARGET} AS target, min(pos) AS pos FROM l WHERE NOT {_NOWHERE} GROUP BY page_id, url, target),
       g AS (SELECT page_id, count(*) AS n, count(*) FILTER ({_HOST.format('target')} = {_HOST.format('url')}) AS own, arg_min(target, pos) AS f FROM t GROUP BY page_id)
       SELECT page_id, coalesce(n, 0)::BIGINT AS links, coalesce(own, 0)::BIGINT AS internal, f AS first FROM pages LEFT JOIN g USING (page_id)""",
+    "extract_links_fewer_skips": f"""WITH l AS (SELECT page_id, {_TARGET} AS target FROM (SELECT page_id, url, unnest({_HREFS}) AS href FROM pages) WHERE NOT {_NOWHERE})
+      SELECT page_id, (coalesce(n, 0) + 2)::BIGINT AS links, 'tel:1' AS last FROM pages LEFT JOIN (SELECT page_id, count(DISTINCT target) AS n FROM l GROUP BY page_id) USING (page_id)""",
+    "parse_timestamps": "SELECT event_id, coalesce(try_cast(CASE WHEN event_id % 3 = 0 THEN 'soon' ELSE strftime(ts, '%Y-%m-%d %H:%M:%S') END AS TIMESTAMP), TIMESTAMP '2000-01-01 00:00:00') AS at FROM events",
     "links_dedup": f"""WITH l AS (SELECT page_id, href, min(pos) AS p FROM (SELECT page_id, unnest(range(len({_HREFS}))) AS pos, unnest({_HREFS}) AS href FROM pages) GROUP BY page_id, href)
       SELECT page_id, (row_number() OVER (PARTITION BY page_id ORDER BY p) - 1)::BIGINT AS pos, href FROM l""",
     "links_skip": f"""SELECT page_id, count(*) FILTER (NOT {_NOWHERE})::BIGINT AS kept, count(*) FILTER ({_NOWHERE})::BIGINT AS skipped

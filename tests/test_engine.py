@@ -225,3 +225,12 @@ def test_indexing_a_stream_twice(spark, tmp_path, engine):
     assert engine.store.read("pages").count() == 6
     docs = engine.store.read("documents")
     assert docs.count() == docs.select("page_id", "sort_order").distinct().count()
+
+
+def test_a_queue_embeds_in_one_task_behind_its_limiter(spark):
+    queue = embedding.EmbeddingQueue(embedding.HashingEmbedder(8, batch=4), embedding.RateLimiter(rpm=1000, tpm=10**6, gap=0.01))
+    rows = spark.range(20).select(F.concat(F.lit("text "), "id").alias("content")).repartition(4)
+    began = time.monotonic()
+    got = embedding.embed(rows, queue)
+    assert got.rdd.getNumPartitions() == 1 and got.filter("size(embedding) = 8").count() == 20
+    assert time.monotonic() - began > 0.04  # five requests
