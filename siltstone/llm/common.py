@@ -30,6 +30,13 @@ class Written:
         df.write.option("compression", "zstd").parquet(self.path)
         self.schema = df.schema
 
+    @classmethod
+    def at(cls, spark: SparkSession, path: str, schema: str) -> Written:
+        """A table that lies there already."""
+        self = cls.__new__(cls)
+        self.spark, self.path, self.schema = spark, path, schema
+        return self
+
     @property
     def df(self) -> DataFrame:
         return self.spark.read.schema(self.schema).parquet(self.path)

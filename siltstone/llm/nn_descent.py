@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import Written, small
+from .common import Written, shared_path, small
 from .graph import components
 
 
@@ -129,6 +129,7 @@ def ties(sims: np.ndarray, s: Settings) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate([*a, i]).astype(int), np.concatenate([*b, j]).astype(int)
 
 
+PAIR = "u long, v long, sim float"
 #: ``tie``: a pair to check that belongs to no list.
 EDGE = "u long, v long, sim float, tie boolean"
 
@@ -272,15 +273,15 @@ def descend(nodes: DataFrame, n: int, s: Settings, turn: int, graph: Written | N
     """(lists from random cuts and an earlier graph, refined until few links come; pairs to check besides)."""
 
     def apart(found: DataFrame) -> DataFrame:
-        """The candidates for lists; ties are put aside."""
-        both = Written(found, "nn-compared")
-        pair = both.df.filter("tie").select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b")).distinct()
-        tied.append(Written(pair, "nn-ties"))
+        """The candidates for lists; ties lie in a folder of their own and stay."""
+        both = Compared(found)
+        tied.extend(both.part("true"))
         compared.append(both)
-        return both.df.filter("not tie").select("u", "v", "sim")
+        lists = both.part("false")
+        return (lists[0].df if lists else nodes.sparkSession.createDataFrame([], PAIR)).select("u", "v", "sim")
 
     tied: list[Written] = []
-    compared: list[Written] = []
+    compared: list[Compared] = []
     fresh = apart(cut_at_random(nodes, n, s, turn)).withColumn("old", F.lit(0))
     if graph:
         fresh = graph.df.select("u", "v", "sim", F.lit(1).alias("old")).unionByName(fresh)
@@ -300,6 +301,25 @@ def descend(nodes: DataFrame, n: int, s: Settings, turn: int, graph: Written | N
     return now, tied
 
 
+class Compared:
+    """What cells gave, written once: entries for lists and ties in folders of their own."""
+
+    def __init__(self, found: DataFrame):
+        self.spark = found.sparkSession
+        self.path = shared_path(self.spark, "nn-compared")
+        found.write.option("compression", "zstd").partitionBy("tie").parquet(self.path)
+
+    def part(self, tie: str) -> list[Written]:
+        """The table of one kind, if there is any."""
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.path}/tie={tie}")
+        there = path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(path)
+        return [Written.at(self.spark, f"{self.path}/tie={tie}", PAIR)] if there else []
+
+    def drop(self) -> None:
+        for lists in self.part("false"):
+            lists.drop()
+
+
 def verified(pairs: DataFrame, vectors: DataFrame, threshold: float) -> DataFrame:
     """(a, b) with a < b whose cosine in double precision reaches the threshold."""
     v = vectors.select(F.col("u").alias("a"), F.col("x").alias("xa"))
@@ -416,7 +436,7 @@ def near_duplicates(df: DataFrame, id_col: str = "vec_id", vector_col: str = "em
         near = graph.df.filter(F.col("sim") >= s.near)
         pairs = near.select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b"))
         for t in tied:
-            pairs = pairs.unionByName(t.df)
+            pairs = pairs.unionByName(t.df.select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b")))
         pairs = pairs.distinct()
         links = Written(verified(pairs, nodes, s.threshold), "nn-links").df
         root = Written(components(links), "nn-roots").df
