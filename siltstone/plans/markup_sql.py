@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from ..functions.splitters import OVERLAP, SIZE
+from ..functions.splitters import OVERLAP, SIZE, SLACK
 
 NL2 = "repeat(chr(10), 2)"
 STRIP = r"'^\s+|\s+$'"
@@ -58,11 +58,32 @@ WINDOWS = rf"""d AS (SELECT doc_id, hex(encode(text)) AS h, strlen(text) AS n FR
   bare AS (SELECT doc_id, start, {stripped("decode(unhex(substr(h, 2 * start + 1, 2 * (stop - start))))")} AS content FROM w JOIN d USING (doc_id) WHERE stop IS NOT NULL),
   pieces AS (SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY start) - 1)::BIGINT AS n, content FROM bare WHERE content <> '')"""
 
+
+def last_mark(digits: str) -> str:
+    """Bytes before the last such mark in ``ahead``, or null."""
+    return f"CASE WHEN regexp_matches(ahead, '^(..)*{digits}') THEN length(regexp_extract(ahead, '^((?:..)*){digits}', 1)) // 2 END"
+
+
+#: A page's Markdown is one section; its windows end after the last blank line, or line feed, before 1,700 bytes.
+SECTION_WINDOWS = rf"""d AS (SELECT page_id, content, hex(encode(content)) AS h, strlen(content) AS n FROM md),
+  w(page_id, start, stop) AS (
+    SELECT page_id, 0::BIGINT, NULL::BIGINT FROM d
+    UNION ALL
+    SELECT page_id, start, CASE WHEN cut >= n THEN n WHEN two + 2 > {OVERLAP} THEN start + two + 2 WHEN one + 1 > {OVERLAP} THEN start + one + 1 ELSE cut END FROM (
+      SELECT *, {last_mark('0A0A')} AS two, {last_mark('0A')} AS one FROM (
+        SELECT *, substr(h, 2 * start + 1, 2 * (least({whole_character(f"(start + {SIZE + SLACK})")}, n) - start)) AS ahead FROM (
+          SELECT *, least({whole_character(f"(start + {SIZE})")}, n) AS cut FROM (
+            SELECT page_id, h, n, CASE WHEN stop IS NULL THEN 0 ELSE greatest(back, start + 1) END AS start FROM (
+              SELECT w.*, h, n, {whole_character(f"(stop - {OVERLAP})")} AS back FROM w JOIN d USING (page_id) WHERE stop IS NULL OR stop < n)))))),
+  pieces AS (SELECT page_id, row_number() OVER (PARTITION BY page_id ORDER BY start) - 1 AS n, decode(unhex(substr(h, 2 * start + 1, 2 * (stop - start)))) AS content,
+    trim(regexp_extract(d.content, '^#([^\n]*)', 1)) AS path FROM w JOIN d USING (page_id) WHERE stop IS NOT NULL)"""
+
 #: A bucket of 60 requests and one of 20,000 tokens a minute, filled as time goes, and 0.1 s between requests.
 CJK = r"[\x{4e00}-\x{9fff}\x{3040}-\x{309f}\x{30a0}-\x{30ff}\x{ac00}-\x{d7af}]"
 TOKENS = f"(greatest(1, (length(text) - length(regexp_replace(text, '{CJK}', '', 'g'))) + greatest(1, length(regexp_replace(text, '{CJK}', '', 'g')) // 4)) + 5)::BIGINT"
 
 STREAMS = {
+    "index_pages": f"WITH RECURSIVE {PAGE}, {SECTION_WINDOWS} SELECT page_id, n::INTEGER AS sort_order, content, 1 AS level, 64::BIGINT AS dim FROM pieces",
     "progress_throttle": """WITH RECURSIVE e AS (SELECT user_id, epoch_us(ts) / 1e6::DOUBLE AS "at", row_number() OVER (PARTITION BY user_id ORDER BY ts) AS n FROM events),
       r AS (SELECT user_id, n, "at", true AS sent, "at" AS last FROM e WHERE n = 1
         UNION ALL SELECT e.user_id, e.n, e."at", e.n <= 5 OR e."at" - r.last >= 7200, CASE WHEN e.n <= 5 OR e."at" - r.last >= 7200 THEN e."at" ELSE r.last END
@@ -116,6 +137,7 @@ def texts(site: list[tuple[str, str]], code: list[tuple[str, str]]) -> dict[str,
           {packed(f"(r.held + 1 + strlen(p.part) + 1 > {SIZE} OR r.lines >= 100)")}
           SELECT doc_id, g::BIGINT AS n, content, 0 AS level, 'module' AS path, 'code,go' AS types FROM packed""",
         "split_text": f"WITH RECURSIVE {WINDOWS} SELECT doc_id, n, content, 0 AS level, '' AS path, 'text' AS types FROM pieces",
+        "split_markdown": f"WITH RECURSIVE {PAGE}, {SECTION_WINDOWS} SELECT page_id, n::BIGINT AS n, content, 1 AS level, path, 'text' AS types FROM pieces",
         "split_in_sql": f"WITH RECURSIVE {WINDOWS} SELECT doc_id, n, content, 0 AS level, '' AS path, 'text' AS types FROM pieces",
         "embed_chunks": f"WITH RECURSIVE {WINDOWS} SELECT doc_id, n, 64::BIGINT AS dim FROM pieces",
     }
