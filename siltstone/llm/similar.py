@@ -3,7 +3,8 @@
 Fingerprints that differ in few bits of 64 (``simhash``) are nearly equal texts.
 Texts of similarity 0.8 differ in some 15 % of their bits, so here fingerprints
 are longer, pairs meet where they agree on some of many drawn bits, and every
-link is verified by the shingles themselves.
+link is verified by the shingles themselves. Links that this misses are then
+found by the shingles alone: similar sets share one of their first shingles.
 """
 
 from __future__ import annotations
@@ -13,10 +14,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import Written, short_batches, small
+from .graph import components
 from .simhash import BROADCAST_KEYS, grouped, in_units
 from .words import word_hashes
 
@@ -27,6 +29,10 @@ MIX = np.random.Generator(np.random.PCG64(21)).integers(0, 1 << 63, WIDE, dtype=
 PIVOTS = np.random.Generator(np.random.PCG64(22)).integers(0, 1 << 63, (12, WIDE), dtype=np.uint64)
 #: Fingerprints of a group whose pairs are all looked at; of larger groups a nearest tree is.
 FEW = 64
+#: One text of so many is asked for frequent shingles; those in so many of them count as such, and so many at most.
+SAMPLE, OFTEN, MOST_OFTEN = 16, 4, 1 << 15
+#: Pairs that a task holds before it hands them on.
+PAIRS = 1 << 18
 
 
 @dataclass(frozen=True)
@@ -36,7 +42,7 @@ class Settings:
     There are as many drawings of bits as let a pair at that similarity meet
     with probability ``met``, however many bits a drawing takes to keep groups
     of unlike texts at about ``group``. Pairs beyond ``most`` deviations of the
-    bits that such a pair differs in are not verified.
+    bits that such a pair differs in are left to the search by shingles.
     """
 
     shingle: int = 5
@@ -57,6 +63,14 @@ class Settings:
         bits = 64 * WIDE
         return int(bits * self.differ + self.most * np.sqrt(bits * self.differ * (1 - self.differ)))
 
+    def rest(self, n: np.ndarray) -> np.ndarray:
+        """What a set of ``n`` has besides its first shingles: too few to link with a set that has none of those."""
+        return np.ceil(self.similarity * n - 1e-6).astype(np.int64) - 1
+
+    def need(self, n: np.ndarray, m: np.ndarray) -> np.ndarray:
+        """First shingles that sets of ``n`` and ``m`` share at least if they link, as they share no more of the others than one has."""
+        return np.ceil(self.similarity / (1 + self.similarity) * (n + m) - 1e-6).astype(np.int64) - np.maximum(self.rest(n), self.rest(m))
+
     def drawings(self, n: int) -> np.ndarray:
         """A row of bits for each drawing."""
         bits = int(np.clip(np.round(np.log2(max(2, n) / self.group)), 4, 40))
@@ -90,13 +104,18 @@ def wide(found: np.ndarray) -> np.ndarray:
     return np.packbits(2 * ones > len(found), axis=1, bitorder="little").view("<u8").ravel()
 
 
+def name(found: np.ndarray) -> int:
+    """A hash of a set of shingles; of none: zero."""
+    return int(np.bitwise_xor.reduce((found ^ found >> np.uint64(33)) * MIX[0])) ^ len(found) if len(found) else 0
+
+
 def sketched(docs: DataFrame, s: Settings) -> DataFrame:
     """(doc_id, text_hash, node, w): w the fingerprint, node a hash of the set of shingles."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = [shingles(t, s.shingle) for t in batch.column("text").to_pylist()]
-            node = np.array([int(np.bitwise_xor.reduce((x ^ x >> np.uint64(33)) * MIX[0])) ^ len(x) if len(x) else 0 for x in sets], dtype=np.uint64)
+            node = np.array([name(x) for x in sets], dtype=np.uint64)
             w = pa.array([wide(x).tobytes() for x in sets], pa.binary())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_hash"), pa.array(node.view(np.int64)), w], ["doc_id", "text_hash", "node", "w"])
 
@@ -195,6 +214,122 @@ def candidates(unique: DataFrame, s: Settings) -> DataFrame:
     return dealt.mapInArrow(pairs, "a long, b long").distinct()
 
 
+def frequent(docs: DataFrame, s: Settings) -> np.ndarray:
+    """Shingles that a sample of ``docs`` has often, the most frequent last."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for t in batch.column("text").to_pylist():
+                yield pa.RecordBatch.from_arrays([pa.array(shingles(t, s.shingle).view(np.int64))], ["key"])
+
+    found = docs.filter(F.pmod("text_hash", F.lit(SAMPLE)) == 0).dropDuplicates(["text_hash"]).mapInArrow(run, "key long").groupBy("key").count()
+    top = found.filter(F.col("count") >= OFTEN).orderBy(F.desc("count"), "key").limit(MOST_OFTEN).collect()
+    return np.array([r["key"] for r in reversed(top)], dtype=np.int64).view(np.uint64)
+
+
+def ordered(found: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """``found`` (ascending) with those in ``last`` at the end, in its order."""
+    _, at, place = np.intersect1d(found, last, assume_unique=True, return_indices=True)
+    return np.concatenate([np.delete(found, at), last[np.sort(place)]])
+
+
+def firsts(docs: DataFrame, last: np.ndarray, s: Settings) -> DataFrame:
+    """(node, size, keys): the first shingles of each set, at most once a task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = {0}
+        for batch in batches:
+            out = []
+            for t in batch.column("text").to_pylist():
+                x = shingles(t, s.shingle)
+                if (node := name(x)) not in seen:
+                    seen.add(node)
+                    out.append((node, len(x), ordered(x, last)[: len(x) - int(s.rest(len(x)))].view(np.int64)))
+            node = np.array([x[0] for x in out], dtype=np.uint64).view(np.int64)
+            keys = pa.array([x[2] for x in out], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([pa.array(node), pa.array([x[1] for x in out], pa.int32()), keys], ["node", "size", "keys"])
+
+    return docs.select("text").mapInArrow(run, "node long, size int, keys array<long>")
+
+
+def meeting(group: np.ndarray, root: np.ndarray, size: np.ndarray, s: Settings) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """All pairs within runs of equal ``group`` numbers that are not joined yet and of sizes that may link."""
+
+    def ok(i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        return (root[i] != root[j]) & (np.minimum(size[i], size[j]) >= s.similarity * np.maximum(size[i], size[j]) - 1e-6)
+
+    new = np.flatnonzero(np.diff(group, prepend=-1))
+    length = np.diff(np.append(new, len(group)))
+    few = np.repeat(length <= FEW, length)
+    at = np.flatnonzero(few)
+    for d in range(1, int(length[length <= FEW].max(initial=0))):
+        i = np.flatnonzero(group[at[:-d]] == group[at[d:]])
+        i, j = at[i], at[i + d]
+        both = ok(i, j)
+        yield i[both], j[both]
+    for k in np.flatnonzero(length > FEW):
+        for x in range(new[k], new[k] + length[k] - 1):
+            j = np.arange(x + 1, new[k] + length[k])
+            j = j[ok(np.full(len(j), x), j)]
+            yield np.full(len(j), x), j
+
+
+def left(docs: DataFrame, roots: DataFrame, s: Settings) -> DataFrame:
+    """(a, b): all pairs of nodes to verify that ``roots`` (node, root) does not join yet.
+
+    In one order of all shingles, sets that link share some of their first ones
+    (``Settings.need``), so no pair is missed. Frequent shingles come last in
+    that order, which a sample decides: it bears on the size of groups only.
+    Shingles whose sets are joined already are dropped before pairs are made.
+    """
+    sets = firsts(docs, frequent(docs, s), s).join(small(roots, BROADCAST_KEYS), "node", "left")
+    keyed = sets.select("node", F.coalesce("root", "node").alias("root"), "size", F.explode("keys").alias("key"))
+    same = Window.partitionBy("key")
+    between = keyed.withColumns({"low": F.min("root").over(same), "high": F.max("root").over(same)}).filter("low < high")
+    met = Written(between.drop("low", "high").dropDuplicates(["key", "node"]), "similar-met").df
+    dealt, units = in_units(met, "node", ("key",), s.unit)
+
+    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = (*units, "node", "root", "size")
+
+        def out(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
+            group = np.cumsum(np.append(0, (rows[: len(units), 1:] != rows[: len(units), :-1]).any(axis=0))) if rows.shape[1] else np.empty(0, np.int64)
+            node, root, size = rows[len(units) :]
+            found, n = [], 0
+
+            def counted() -> pa.RecordBatch:
+                i, j = (np.concatenate([x[k] for x in found] or [np.empty(0, np.int64)]) for k in (0, 1))
+                low, high = np.minimum(node[i], node[j]), np.maximum(node[i], node[j])
+                order = np.lexsort((high, low))
+                low, high, need = low[order], high[order], s.need(size[i], size[j])[order]
+                new = np.flatnonzero(np.append(True, (low[1:] != low[:-1]) | (high[1:] != high[:-1]))[: len(low)])
+                return pa.RecordBatch.from_arrays([pa.array(x) for x in (low[new], high[new], need[new], np.diff(np.append(new, len(low))))], ["a", "b", "need", "n"])
+
+            for pair in meeting(group, root, size, s):
+                found.append(pair)
+                n += len(pair[0])
+                if n > PAIRS:
+                    yield counted()
+                    found, n = [], 0
+            yield counted()
+
+        held, n = [], 0
+        for batch in batches:
+            held.append(np.stack([batch.column(k).to_numpy().astype(np.int64) for k in names]))
+            n += batch.num_rows
+            if n > s.unit:
+                rows = np.concatenate(held, axis=1)
+                change = np.flatnonzero((rows[: len(units), 1:] != rows[: len(units), :-1]).any(axis=0))
+                cut = int(change[-1]) + 1 if len(change) else 0
+                yield from out(rows[:, :cut])
+                held, n = [rows[:, cut:]], 0
+        if held:
+            yield from out(np.concatenate(held, axis=1))
+
+    counts = dealt.mapInArrow(pairs, "a long, b long, need long, n long").groupBy("a", "b").agg(F.max("need").alias("need"), F.sum("n").alias("n"))
+    return counts.filter("n >= need").select("a", "b")
+
+
 def verified(pairs: DataFrame, texts: DataFrame, s: Settings) -> DataFrame:
     """(a, b) of the pairs whose sets of shingles are similar enough, from texts (node, text)."""
 
@@ -223,23 +358,29 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     Texts with equal sets of shingles count once. Pairs meet in groups of
     fingerprints that agree on drawn bits: in a small group distances to pivots
     discard pairs, in a larger one a shortest tree names as many pairs as it
-    has members, so no group emits all its pairs; survivors are verified by
-    their shingles, so no link lies below the similarity, and few at it are
-    missed. ``component_id`` and ``kept`` are as in ``simhash.near_duplicates``,
-    as are null ids, rows that repeat and empty tables. ASCII letters are
-    compared in lower case. Texts without words are one group; a text of any
-    length is read whole; other columns are not read.
+    has members. That joins most of what is similar; then all pairs that share
+    one of their first shingles are looked at, unless they are joined already,
+    so none at the similarity is missed. All are verified by their
+    shingles, so no link lies below it. ``component_id`` and ``kept`` are as in
+    ``simhash.near_duplicates``, as are null ids, rows that repeat and empty
+    tables. ASCII letters are compared in lower case. Texts without words are
+    one group; a text of any length is read whole; other columns are not read.
     """
     s = settings
     short_batches(docs.sparkSession)
     own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("text_hash"), F.col(text_col).alias("text"))
     rows = Written(sketched(own, s), "similar-rows").df
     unique = Written(rows.groupBy("node").agg(F.min("w").alias("w")), "similar-unique").df
-    pairs = Written(candidates(unique, s), "similar-pairs").df
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    firsts = rows.groupBy("node").agg(F.min(F.struct("doc_id", "text_hash")).alias("head"))  # before the join: a node may hold a third of all rows
-    heads = firsts.join(wanted, "node", "left_semi")
-    heads = small(Written(heads.select("node", F.col("head.doc_id").alias("h_id"), F.col("head.text_hash").alias("h_hash")), "similar-heads").df, BROADCAST_KEYS)
-    texts = own.join(heads, F.col("doc_id").eqNullSafe(F.col("h_id")) & (F.col("text_hash") == F.col("h_hash")))
-    links = Written(verified(pairs, texts.select("node", "text").dropDuplicates(["node"]), s), "similar-links").df
+
+    def linked(pairs: DataFrame) -> DataFrame:
+        pairs = Written(pairs, "similar-pairs").df
+        wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+        first = rows.groupBy("node").agg(F.min(F.struct("doc_id", "text_hash")).alias("head"))  # before the join: a node may hold a third of all rows
+        heads = first.join(wanted, "node", "left_semi")
+        heads = small(Written(heads.select("node", F.col("head.doc_id").alias("h_id"), F.col("head.text_hash").alias("h_hash")), "similar-heads").df, BROADCAST_KEYS)
+        texts = own.join(heads, F.col("doc_id").eqNullSafe(F.col("h_id")) & (F.col("text_hash") == F.col("h_hash")))
+        return Written(verified(pairs, texts.select("node", "text").dropDuplicates(["node"]), s), "similar-links").df
+
+    most = linked(candidates(unique, s))
+    links = most.unionByName(linked(left(own, Written(components(most), "similar-roots").df, s)))
     return grouped(rows.drop("w"), links).select("doc_id", "text_hash", F.col("head")["doc_id"].alias("component_id"), "kept")

@@ -67,6 +67,32 @@ def test_groups_against_all_pairs(spark, unit):
     assert len({r["component_id"] for r in got if of[r["doc_id"]] == of[240]}) == 1  # the hot group
 
 
+@pytest.mark.parametrize("unit", [16_384, 40])
+def test_no_link_of_a_large_group_is_left_out(spark, unit):
+    """Over FEW texts about the threshold: a shortest tree holds few of their links."""
+    rng = random.Random(5)
+    texts = [changed([f"t{k}" for k in range(200)], 3, rng) for _ in range(250)]
+    rows = [(i, t, 1, "", "", "") for i, t in enumerate(texts)]
+    got = similar.similar_documents(spark.createDataFrame(rows, SCHEMA), settings=similar.Settings(unit=unit)).collect()
+    of = classes(texts)
+    assert {r["doc_id"]: r["component_id"] for r in got} == {i: of.index(c) for i, c in enumerate(of)}
+    assert 20 < len(set(of)) < 100
+
+
+@pytest.mark.parametrize("often", [16, 1])
+def test_first_shingles_meet(spark, often, monkeypatch):
+    """Without any other link, all that is similar meets by its first shingles, whatever their order."""
+    monkeypatch.setattr(similar, "OFTEN", often)
+    monkeypatch.setattr(similar, "SAMPLE", 2)
+    texts = [t for t in corpus(4)[:300:2] if t]
+    df = spark.createDataFrame(list(enumerate(texts)), "text_hash long, text string")
+    got = {tuple(sorted(r)) for r in similar.left(df, spark.createDataFrame([], "node long, root long"), similar.Settings()).collect()}
+    sets = [plain(t) for t in texts]
+    node = [int(np.uint64(similar.name(similar.shingles(t, 5))).astype(np.int64)) for t in texts]
+    want = {tuple(sorted((node[i], node[j]))) for i in range(len(texts)) for j in range(i) if node[i] != node[j] and likeness(sets[i], sets[j]) >= 0.8}
+    assert want <= got and len(want) > 100
+
+
 def test_odd_rows(spark):
     rows = [(7, "x y", 0, "", "", ""), (7, "x y", 0, "", "", ""), (None, "X  y", 0, "", "", ""), (9, None, 0, "", "", ""), (None, None, 0, "", "", "")]
     got = similar.similar_documents(spark.createDataFrame(rows, SCHEMA)).collect()
