@@ -33,6 +33,8 @@ FEW = 64
 SAMPLE, OFTEN, MOST_OFTEN = 16, 4, 1 << 15
 #: Pairs that a task holds before it hands them on.
 PAIRS = 1 << 18
+#: Bits of a set's parities: two to four for each shingle, in these limits.
+LEAST_BITS, MOST_BITS = 256, 4096
 
 
 @dataclass(frozen=True)
@@ -71,6 +73,10 @@ class Settings:
         """First shingles that sets of ``n`` and ``m`` share at least if they link, as they share no more of the others than one has."""
         return np.ceil(self.similarity / (1 + self.similarity) * (n + m) - 1e-6).astype(np.int64) - np.maximum(self.rest(n), self.rest(m))
 
+    def apart(self, n: np.ndarray, m: np.ndarray) -> np.ndarray:
+        """What sets of ``n`` and ``m`` that link have at most in one of them only."""
+        return np.floor((1 - self.similarity) / (1 + self.similarity) * (n + m) + 1e-6).astype(np.int64)
+
     def drawings(self, n: int) -> np.ndarray:
         """A row of bits for each drawing."""
         bits = int(np.clip(np.round(np.log2(max(2, n) / self.group)), 4, 40))
@@ -109,6 +115,42 @@ def name(found: np.ndarray) -> int:
     return int(np.bitwise_xor.reduce((found ^ found >> np.uint64(33)) * MIX[0])) ^ len(found) if len(found) else 0
 
 
+def parity(found: np.ndarray) -> bytes:
+    """For each of some numbers, whether an odd count of hashes falls on it.
+
+    Two sets' parities differ in no more bits than there are shingles in one of
+    the sets only, as what they share cancels. Halves laid over each other
+    (exclusive or) are the parities for half as many numbers.
+    """
+    bits = min(max(1 << (2 * len(found) - 1).bit_length(), LEAST_BITS), MOST_BITS) if len(found) else LEAST_BITS
+    at = (found * MIX[1] >> np.uint64(52)).astype(np.int64) % bits
+    return np.packbits((np.bincount(at, minlength=bits) & 1).astype(np.uint8), bitorder="little").tobytes()
+
+
+class Parities:
+    """Parities of rows, of any of the widths or None, at every width up to a row's own."""
+
+    def __init__(self, rows: list[bytes | None]):
+        self.width = np.array([8 * len(r or b"") for r in rows], dtype=np.int64)
+        m = np.zeros((len(rows), int(self.width.max(initial=0)) // 64), dtype=np.uint64)
+        for bits in np.unique(self.width[self.width > 0]):
+            at = np.flatnonzero(self.width == bits)
+            m[at, : bits // 64] = np.frombuffer(b"".join(rows[k] for k in at), dtype="<u8").reshape(len(at), -1)
+        self.levels = [m]
+        while (half := self.levels[0].shape[1] // 2) >= LEAST_BITS // 64:
+            self.levels.insert(0, self.levels[0][:, :half] ^ self.levels[0][:, half:])
+
+    def within(self, i: np.ndarray, j: np.ndarray, most: np.ndarray) -> np.ndarray:
+        """Which pairs may differ in at most ``most`` shingles; those without parities may."""
+        ok, both = np.arange(len(i)), np.minimum(self.width[i], self.width[j])
+        for m in self.levels if both.any() else []:
+            stay = both[ok] < 64 * m.shape[1]
+            at = ok[~stay]
+            stay[~stay] = apart(m[i[at]], m[j[at]]) <= most[at]
+            ok = ok[stay]
+        return ok
+
+
 def sketched(docs: DataFrame, s: Settings) -> DataFrame:
     """(doc_id, text_hash, node, w): w the fingerprint, node a hash of the set of shingles."""
 
@@ -274,28 +316,58 @@ def meeting(group: np.ndarray, root: np.ndarray, size: np.ndarray, s: Settings)
             yield np.full(len(j), x), j
 
 
-def left(docs: DataFrame, roots: DataFrame, s: Settings) -> DataFrame:
+def one_text(nodes: DataFrame, rows: DataFrame, docs: DataFrame) -> DataFrame:
+    """(node, text) of ``nodes``, read from one row of each."""
+    first = rows.groupBy("node").agg(F.min(F.struct("doc_id", "text_hash")).alias("head"))  # before the join: a node may hold a third of all rows
+    heads = first.join(nodes, "node", "left_semi")
+    heads = small(Written(heads.select("node", F.col("head.doc_id").alias("h_id"), F.col("head.text_hash").alias("h_hash")), "similar-heads").df, BROADCAST_KEYS)
+    texts = docs.join(heads, F.col("doc_id").eqNullSafe(F.col("h_id")) & (F.col("text_hash") == F.col("h_hash")))
+    return texts.select("node", "text").dropDuplicates(["node"])
+
+
+def with_parities(met: DataFrame, rows: DataFrame, docs: DataFrame, s: Settings) -> DataFrame:
+    """``met`` with the parities of sets in large groups (``many``), else null."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [parity(shingles(t, s.shingle)) for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(found, pa.binary())], ["node", "parity"])
+
+    many = met.filter("many")
+    found = Written(one_text(many.select("node").distinct(), rows, docs).mapInArrow(run, "node long, parity binary"), "similar-parities").df
+    large = Written(many.join(found, "node", "left"), "similar-large").df
+    return met.filter("not many").withColumn("parity", F.lit(None).cast("binary")).unionByName(large).drop("many")
+
+
+def left(docs: DataFrame, roots: DataFrame, s: Settings, rows: DataFrame | None = None) -> DataFrame:
     """(a, b): all pairs of nodes to verify that ``roots`` (node, root) does not join yet.
 
     In one order of all shingles, sets that link share some of their first ones
     (``Settings.need``), so no pair is missed. Frequent shingles come last in
     that order, which a sample decides: it bears on the size of groups only.
     Shingles whose sets are joined already are dropped before pairs are made.
+    In groups of over FEW sets, those whose parities differ in more bits than
+    sets that link have different shingles make no pair: what unlike texts
+    have in common, a passage say, makes none. ``rows`` are those that
+    ``sketched`` gives for ``docs`` (doc_id, text_hash, text), if they are there already.
     """
+    if rows is None:
+        docs = docs if "doc_id" in docs.columns else docs.withColumn("doc_id", F.lit(None).cast("long"))
+        rows = sketched(docs, s)
     sets = firsts(docs, frequent(docs, s), s).join(small(roots, BROADCAST_KEYS), "node", "left")
     keyed = sets.select("node", F.coalesce("root", "node").alias("root"), "size", F.explode("keys").alias("key"))
     same = Window.partitionBy("key")
-    between = keyed.withColumns({"low": F.min("root").over(same), "high": F.max("root").over(same)}).filter("low < high")
+    between = keyed.withColumns({"low": F.min("root").over(same), "high": F.max("root").over(same), "many": F.count("*").over(same) > FEW}).filter("low < high")
     met = Written(between.drop("low", "high").dropDuplicates(["key", "node"]), "similar-met").df
-    dealt, units = in_units(met, "node", ("key",), s.unit)
+    dealt, units = in_units(with_parities(met, rows, docs, s), "node", ("key",), s.unit)
 
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = (*units, "node", "root", "size")
 
-        def out(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
+        def out(rows: np.ndarray, parities: list[bytes | None]) -> Iterator[pa.RecordBatch]:
             group = np.cumsum(np.append(0, (rows[: len(units), 1:] != rows[: len(units), :-1]).any(axis=0))) if rows.shape[1] else np.empty(0, np.int64)
             node, root, size = rows[len(units) :]
-            found, n = [], 0
+            bits, found, n = Parities(parities), [], 0
 
             def counted() -> pa.RecordBatch:
                 i, j = (np.concatenate([x[k] for x in found] or [np.empty(0, np.int64)]) for k in (0, 1))
@@ -305,26 +377,28 @@ def left(docs: DataFrame, roots: DataFrame, s: Settings) -> DataFrame:
                 new = np.flatnonzero(np.append(True, (low[1:] != low[:-1]) | (high[1:] != high[:-1]))[: len(low)])
                 return pa.RecordBatch.from_arrays([pa.array(x) for x in (low[new], high[new], need[new], np.diff(np.append(new, len(low))))], ["a", "b", "need", "n"])
 
-            for pair in meeting(group, root, size, s):
-                found.append(pair)
-                n += len(pair[0])
+            for i, j in meeting(group, root, size, s):
+                ok = bits.within(i, j, s.apart(size[i], size[j]))
+                found.append((i[ok], j[ok]))
+                n += len(ok)
                 if n > PAIRS:
                     yield counted()
                     found, n = [], 0
             yield counted()
 
-        held, n = [], 0
+        held, parities, n = [], [], 0
         for batch in batches:
             held.append(np.stack([batch.column(k).to_numpy().astype(np.int64) for k in names]))
+            parities += batch.column("parity").to_pylist()
             n += batch.num_rows
             if n > s.unit:
                 rows = np.concatenate(held, axis=1)
                 change = np.flatnonzero((rows[: len(units), 1:] != rows[: len(units), :-1]).any(axis=0))
                 cut = int(change[-1]) + 1 if len(change) else 0
-                yield from out(rows[:, :cut])
-                held, n = [rows[:, cut:]], 0
+                yield from out(rows[:, :cut], parities[:cut])
+                held, parities, n = [rows[:, cut:]], parities[cut:], 0
         if held:
-            yield from out(np.concatenate(held, axis=1))
+            yield from out(np.concatenate(held, axis=1), parities)
 
     counts = dealt.mapInArrow(pairs, "a long, b long, need long, n long").groupBy("a", "b").agg(F.max("need").alias("need"), F.sum("n").alias("n"))
     return counts.filter("n >= need").select("a", "b")
@@ -375,12 +449,8 @@ def similar_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     def linked(pairs: DataFrame) -> DataFrame:
         pairs = Written(pairs, "similar-pairs").df
         wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-        first = rows.groupBy("node").agg(F.min(F.struct("doc_id", "text_hash")).alias("head"))  # before the join: a node may hold a third of all rows
-        heads = first.join(wanted, "node", "left_semi")
-        heads = small(Written(heads.select("node", F.col("head.doc_id").alias("h_id"), F.col("head.text_hash").alias("h_hash")), "similar-heads").df, BROADCAST_KEYS)
-        texts = own.join(heads, F.col("doc_id").eqNullSafe(F.col("h_id")) & (F.col("text_hash") == F.col("h_hash")))
-        return Written(verified(pairs, texts.select("node", "text").dropDuplicates(["node"]), s), "similar-links").df
+        return Written(verified(pairs, one_text(wanted, rows, own), s), "similar-links").df
 
     most = linked(candidates(unique, s))
-    links = most.unionByName(linked(left(own, Written(components(most), "similar-roots").df, s)))
+    links = most.unionByName(linked(left(own, Written(components(most), "similar-roots").df, s, rows)))
     return grouped(rows.drop("w"), links).select("doc_id", "text_hash", F.col("head")["doc_id"].alias("component_id"), "kept")

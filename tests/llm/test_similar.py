@@ -93,6 +93,42 @@ def test_first_shingles_meet(spark, often, monkeypatch):
     assert want <= got and len(want) > 100
 
 
+@pytest.mark.parametrize("unit", [16_384, 100])
+def test_a_common_passage_makes_no_pairs(spark, unit, monkeypatch):
+    """Texts that share half of themselves are unlike: their number of pairs does not grow with its square."""
+    monkeypatch.setattr(similar, "OFTEN", 10_000)  # no shingle counts as frequent
+    rng = random.Random(6)
+    passage = [f"p{k}" for k in range(100)]
+    texts = [" ".join([*passage, *(f"{k}x{i}" for k in range(40))]) for i in range(200)]
+    texts += [changed(passage * 5 + [f"q{k}" for k in range(3000)], rng.randrange(50), rng) for _ in range(70)]  # long, more than FEW, all links
+    df = spark.createDataFrame(list(enumerate(texts)), "text_hash long, text string")
+    got = {tuple(sorted(r)) for r in similar.left(df, spark.createDataFrame([], "node long, root long"), similar.Settings(unit=unit)).collect()}
+    sets = [plain(t) for t in texts]
+    node = [int(np.uint64(similar.name(similar.shingles(t, 5))).astype(np.int64)) for t in texts]
+    want = {tuple(sorted((node[i], node[j]))) for i in range(len(texts)) for j in range(i) if node[i] != node[j] and likeness(sets[i], sets[j]) >= 0.8}
+    assert want <= got and len(want) > 2000
+    short = set(node[:200])
+    assert not [p for p in got if short & set(p)]
+
+
+@pytest.mark.parametrize("n", [3, 90, 700, 5000])
+def test_parities_differ_in_no_more_than_the_sets(n):
+    rng = np.random.Generator(np.random.PCG64(4))
+    s, pool = similar.Settings(), rng.integers(1, 1 << 63, 3 * n, dtype=np.uint64)
+    sets = [np.unique(rng.choice(pool, rng.integers(n // 2, n + 1), replace=False)) for _ in range(20)]
+    sets += [np.unique(np.append(x[: len(x) - k], pool[:k])) for x in sets for k in (0, len(x) // 20, len(x) // 9, len(x) // 5)]
+    bits = similar.Parities([similar.parity(x) for x in sets] + [None])
+    i, j = np.triu_indices(len(sets), 1)
+    apart = np.array([len(np.setxor1d(sets[a], sets[b])) for a, b in zip(i, j)])
+    assert len(bits.within(i, j, apart)) == len(i)
+    size = np.array([len(x) for x in sets])
+    links = np.array([likeness(set(sets[a].tolist()), set(sets[b].tolist())) >= 0.8 for a, b in zip(i, j)])
+    assert (links == (apart <= s.apart(size[i], size[j]))).all() and links.any()
+    assert len(bits.within(i, j, s.apart(size[i], size[j]))) < len(i)
+    none = np.full(5, len(sets))
+    assert len(bits.within(none, np.arange(5), np.zeros(5))) == 5
+
+
 def test_odd_rows(spark):
     rows = [(7, "x y", 0, "", "", ""), (7, "x y", 0, "", "", ""), (None, "X  y", 0, "", "", ""), (9, None, 0, "", "", ""), (None, None, 0, "", "", "")]
     got = similar.similar_documents(spark.createDataFrame(rows, SCHEMA)).collect()
