@@ -23,6 +23,6 @@ def cut(sf, tmp_path_factory):
     return str(root)
 
 
-@pytest.mark.parametrize("name", ["extract_title", "html_to_markdown", "index_pages", "main_text", "process_pages"])
+@pytest.mark.parametrize("name", ["extract_title", "html_to_markdown", "index_pages", "main_text", "process_pages", "split_markdown"])
 def test_query_equals_sql(spark, cut, name):
     same_rows(registry.queries()[name](spark, cut), registry.oracle_sql()[name], cut)
