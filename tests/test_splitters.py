@@ -1,5 +1,6 @@
 """Splitters: the assertions of FIXTURES.md and properties."""
 
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -87,3 +88,25 @@ def test_code():
     assert sp.split_code("func (p *P) Get() int {\n\treturn 1\n}", "go")[0].level == 2
     assert sp.split_code("", "rust") == []
     assert all(sp.size(c.content) <= 1500 for c in sp.split_code("fn f() {\n" + "  x();\n" * 900 + "}\n", "rust"))
+
+
+#: A batch of some 7 MB, whose rows say nothing of its size.
+BATCH = pa.array(["word " * 200 + "end"] * 4000 + [None, "", "x" * 3_000_000, "é\n" * 1000])
+
+
+def portions_of(split) -> int:
+    """Splits ``BATCH`` as a column does and compares the chunks; the texts that were split when the first left."""
+    done = []
+    out = sp.splitter(lambda t: done.append(t) or split(t)).func(iter([BATCH]))
+    got, first = next(out).to_pylist(), len(done)
+    got += [x for part in out for x in part.to_pylist()]
+    assert got == [[vars(c) for c in split(t)] for t in BATCH.to_pylist()]
+    return first
+
+
+def test_chunks_of_a_batch_leave_in_portions(spark):
+    assert portions_of(sp.split_text) <= 1100
+    sp.register(spark)
+    spark.createDataFrame([(1, "a b " * 500_000), (2, None), (3, "c"), (4, "")], "id int, text string").coalesce(1).createOrReplaceTempView("t")
+    got = spark.sql("SELECT id, n, c.content FROM (SELECT id, posexplode(split_text(text)) AS (n, c) FROM t)").collect()
+    assert sorted(got)[:-1] == [(1, n, c.content) for n, c in enumerate(sp.split_text("a b " * 500_000))] and sorted(got)[-1] == (3, 0, "c")
