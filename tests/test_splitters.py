@@ -110,3 +110,7 @@ def test_chunks_of_a_batch_leave_in_portions(spark):
     spark.createDataFrame([(1, "a b " * 500_000), (2, None), (3, "c"), (4, "")], "id int, text string").coalesce(1).createOrReplaceTempView("t")
     got = spark.sql("SELECT id, n, c.content FROM (SELECT id, posexplode(split_text(text)) AS (n, c) FROM t)").collect()
     assert sorted(got)[:-1] == [(1, n, c.content) for n, c in enumerate(sp.split_text("a b " * 500_000))] and sorted(got)[-1] == (3, 0, "c")
+
+
+def test_lines_of_a_batch_leave_in_portions():
+    assert portions_of(lambda t: sp.split_code(t, "go")) <= 1100
