@@ -11,6 +11,7 @@ from typing import Protocol
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -139,17 +140,21 @@ def embed(chunks: DataFrame, embedder: Embedder, text_col: str = "content") -> D
     if isinstance(embedder, EmbeddingQueue):  # one limiter for all requests
         chunks = chunks.coalesce(1)
 
-    @F.pandas_udf("array<float>")
-    def vectors(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for texts in batches:
-            out: list = []
-            for i in range(0, len(texts), embedder.batch):
-                out += embedder.embed_batch([t or "" for t in texts[i : i + embedder.batch]])
-            yield pd.Series(out, dtype=object)
+    @F.arrow_udf("array<float>")
+    def vectors(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        return embedded(batches, embedder)
 
     return chunks.withColumn("embedding", vectors(F.col(text_col)))
 
 
+def embedded(batches: Iterator[pa.Array], embedder: Embedder) -> Iterator[pa.Array]:
+    """The vectors of batches of texts, a request's at a time: only those are held."""
+    for texts in batches:
+        for i in range(0, len(texts), embedder.batch):
+            part = texts.slice(i, embedder.batch).to_pylist()
+            yield pa.array(embedder.embed_batch([t or "" for t in part]), pa.list_(pa.float32()))
+
+
 @dataclass
 class RateLimiter:
     """Token buckets of requests and tokens per minute, and a least gap between requests.

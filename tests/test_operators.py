@@ -2,6 +2,7 @@
 
 import sqlite3
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -105,6 +106,18 @@ def test_embedders(spark):
         embedding.NoEmbedder().embed_batch(["x"])
 
 
+def test_vectors_of_a_batch_leave_a_request_at_a_time(spark):
+    calls = []
+    e = embedding.ApiEmbedder(lambda texts: calls.append(len(texts)) or [(i, [float(len(t))]) for i, t in enumerate(texts)], 2, batch=4)
+    out = embedding.embedded(iter([pa.array(["a"] * 9 + [None]), pa.array([], pa.string()), pa.array(["bb"])]), e)
+    assert next(out).to_pylist() == [[1.0, 0.0]] * 4 and calls == [4]
+    assert [x for part in out for x in part.to_pylist()] == [[1.0, 0.0]] * 5 + [[0.0, 0.0], [2.0, 0.0]] and calls == [4, 4, 2, 1]
+    rows = spark.range(700).select("id", F.concat(F.lit("word"), "id").alias("content")).coalesce(1)
+    got = {r["id"]: list(r["embedding"]) for r in embedding.embed(rows, embedding.HashingEmbedder(8)).collect()}
+    want = embedding.HashingEmbedder(8).embed_batch([f"word{i}" for i in range(700)])
+    assert got == dict(enumerate(want))
+
+
 def test_api_embedder_retries_orders_and_fits():
     calls, slept = [], []
 
